@@ -7,11 +7,12 @@ shingle, and its ball of the join's radius reaches the regions of its first
 ``n - ceil(t * n) + 1`` shingles only: two documents within the radius share one of these. A
 document is replicated to those regions. Regions with the same members are one.
 
-Inside a region, pivots are documents. Every member's exact distance to the region's pivot is
-taken. Members within the radius are linked. The region is joined again around members outside
+Inside a region, pivots are documents. Every member is held against the region's pivot: where the
+shingles within both reaches differ too much the pair is ruled out exactly, else the distance is
+taken from the whole texts. Members within the radius are linked. The region is joined again around members outside
 the pivot's component, as new pivots, until none is left: by then all pairs are tested, or are in
-one component, or are excluded by the triangle inequality |d(x, p) - d(y, p)| > radius or by their
-sizes. So no link between components is lost, and large groups of near copies cost a star of
+one component, or are excluded by the triangle inequality |d(x, p) - d(y, p)| > radius, by their
+sizes, or by what each has alone. So no link between components is lost, and large groups of near copies cost a star of
 links, not all pairs. Members of a pivot's cell are dealt to tasks in chunks, so a group may hold
 any share of the rows.
 
@@ -35,9 +36,10 @@ from quarryline.llm.common import materialise, read
 from quarryline.llm.words import SOLID, Members, scan, text_chunks, windows
 
 #: A shingle in this many sets of one batch is counted as frequent; the most frequent that are put last.
-FREQUENT, MOST_FREQUENT = 8, 100_000
+#: Both shape the order of shingles alone: any order gives the same links.
+FREQUENT, MOST_FREQUENT = 2, 500_000
 #: Members of a pivot's cell in one chunk; pivots that a region takes in its second round.
-CHUNK, PIVOTS = 1_000, 16
+CHUNK, PIVOTS = 1_000, 64
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -93,8 +95,8 @@ def _nodes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return rows.where("n >= 0"), rows.where("n < 0").groupBy("key").agg(F.sum("tid").alias("sets"))
 
 
-def _regions(docs: DataFrame, k: int, num: int, den: int, last: np.ndarray) -> DataFrame:
-    """(region, pivot, pivot_n, key, n): members of every region that has two or more."""
+def _prefixes(docs: DataFrame, k: int, num: int, den: int, last: np.ndarray) -> DataFrame:
+    """(key, n, early, prefix): the shingles within a set's reach in the fixed order, ``early`` of them not frequent."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
@@ -102,7 +104,7 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, last: np.ndarray) -> D
         for batch in batches:
             seen = set()
             for _, own in _sets_of(batch, k):
-                keys, sizes, prefixes = [], [], []
+                keys, sizes, early, prefixes = [], [], [], []
                 for s in own:
                     n, key = len(s), set_key(s)
                     if n and key not in seen:
@@ -112,28 +114,103 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, last: np.ndarray) -> D
                         reach = n - -(-num * n // den) + 1
                         keys.append(key)
                         sizes.append(n)
+                        early.append(min(reach, n - int(late.sum())))
                         prefixes.append(_signed(np.concatenate([s[~late], s[late]])[:reach]))
                 flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
                 offsets = np.cumsum([0, *map(len, prefixes)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["key", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(early, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["key", "n", "early", "prefix"])
 
-    members = docs.select("text").mapInArrow(run, "key long, n long, prefix array<long>").select("key", "n", F.explode("prefix").alias("shingle"))
+    return materialise(docs.select("text").mapInArrow(run, "key long, n long, early long, prefix array<long>"), "near-prefixes")
+
+
+def _regions(prefixes: DataFrame) -> DataFrame:
+    """(region, pivot, pivot_n, key, n, own, whole): members of every region that has two or more.
+
+    ``whole`` marks sets all of whose rare shingles lie within their reach; ``own`` counts those of
+    them that no other set has within its reach. Two whole sets differ by their own shingles at least.
+    """
+    members = prefixes.select("key", "n", (F.col("early") < F.size("prefix")).alias("whole"), "early", F.posexplode("prefix").alias("pos", "shingle"))
+    members = members.withColumn("rare", F.col("whole") & (F.col("pos") < F.col("early"))).drop("pos", "early")
     by = Window.partitionBy("shingle")
     members = members.repartition("shingle").dropDuplicates(["shingle", "key"])
-    members = members.withColumns({"count": F.count("*").over(by), "x": F.bit_xor(F.xxhash64("key")).over(by), "y": F.bit_xor(F.xxhash64("n", "key")).over(by), "first": F.min(F.struct("key", "n")).over(by)}).where("count > 1")
-    return members.select(F.xxhash64("count", "x", "y").alias("region"), F.col("first.key").alias("pivot"), F.col("first.n").alias("pivot_n"), "key", "n").distinct()
+    members = members.withColumns({"count": F.count("*").over(by), "x": F.bit_xor(F.xxhash64("key")).over(by), "y": F.bit_xor(F.xxhash64("n", "key")).over(by)})
+    members = members.where("count > 1 or rare")
+    regions = members.where("count > 1").select(F.xxhash64("count", "x", "y").alias("region"), "key", "n", "whole").withColumn("alone", F.lit(False))
+    alone = members.where("count = 1").select(F.lit(0).cast("long").alias("region"), "key", "n", "whole").withColumn("alone", F.lit(True))
+    both = regions.unionByName(alone).groupBy("region", "key", "n", "whole", "alone").agg(F.count("*").alias("times"))
+    both = materialise(both, "near-members")
+    own = both.where("alone").select(F.col("key").alias("_key"), F.col("times").alias("own"))
+    regions = both.where("not alone").join(own, F.col("key") == F.col("_key"), "left").select("region", "key", "n", "whole", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
+    first = regions.groupBy(F.col("region").alias("_r")).agg(F.min(F.struct("own", "key", "n")).alias("p"))
+    return regions.join(first, F.col("region") == F.col("_r")).select("region", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.own").alias("pivot_own"), "key", "n", "whole", "own")
+
+
+def _most_different(a, b, num: int, den: int):
+    """How many shingles two linked sets of sizes a and b may differ by at most."""
+    return a + b - 2 * F.ceil(num * (a + b) / (num + den))
 
 
 def _near_size(a: str, b: str, num: int, den: int):
     return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, name: str) -> DataFrame:
-    """(a, b, n_a, n_b, common) for distinct pairs of nodes: members meet their pivot's set in chunks."""
+def _cells(pairs: DataFrame) -> DataFrame:
+    """(key, jobs): the cells of pivots a, in chunks, to which each node of the pairs (a, b) goes."""
     cells = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     member = pairs.join(cells, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role"))
     pivot = cells.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
-    jobs = member.unionByName(pivot).groupBy("key").agg(F.collect_list(F.struct("a", "chunk", "role")).alias("jobs"))
+    return member.unionByName(pivot).groupBy("key").agg(F.collect_list(F.struct("a", "chunk", "role")).alias("jobs"))
+
+
+def _may_link(prefixes: DataFrame, pairs: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """The pairs that their prefixes do not rule out.
+
+    Up to the nearer of two prefixes' ends, both sets are known whole; what differs there must not
+    exceed what two linked sets of these sizes may differ in all.
+    """
+    jobs = _cells(pairs).withColumnRenamed("key", "_key")
+    dealt = prefixes.join(jobs, F.col("key") == F.col("_key")).select("key", "n", "early", "prefix", F.explode("jobs").alias("j"))
+    dealt = dealt.select(F.col("j.a").alias("a"), F.col("j.chunk").alias("chunk"), F.col("j.role").alias("role"), F.col("key").alias("b"), "n", "early", "prefix")
+    dealt = dealt.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
+
+    def common(x: np.ndarray, y: np.ndarray) -> int:
+        return int(np.isin(x, y, assume_unique=True).sum()) if len(x) and len(y) else 0
+
+    def measure(batches):
+        at, p = None, None
+        for batch in batches:
+            out = [[], []]
+            a, chunk, role, b, n, early = [batch.column(i).to_pylist() for i in range(6)]
+            lists = batch.column(6)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            for i in range(batch.num_rows):
+                own = flat[offsets[i] : offsets[i + 1]]
+                q = (n[i], own[: early[i]], own[early[i] :])
+                if role[i] == 0:
+                    at, p = (a[i], chunk[i]), q
+                    continue
+                if at != (a[i], chunk[i]):
+                    continue
+                (n_p, p0, p1), (n_q, q0, q1) = p, q
+                if len(p1) and len(q1):
+                    end = min(p1[-1], q1[-1])
+                    p1, q1 = p1[p1 <= end], q1[q1 <= end]
+                else:
+                    end = min(x[-1] for x, y in ((p0, p1), (q0, q1)) if not len(y))
+                    p0, q0, p1, q1 = p0[p0 <= end], q0[q0 <= end], p1[:0], q1[:0]
+                differ = len(p0) + len(q0) + len(p1) + len(q1) - 2 * (common(p0, q0) + common(p1, q1))
+                need = -(-num * (n_p + n_q) // (num + den))
+                if differ <= n_p + n_q - 2 * need:
+                    out[0].append(a[i])
+                    out[1].append(b[i])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    return materialise(dealt.mapInArrow(measure, "a long, b long").distinct(), name)
+
+
+def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, name: str) -> DataFrame:
+    """(a, b, n_a, n_b, common) for distinct pairs of nodes: members meet their pivot's set in chunks."""
+    jobs = _cells(pairs)
     where = nodes.select("key", F.col("rep.did").alias("did"), F.col("rep.tid").alias("rtid")).join(jobs, "key")
     texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_did"), F.col("tid").alias("_tid"), "text")
     found = texts.join(where, (F.col("_did") == F.col("did")) & (F.col("_tid") == F.col("rtid"))).select("text", "key", "jobs")
@@ -197,7 +274,8 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     top = counts.orderBy(F.desc("sets"), "key").limit(MOST_FREQUENT).select("key").collect()  # at most MOST_FREQUENT numbers
     rep = F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("did"), "tid"))
     nodes = materialise(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), rep.alias("rep")), "near-nodes")
-    regions = materialise(_regions(docs, k, num, den, np.array([r["key"] for r in top], np.int64)), "near-regions")
+    prefixes = _prefixes(docs, k, num, den, np.array([r["key"] for r in top], np.int64))
+    regions = materialise(_regions(prefixes), "near-regions")
     tested, component = None, None
     used = None
     count = 0
@@ -205,14 +283,17 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
         if count == 0:
             pairs = regions.where("key != pivot").where(_near_size("n", "pivot_n", num, den)).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
         else:
-            pairs, used = _next_pairs(regions, tested, component, used, num, den, PIVOTS * 2 ** (count - 1), count)
+            pairs, used = _next_pairs(regions, tested, component, used, num, den, PIVOTS * 4 ** (count - 1), count)
         pairs = materialise(pairs, f"near-pairs{count}")
         if count and pairs.isEmpty():
             break
-        new = _verify(docs, nodes, pairs, k, f"near-tested{count}")
+        new = _verify(docs, nodes, _may_link(prefixes, pairs, num, den, f"near-open{count}"), k, f"near-tested{count}")
         tested = new if tested is None else tested.unionByName(new)
-        linked = tested.where(F.col("common") * (num + den) >= num * (F.col("n_a") + F.col("n_b")))
-        component = components(linked.select("a", "b"))
+        linked = new.where(F.col("common") * (num + den) >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        if component is None:
+            component = components(linked)
+        elif not linked.isEmpty():
+            component = components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked))
         count += 1
     ids = nodes.join(component, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -226,20 +307,22 @@ def _next_pairs(regions, tested, component, used, num, den, most, count):
     of = component.select(F.col("node"), "component")
     r = regions.join(of.withColumnsRenamed({"node": "key", "component": "c"}), "key", "left").withColumn("c", F.coalesce("c", "key"))
     r = r.join(of.withColumnsRenamed({"node": "pivot", "component": "pc"}), "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
-    outside = r.where("c != pc")
-    open_ = outside.select("region", "pivot", F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("c").alias("y_c"))
+    largest = F.floor(F.col("n") * den / num)
+    outside = r.where("c != pc").where(~F.col("whole") | (F.col("own") + F.col("pivot_own") <= _most_different(F.col("n"), largest, num, den) + 2))
+    open_ = outside.select("region", "pivot", F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("c").alias("y_c"), F.col("own").alias("y_own"), F.col("whole").alias("y_whole"))
     if used is not None:
         open_ = open_.join(used.select(F.col("region").alias("_r"), F.col("y").alias("_y")), (F.col("region") == F.col("_r")) & (F.col("y") == F.col("_y")), "left_anti")
-    rank = F.row_number().over(Window.partitionBy("region", "pivot").orderBy("y"))
+    rank = F.row_number().over(Window.partitionBy("region", "pivot").orderBy("y_own", "y"))
     chosen = materialise(open_.withColumn("k", rank).where(F.col("k") <= most).drop("k"), f"near-pivots{count}")
     now = chosen.select("region", "y")
     used = now if used is None else used.unionByName(now)
     distance = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
     at = lambda df, x, name: df.join(distance.withColumnRenamed("d", name), (F.col("pivot") == F.col("_a")) & (F.col(x) == F.col("_b")), "left").drop("_a", "_b")
-    members = r.join(chosen.select("region").distinct(), "region", "left_semi")
+    members = r.join(chosen.select("region").distinct(), "region", "left_semi").drop("pivot_own")
     both = at(members, "key", "dx").join(at(chosen, "y", "dy").withColumnsRenamed({"region": "_r", "pivot": "_p"}), (F.col("region") == F.col("_r")) & (F.col("pivot") == F.col("_p")))
     inside = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 1 - num / den + 1e-9, F.lit(True))
-    pairs = both.where((F.col("c") != F.col("y_c")) & inside).where(_near_size("n", "y_n", num, den))
+    apart = F.col("whole") & F.col("y_whole") & (F.col("own") + F.col("y_own") > _most_different(F.col("n"), F.col("y_n"), num, den))
+    pairs = both.where((F.col("c") != F.col("y_c")) & inside & ~apart).where(_near_size("n", "y_n", num, den))
     pairs = pairs.select(F.col("y").alias("a"), F.col("key").alias("b")).distinct()
     done = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     done = done.union(done.select("_b", "_a"))
