@@ -23,7 +23,9 @@ from __future__ import annotations
 import functools
 import json
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from quarryline.llm.words import text_chunks
 #: A segment is closed at the first document end at or after this many ids.
 SEGMENT_TOKENS = 1 << 18
 #: Most entries of a worker's cache of encoded words; it is emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 _BLOCK_BITS = 256
 _DTYPE = {8: np.uint8, 16: np.uint16}
 SEGMENTS = "part int, seq int, start_in_part long, total long, doc_ids array<long>, n_tokens array<long>, payload binary"
@@ -139,13 +141,22 @@ class Encoder:
         if self.by_word:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            #: Whether lower-case ASCII letters reach the model as they are, so that it can be asked directly.
+            sample = ["abcdefghijklm", "nopqrstuvwxyz", "tokenization"]
+            self.plain = sys.byteorder == "little" and [[t.id for t in self.tokenizer.model.tokenize(w)] for w in sample] == self._encode(sample)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(self.suffix)]] = True
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> None:
-        """Fills the cache with words of letters, many to a text; word ends show in the ids."""
+        """Fills the cache with lower-case words of letters: by the library's model, or many to a text, where word ends show in the ids."""
+        if self.plain:
+            tokenize = self.tokenizer.model.tokenize
+            for w in words:
+                if w.isascii():
+                    self.words[w.encode()] = array("I", [t.id for t in tokenize(w)]).tobytes()
+            words = [w for w in words if not w.isascii()]
         for i in range(0, len(words), 1000):
             part = words[i : i + 1000]
             ids = np.array(self._encode([" ".join(part)])[0], "<u4")
