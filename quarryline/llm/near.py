@@ -264,12 +264,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, tid, n_shingles, key, component_id) for every row of docs (doc_id, text).
+    """(doc_id, tid, n_shingles, node, component_id) for every row of docs (doc_id, text).
 
+    ``tid`` is the text's hash, ``node`` the component's name (null without words), ``component_id`` its smallest doc_id.
     Documents link where ``den * common >= num * union`` of their sets of k-word shingles.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("tid", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
+    docs = docs.withColumn("tid", F.xxhash64("text"))
     rows, counts = _nodes(docs.select("doc_id", "tid", "text"), k)
     top = counts.orderBy(F.desc("sets"), "key").limit(MOST_FREQUENT).select("key").collect()  # at most MOST_FREQUENT numbers
     rep = F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("did"), "tid"))
@@ -297,9 +298,9 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
         count += 1
     ids = nodes.join(component, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    own = materialise(ids.select("key", "component").join(least, "component").select(F.col("key").alias("_key"), "component_id"), "near-components")
-    with_words = rows.where("n > 0").join(own, F.col("key") == F.col("_key"), "left").select("doc_id", "tid", F.col("n").alias("n_shingles"), "key", "component_id")
-    return with_words.unionByName(rows.where("n = 0").select("doc_id", "tid", F.col("n").alias("n_shingles"), "key", F.col("doc_id").alias("component_id")))
+    own = materialise(ids.select("key", "component").join(least, "component").select(F.col("key").alias("_key"), F.col("component").alias("node"), "component_id"), "near-components")
+    with_words = rows.where("n > 0").join(own, F.col("key") == F.col("_key"), "left").select("doc_id", "tid", F.col("n").alias("n_shingles"), "node", "component_id")
+    return with_words.unionByName(rows.where("n = 0").select("doc_id", "tid", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id")))
 
 
 def _next_pairs(regions, tested, component, used, num, den, most, count):
@@ -332,19 +333,15 @@ def _next_pairs(regions, tested, component, used, num, den, most, count):
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component: the one of smallest doc_id (texts without words all stay)."""
     linked = materialise(link_documents(docs, k, num, den), "near-linked")
-    words = linked.where("n_shingles > 0")
-    best = words.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("component_id", F.lit(0)).alias("_did"), F.col("component_id").isNull().alias("no_id"), F.when(F.col("component_id").isNull(), F.col("key")).alias("no_key")).agg(F.min("tid").alias("_tid"), F.count("*").alias("rows"))
-    best = materialise(best, "near-best")
-    repeated = not best.where("rows > 1").isEmpty()
-    empty = linked.where("n_shingles = 0").select(F.coalesce("doc_id", F.lit(0)).alias("_did"), "tid").withColumnRenamed("tid", "_tid").distinct()
-    tid = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long"))
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_t": tid})
-    match = lambda keep: keyed.join(keep, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_tid")), "left_semi")
-    if not repeated:
-        return match(best.select("_did", "_tid").union(empty)).drop("_d", "_t")
+    words, did = linked.where("n_shingles > 0"), F.coalesce("doc_id", F.lit(0))
+    best = words.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), did.alias("did"), "tid")).alias("w"))
+    best = materialise(best.select(F.col("w.did").alias("_did"), F.col("w.tid").alias("_tid")), "near-best")
+    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
     has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = match(best.select("_did", "_tid")).where(has_words).dropDuplicates(["_d", "_t"])
-    return one.unionByName(match(empty).where(~has_words)).drop("_d", "_t")
+    kept = keyed.where(has_words).join(best, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_tid")), "left_semi")
+    if not words.groupBy(did, "tid").count().where("count > 1").isEmpty():  # repeated rows: one of each stays
+        kept = kept.dropDuplicates(["_d", "_t"])
+    return kept.unionByName(keyed.where(~has_words)).drop("_d", "_t")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
