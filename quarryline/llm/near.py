@@ -272,10 +272,11 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("tid", F.xxhash64("text"))
     rows, counts = _nodes(docs.select("doc_id", "tid", "text"), k)
-    top = counts.orderBy(F.desc("sets"), "key").limit(MOST_FREQUENT).select("key").collect()  # at most MOST_FREQUENT numbers
+    # A task, not the driver, merges the partitions' top rows; the driver gets at most MOST_FREQUENT numbers, as Arrow.
+    top = materialise(counts.orderBy(F.desc("sets"), "key").limit(MOST_FREQUENT).select("key"), "near-frequent").toArrow().column("key").to_numpy()
     rep = F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("did"), "tid"))
     nodes = materialise(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), rep.alias("rep")), "near-nodes")
-    prefixes = _prefixes(docs, k, num, den, np.array([r["key"] for r in top], np.int64))
+    prefixes = _prefixes(docs, k, num, den, np.asarray(top, np.int64))
     regions = materialise(_regions(prefixes), "near-regions")
     tested, component = None, None
     used = None
