@@ -12,7 +12,7 @@ shingles within both reaches differ too much the pair is ruled out exactly, else
 taken from the whole texts. Members within the radius are linked. The region is joined again around members outside
 the pivot's component, as new pivots, until none is left: by then all pairs are tested, or are in
 one component, or are excluded by the triangle inequality |d(x, p) - d(y, p)| > radius, by their
-sizes, or by what each has alone. So no link between components is lost, and large groups of near copies cost a star of
+sizes, by how far their orders have run before the region's shingle, or by what each has alone. So no link between components is lost, and large groups of near copies cost a star of
 links, not all pairs. Members of a pivot's cell are dealt to tasks in chunks, so a group may hold
 any share of the rows.
 
@@ -128,21 +128,22 @@ def _regions(prefixes: DataFrame) -> DataFrame:
 
     ``whole`` marks sets all of whose rare shingles lie within their reach; ``own`` counts those of
     them that no other set has within its reach. Two whole sets differ by their own shingles at least.
+    ``pos`` is the place of the region's first shingle in the set's order.
     """
     members = prefixes.select("key", "n", (F.col("early") < F.size("prefix")).alias("whole"), "early", F.posexplode("prefix").alias("pos", "shingle"))
-    members = members.withColumn("rare", F.col("whole") & (F.col("pos") < F.col("early"))).drop("pos", "early")
+    members = members.withColumn("rare", F.col("whole") & (F.col("pos") < F.col("early"))).drop("early")
     by = Window.partitionBy("shingle")
     members = members.repartition("shingle").dropDuplicates(["shingle", "key"])
     members = members.withColumns({"count": F.count("*").over(by), "x": F.bit_xor(F.xxhash64("key")).over(by), "y": F.bit_xor(F.xxhash64("n", "key")).over(by)})
     members = members.where("count > 1 or rare")
-    regions = members.where("count > 1").select(F.xxhash64("count", "x", "y").alias("region"), "key", "n", "whole").withColumn("alone", F.lit(False))
-    alone = members.where("count = 1").select(F.lit(0).cast("long").alias("region"), "key", "n", "whole").withColumn("alone", F.lit(True))
-    both = regions.unionByName(alone).groupBy("region", "key", "n", "whole", "alone").agg(F.count("*").alias("times"))
+    regions = members.where("count > 1").select(F.xxhash64("count", "x", "y").alias("region"), "key", "n", "whole", "pos").withColumn("alone", F.lit(False))
+    alone = members.where("count = 1").select(F.lit(0).cast("long").alias("region"), "key", "n", "whole", "pos").withColumn("alone", F.lit(True))
+    both = regions.unionByName(alone).groupBy("region", "key", "n", "whole", "alone").agg(F.count("*").alias("times"), F.min("pos").cast("long").alias("pos"))
     both = materialise(both, "near-members")
     own = both.where("alone").select(F.col("key").alias("_key"), F.col("times").alias("own"))
-    regions = both.where("not alone").join(own, F.col("key") == F.col("_key"), "left").select("region", "key", "n", "whole", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
-    first = regions.groupBy(F.col("region").alias("_r")).agg(F.min(F.struct("own", "key", "n")).alias("p"))
-    return regions.join(first, F.col("region") == F.col("_r")).select("region", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.own").alias("pivot_own"), "key", "n", "whole", "own")
+    regions = both.where("not alone").join(own, F.col("key") == F.col("_key"), "left").select("region", "key", "n", "whole", "pos", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
+    first = regions.groupBy(F.col("region").alias("_r")).agg(F.min(F.struct("own", "key", "n", "pos")).alias("p"))
+    return regions.join(first, F.col("region") == F.col("_r")).select("region", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.own").alias("pivot_own"), F.col("p.pos").alias("pivot_pos"), "key", "n", "whole", "own", "pos")
 
 
 def _most_different(a, b, num: int, den: int):
@@ -154,6 +155,16 @@ def _near_size(a: str, b: str, num: int, den: int):
     return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
 
 
+def _within_reach(a: str, b: str, pos_a: str, pos_b: str, num: int, den: int):
+    """Whether the region's first places leave room for what two linked sets of sizes a and b share.
+
+    Linked sets share some shingle so early that neither has passed more than it can lack; in that
+    shingle's region this holds, so a pair that is left out of one region is met in another one.
+    """
+    need = F.ceil(num * (F.col(a) + F.col(b)) / (num + den))
+    return (F.col(pos_a) + need <= F.col(a)) & (F.col(pos_b) + need <= F.col(b))
+
+
 def _cells(pairs: DataFrame) -> DataFrame:
     """(key, jobs): the cells of pivots a, in chunks, to which each node of the pairs (a, b) goes."""
     cells = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
@@ -283,7 +294,7 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     count = 0
     while True:
         if count == 0:
-            pairs = regions.where("key != pivot").where(_near_size("n", "pivot_n", num, den)).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+            pairs = regions.where("key != pivot").where(_near_size("n", "pivot_n", num, den) & _within_reach("n", "pivot_n", "pos", "pivot_pos", num, den)).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
         else:
             pairs, used = _next_pairs(regions, tested, component, used, num, den, PIVOTS * 4 ** (count - 1), count)
         pairs = materialise(pairs, f"near-pairs{count}")
@@ -311,7 +322,7 @@ def _next_pairs(regions, tested, component, used, num, den, most, count):
     r = r.join(of.withColumnsRenamed({"node": "pivot", "component": "pc"}), "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
     largest = F.floor(F.col("n") * den / num)
     outside = r.where("c != pc").where(~F.col("whole") | (F.col("own") + F.col("pivot_own") <= _most_different(F.col("n"), largest, num, den) + 2))
-    open_ = outside.select("region", "pivot", F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("c").alias("y_c"), F.col("own").alias("y_own"), F.col("whole").alias("y_whole"))
+    open_ = outside.select("region", "pivot", F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"), F.col("c").alias("y_c"), F.col("own").alias("y_own"), F.col("whole").alias("y_whole"))
     if used is not None:
         open_ = open_.join(used.select(F.col("region").alias("_r"), F.col("y").alias("_y")), (F.col("region") == F.col("_r")) & (F.col("y") == F.col("_y")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("region", "pivot").orderBy("y_own", "y"))
@@ -320,11 +331,11 @@ def _next_pairs(regions, tested, component, used, num, den, most, count):
     used = now if used is None else used.unionByName(now)
     distance = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
     at = lambda df, x, name: df.join(distance.withColumnRenamed("d", name), (F.col("pivot") == F.col("_a")) & (F.col(x) == F.col("_b")), "left").drop("_a", "_b")
-    members = r.join(chosen.select("region").distinct(), "region", "left_semi").drop("pivot_own")
+    members = r.join(chosen.select("region").distinct(), "region", "left_semi").drop("pivot_own", "pivot_pos")
     both = at(members, "key", "dx").join(at(chosen, "y", "dy").withColumnsRenamed({"region": "_r", "pivot": "_p"}), (F.col("region") == F.col("_r")) & (F.col("pivot") == F.col("_p")))
     inside = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 1 - num / den + 1e-9, F.lit(True))
     apart = F.col("whole") & F.col("y_whole") & (F.col("own") + F.col("y_own") > _most_different(F.col("n"), F.col("y_n"), num, den))
-    pairs = both.where((F.col("c") != F.col("y_c")) & inside & ~apart).where(_near_size("n", "y_n", num, den))
+    pairs = both.where((F.col("c") != F.col("y_c")) & inside & ~apart).where(_near_size("n", "y_n", num, den) & _within_reach("n", "y_n", "pos", "y_pos", num, den))
     pairs = pairs.select(F.col("y").alias("a"), F.col("key").alias("b")).distinct()
     done = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     done = done.union(done.select("_b", "_a"))
