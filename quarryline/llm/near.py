@@ -292,14 +292,16 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     tested, component = None, None
     used = None
     count = 0
-    while True:
+    more = True
+    while more:
         if count == 0:
             pairs = regions.where("key != pivot").where(_near_size("n", "pivot_n", num, den) & _within_reach("n", "pivot_n", "pos", "pivot_pos", num, den)).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
         else:
-            pairs, used = _next_pairs(regions, tested, component, used, num, den, PIVOTS * 4 ** (count - 1), count)
+            pairs, used, more = _next_pairs(regions, tested, component, used, num, den, PIVOTS * 4 ** (count - 1), count)
         pairs = materialise(pairs, f"near-pairs{count}")
-        if count and pairs.isEmpty():
-            break
+        if count and pairs.isEmpty():  # nothing to test around these pivots; the next batch may have links
+            count += 1
+            continue
         new = _verify(docs, nodes, _may_link(prefixes, pairs, num, den, f"near-open{count}"), k, f"near-tested{count}")
         tested = new if tested is None else tested.unionByName(new)
         linked = new.where(F.col("common") * (num + den) >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
@@ -316,7 +318,10 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
 
 
 def _next_pairs(regions, tested, component, used, num, den, most, count):
-    """The pairs of the next round: every region's next pivots with members of other components."""
+    """The pairs of the next round: every region's next pivots with members of other components.
+
+    Also all pivots taken so far, and whether a region has open members beyond them.
+    """
     of = component.select(F.col("node"), "component")
     r = regions.join(of.withColumnsRenamed({"node": "key", "component": "c"}), "key", "left").withColumn("c", F.coalesce("c", "key"))
     r = r.join(of.withColumnsRenamed({"node": "pivot", "component": "pc"}), "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
@@ -326,7 +331,9 @@ def _next_pairs(regions, tested, component, used, num, den, most, count):
     if used is not None:
         open_ = open_.join(used.select(F.col("region").alias("_r"), F.col("y").alias("_y")), (F.col("region") == F.col("_r")) & (F.col("y") == F.col("_y")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("region", "pivot").orderBy("y_own", "y"))
-    chosen = materialise(open_.withColumn("k", rank).where(F.col("k") <= most).drop("k"), f"near-pivots{count}")
+    ranked = materialise(open_.withColumn("k", rank).where(F.col("k") <= most + 1), f"near-pivots{count}")
+    more = not ranked.where(F.col("k") > most).isEmpty()
+    chosen = ranked.where(F.col("k") <= most).drop("k")
     now = chosen.select("region", "y")
     used = now if used is None else used.unionByName(now)
     distance = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
@@ -339,7 +346,7 @@ def _next_pairs(regions, tested, component, used, num, den, most, count):
     pairs = pairs.select(F.col("y").alias("a"), F.col("key").alias("b")).distinct()
     done = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     done = done.union(done.select("_b", "_a"))
-    return pairs.join(done, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), used
+    return pairs.join(done, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), used, more
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
