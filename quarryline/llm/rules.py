@@ -2,13 +2,16 @@
 
 Fixed rules come first. Documents that pass them get a Mahalanobis distance of their transformed
 statistics from a minimum-covariance-determinant estimate of their group (language and source; the
-leftover documents of small groups form one group per language, then one of all). Every estimate
+leftover documents of small groups form one group per language, then one of all). Leftover documents
+that are too few even so are judged by the estimate of all rows of their language, or, where those
+are fewer than MIN_ROWS, of all rows of the table. Every estimate
 starts from medians and median deviations and takes concentration steps: the ``H`` share of rows
 nearest by the last estimate gives the next mean and covariance. Rows are summed inside Spark with
 partial aggregation, one matrix row per group is factored on the executors.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and
-sources are groups of their own; with fewer than MIN_ROWS rows in all, the method rejects nothing.
+sources are groups of their own; where fewer than MIN_ROWS rows of the whole table pass the base rules, the
+method rejects nothing.
 """
 
 from __future__ import annotations
@@ -74,13 +77,25 @@ def outliers(stats: DataFrame) -> DataFrame:
     good = stats.where(~base_rules(stats))
     name = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
     sizes = materialise(good.groupBy("lang", "source").count(), "mcd-sizes")
-    small = sizes.where(F.col("count") < MIN_ROWS).groupBy("lang").agg(F.sum("count").alias("lang_count"))
-    small = materialise(small, "mcd-small")
-    grouped = join_groups(sizes, small, ["lang"], F.col("source"))
-    grp = F.when(F.col("count") >= MIN_ROWS, name("lang", "source")).when(F.col("lang_count") >= MIN_ROWS, name("lang")).otherwise("all")
-    named = materialise(grouped.select("lang", "source", grp.alias("grp")), "mcd-groups")
+    few = F.col("count") < MIN_ROWS
+    langs = sizes.groupBy("lang").agg(F.sum("count").alias("lang_total"), F.sum(F.when(few, F.col("count"))).alias("lang_count"))
+    langs = materialise(langs, "mcd-langs")
+    unplaced = F.col("lang_count") < MIN_ROWS
+    r = langs.agg(F.sum(F.when(unplaced, F.col("lang_count"))).alias("pool"), F.max(unplaced & (F.col("lang_total") < MIN_ROWS)).alias("rare")).first()
+    pooled = (r["pool"] or 0) >= MIN_ROWS
+    grouped = join_groups(sizes, langs, ["lang"], F.col("source"))
+    wide = F.concat(F.lit("whole "), name("lang"))
+    enough = F.col("lang_total") >= MIN_ROWS
+    own = F.when(~few, name("lang", "source")).when(F.col("lang_count") >= MIN_ROWS, name("lang"))
+    own = own.when(F.lit(pooled), F.lit("all"))
+    grp = F.coalesce(own, F.when(enough, wide).otherwise("whole"))
+    # A row counts in its own group's estimate and in the wide ones by which others are judged.
+    widest = F.when(F.lit(bool(r["rare"]) and not pooled), F.lit("whole"))
+    counts_in = F.array_compact(F.array(own, F.when(F.lit(not pooled) & unplaced & enough, wide), widest))
+    named = materialise(grouped.select("lang", "source", grp.alias("grp"), counts_in.alias("mcd_in")), "mcd-groups")
     rows = join_groups(stats, named, ["lang", "source"], F.col("doc_id"))
-    used = rows.where(~base_rules(rows)).where(F.col("grp").isNotNull())
+    used = rows.where(~base_rules(rows)).withColumn("grp", F.explode("mcd_in")).drop("mcd_in")
+    rows = rows.drop("mcd_in")
 
     def attach(df, params):
         return join_groups(df, params, ["grp"], F.col("doc_id"))
