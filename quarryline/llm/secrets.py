@@ -42,8 +42,8 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 _VALUE = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
-#: Share of false discoveries of ordinary strings; strata of length (each sqrt(2) longer); bins of p.
-ALPHA, STRATA, BINS = 0.2, 9, 400
+#: Share of false discoveries of ordinary strings, and so about the most of random ones that is lost; strata of length (each sqrt(2) longer); bins of p.
+ALPHA, STRATA, BINS = 0.01, 9, 4000
 
 
 def _normal_tail(z: float) -> float:
