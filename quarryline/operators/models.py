@@ -144,10 +144,13 @@ def proportion_ci(df: DataFrame, keys: list[str], flag: str, z: float = 1.959963
 
 
 def poisson_fit_check(df: DataFrame, col: str) -> DataFrame:
-    """Observed share of each count with the Poisson probability at the mean (counts up to 20)."""
+    """Observed share of each count with the Poisson probability at the mean."""
     total = df.agg(F.avg(col).alias("m"), F.count(col).alias("total"))
-    counts = df.groupBy(F.col(col).alias("x")).agg(F.count("*").alias("n")).where(F.col("x") <= 20)
-    return counts.crossJoin(F.broadcast(total)).select("x", "n", F.round(F.col("n") / F.col("total"), 9).alias("observed"), F.round(F.exp(-F.col("m")) * F.pow("m", F.col("x")) / F.factorial(F.col("x").cast("int")), 9).alias("expected"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("long").alias("x")).agg(F.count("*").alias("n"))
+    log_factorial = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest("x", F.lit(1).cast("long"))), F.lit(0.0), lambda acc, i: acc + F.log(i.cast("double")))
+    # x * ln(m) is 0 at x = 0, also for a mean of 0
+    power = F.when(F.col("x") == 0, F.lit(0.0)).otherwise(F.col("x") * F.log("m"))
+    return counts.crossJoin(F.broadcast(total)).select("x", "n", F.round(F.col("n") / F.col("total"), 9).alias("observed"), F.round(F.exp(power - F.col("m") - log_factorial), 9).alias("expected"))
 
 
 def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
