@@ -245,6 +245,7 @@ query("t8_similarity", f"WITH i AS ({STRIPES}), {SIM}")(lambda s, d: T.similarit
 query("t9_document_jaccard", f"WITH i AS (SELECT DISTINCT item_id AS item, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS feature FROM benchmark), {SIM}")(lambda s, d: T.similarity(T.document_items(t(s, d, "benchmark"), "item_id", "text")))
 query("t11_term_cosine", f"WITH i AS ({STRIPES}), s AS (WITH {SIM}) SELECT x.item AS a, y.item AS b, coalesce(s.cosine, 0) AS cosine FROM (SELECT DISTINCT item FROM i) x JOIN (SELECT DISTINCT item FROM i) y ON x.item < y.item LEFT JOIN s ON s.a = x.item AND s.b = y.item")(lambda s, d: T.term_cosine_all_pairs(stripes(s, d)))
 query("t10_cooccurrence", "SELECT c_mktsegment AS item, count(DISTINCT CASE WHEN c_nationkey = 0 THEN 1 END) AS \"0\", count(DISTINCT CASE WHEN c_nationkey = 1 THEN 1 END) AS \"1\" FROM customer GROUP BY 1")(lambda s, d: T.cooccurrence_matrix(t(s, d, "customer").select(F.col("c_mktsegment").alias("item"), F.col("c_nationkey").cast("string").alias("feature")).distinct(), ["0", "1"]))
+query("t10_cooccurrence_long", "SELECT DISTINCT c_mktsegment AS item, c_nationkey::VARCHAR AS feature, 1 AS one FROM customer")(lambda s, d: t(s, d, "customer").select(F.col("c_mktsegment").alias("item"), F.col("c_nationkey").cast("string").alias("feature")).distinct().withColumn("one", F.lit(1)))
 LABELLED = "(SELECT doc_id, text, toxic FROM documents JOIN labels USING (doc_id))"
 labelled = lambda s, d: t(s, d, "documents").select("doc_id", "text").join(t(s, d, "labels"), "doc_id")
 query("t12_word_class_counts", f"SELECT word, c::INTEGER AS class, count(*) FILTER (toxic = c) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS word, toxic FROM {LABELLED}), (VALUES (0), (1)) v(c) GROUP BY 1, 2")(lambda s, d: T.word_class_counts(labelled(s, d), "text", "toxic"))
@@ -269,6 +270,7 @@ query("n6_head_tail", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey
 # ---- graphs
 query("g1_adjacency_list", f"WITH e AS ({E}), v AS ({NODES}) SELECT id, array_to_string(list_sort(coalesce(list(dst) FILTER (dst IS NOT NULL), [])), ',') AS neighbors FROM v LEFT JOIN e ON id = src GROUP BY id")(lambda s, d: graph.adjacency_list(graph.nodes_of(edges(s, d)), edges(s, d)).select("id", F.array_join("neighbors", ",").alias("neighbors")))
 query("g2_adjacency_matrix", f"WITH e AS ({E}) SELECT src % 7 AS src, max(CASE WHEN dst % 3 = 0 THEN 1 ELSE 0 END) AS \"0\", max(CASE WHEN dst % 3 = 1 THEN 1 ELSE 0 END) AS \"1\" FROM e GROUP BY 1")(lambda s, d: graph.adjacency_matrix(edges(s, d).select((F.col("src") % 7).alias("src"), (F.col("dst") % 3).alias("dst")), [0, 1]))
+query("g2_adjacency_long", f"WITH e AS ({E}) SELECT DISTINCT src, dst, 1 AS one FROM e")(lambda s, d: edges(s, d).select("src", "dst").distinct().withColumn("one", F.lit(1)))
 query("g3_transitions", f"WITH e AS ({E}) SELECT src, dst, round(weight / sum(weight) OVER (PARTITION BY src), 12) AS p FROM e")(lambda s, d: graph.transition_probabilities(edges(s, d)).select("src", "dst", F.round("p", 12).alias("p")))
 
 
@@ -403,8 +405,10 @@ flights = lambda s, d: R.hash_split(t(s, d, "lineitem").withColumns({"label": (F
 
 @query("m1_features")
 def _(s, d):
+    from pyspark.ml.functions import vector_to_array
+
     f = flights(s, d)
-    return models.feature_pipeline(_num, _cat, 2).fit(f).transform(f).select("l_orderkey", "l_linenumber", F.expr("size(transform(array(1), x -> x))").alias("one")).groupBy().agg(F.count("*").alias("n"))
+    return models.feature_pipeline(_num, _cat, 2).fit(f).transform(f).select("l_orderkey", "l_linenumber", vector_to_array("features").alias("features"))
 
 
 query("m3_class_weights", f"SELECT late, round(any_value(CASE WHEN late = 1 THEN r ELSE 1 - r END), 9) AS w, count(*) AS n FROM ({LATE}), (SELECT 1 - avg(late) AS r FROM ({LATE})) GROUP BY 1")(lambda s, d: models.class_weights(late(s, d), "late").groupBy("late").agg(F.round(F.first("class_weight"), 9).alias("w"), F.count("*").alias("n")))
