@@ -230,7 +230,7 @@ CLASSIFIERS = {
     "forest": lambda y: classification.RandomForestClassifier(labelCol=y, numTrees=10, maxDepth=10, maxBins=300, seed=1),
     "logistic": lambda y: classification.LogisticRegression(labelCol=y, maxIter=20),
     "tree": lambda y: classification.DecisionTreeClassifier(labelCol=y, impurity="gini", maxDepth=10, maxBins=300),
-    "boosted": lambda y: classification.GBTClassifier(labelCol=y, maxDepth=5, maxIter=10, maxBins=300, seed=1),
+    "boosted": lambda y: classification.GBTClassifier(labelCol=y, maxDepth=10, maxIter=10, maxBins=300, seed=1),
 }
 
 
