@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 
 #: Most rows of a side that is broadcast; beyond, the joins are left to a shuffle.
 BROADCAST_ROWS = 50_000
+#: A group that holds more than one in SHARES of all rows is joined by broadcast; there are at most SHARES of them.
+SHARES = 256
+#: Paths of scratch tables that have not been deleted.
+_made: set[str] = set()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,14 +28,39 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: later steps depend on files alone."""
     path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialise`` that no later step reads: what follows has been written itself."""
+    for df in tables:
+        delete(df.sparkSession, df.scratch_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.discard(path)
+
+
+def release(docs: DataFrame) -> None:
+    """Deletes the scratch tables of earlier steps, but for those that ``docs`` reads."""
+    used = [f.removeprefix("file:").lstrip("/") for f in docs.inputFiles()]
+    for path in sorted(_made):
+        here = path.removeprefix("file:").lstrip("/") + "/"
+        if not any(f.startswith(here) for f in used):
+            delete(docs.sparkSession, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +83,23 @@ def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], salt: Column,
     return df.join(right, [*same(), df["_salt"] == right["_g_salt"]], how).drop(*gone, "_salt", "_g_salt")
 
 
+def join_shares(df: DataFrame, groups: DataFrame, key: str, rows: int, how: str) -> DataFrame:
+    """Joins rows with the rows of their group; ``groups`` (written) has ``size``, its group's number of rows.
+
+    ``rows`` is the number of rows in all. At most SHARES groups are larger than one in SHARES of them;
+    these are broadcast, so that their rows stay where they are. All others are shuffled.
+    """
+    least = max(rows // SHARES, 1_000)
+    right = groups.withColumnRenamed(key, "_g")
+    large = right.where(F.col("size") > least)
+    if large.isEmpty():
+        return df.join(right.hint("merge"), F.col(key) == F.col("_g"), how).drop("_g")
+    hot = large.select(F.col("_g").alias("_h")).distinct()
+    apart = df.join(F.broadcast(large), F.col(key) == F.col("_g"), "inner").drop("_g")
+    others = df.join(F.broadcast(hot), F.col(key) == F.col("_h"), "left_anti")
+    return others.join(right.where(F.col("size") <= least).hint("merge"), F.col(key) == F.col("_g"), how).drop("_g").unionByName(apart)
+
+
 def append_columns(df: DataFrame, make, ddl: str, column: str = "text") -> DataFrame:
     """df with the columns of ddl, which ``make(chunk)`` gives as Arrow arrays for a slice of rows.
 

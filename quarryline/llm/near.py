@@ -1,23 +1,31 @@
 """N-gram Jaccard join in metric space (operator 9).
 
 Jaccard distance is a metric, but almost all documents lie at distance 1 from each other, so no
-choice of pivot documents alone divides a corpus. The first pivots are therefore single shingles:
-in a fixed order of shingles (frequent ones last), a document's nearest pivot is its first
-shingle, and its ball of the join's radius reaches the regions of its first
-``n - ceil(t * n) + 1`` shingles only: two documents within the radius share one of these. A
-document is replicated to those regions. Regions with the same members are one.
-
-Inside a region, pivots are documents. Every member is held against the region's pivot: where the
-shingles within both reaches differ too much the pair is ruled out exactly, else the distance is
-taken from the whole texts. Members within the radius are linked. The region is joined again around members outside
-the pivot's component, as new pivots, until none is left: by then all pairs are tested, or are in
-one component, or are excluded by the triangle inequality |d(x, p) - d(y, p)| > radius, by their
-sizes, by how far their orders have run before the region's shingle, or by what each has alone. So no link between components is lost, and large groups of near copies cost a star of
-links, not all pairs. Members of a pivot's cell are dealt to tasks in chunks, so a group may hold
-any share of the rows.
-
-Equal sets are one node (64-bit hashes of words, shingles and sets; a clash is the only error).
-Components are found by alternating large-star and small-star steps on tables of links.
+choice of pivot documents alone divides a corpus. The first pivots are therefore single shingles.
+In one fixed order of shingles (rare ones first) a document's nearest pivot is its first shingle,
+and its ball of the join's radius reaches the regions of its first ``n - ceil(t * n) + 1`` shingles
+only: two documents within the radius share one of these. A document is replicated to those regions.
+
+The order takes a fixed share of the shingle space first, by the number of sets that hold each
+shingle, then the rest of that space's complement by hash, and the shingles that are frequent in
+some block of texts last. So a passage that many texts share comes behind what each has alone, and
+only texts that are near to each other meet. The counts are taken by ranges of the hash: a block
+of texts sends each range one packed array, so no shingle and no text has rows of its own there.
+
+Regions with the same members are one. A region is cut by size: two linked sets of sizes n <= m
+have m <= n / t, so a set stands in its own size class and, as a guest, in the next one if its
+window (its size and its place in the order) reaches that far. In such a cell, pivots are
+documents: every member is held against the cell's pivot by their whole texts, and members within
+the radius are linked. The cell is joined again around members outside the pivot's component, as
+new pivots, until none is left: by then all pairs are tested, or are in one component, or are
+excluded by the triangle inequality |d(x, p) - d(y, p)| > radius, by their sizes, or by their
+places in the order. So no link between components is lost, and a group of near copies costs a
+star of links, not all pairs. Members of a pivot are dealt to tasks in chunks, and joins by cell
+take cells that hold a large share of all rows apart, so a group may hold any share of the rows.
+
+Equal sets are one node (64-bit hashes of words, shingles and sets; a clash is the only error; the
+48 bits of the packed arrays can only add candidates). Components are found by alternating
+large-star and small-star steps on tables of links.
 
 Defined results: texts without words have no shingles and link with nothing; repeated rows are
 linked; a null doc_id takes part but is never the smallest id (a component of nulls alone has
@@ -26,20 +34,29 @@ null); an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise, read
+from quarryline.llm.common import discard, join_shares, materialise, read
 from quarryline.llm.words import SOLID, Members, scan, text_chunks, windows
 
-#: A shingle in this many sets of one batch is counted as frequent; the most frequent that are put last.
+#: A shingle in this many sets of one block is counted as frequent; the most frequent that are put last.
 #: Both shape the order of shingles alone: any order gives the same links.
-FREQUENT, MOST_FREQUENT = 2, 500_000
-#: Members of a pivot's cell in one chunk; pivots that a region takes in its second round.
-CHUNK, PIVOTS = 1_000, 64
+FREQUENT, MOST_FREQUENT = 2, 250_000
+#: Shingles of the fixed share for each one that a set's reach needs on average (also order alone).
+SHARE = 1.6
+#: Shingles in a block of packed arrays, and in a range of the hash.
+BLOCK, RANGE = 1 << 20, 500_000
+#: Members of a pivot in one chunk; pivots that a cell takes in its second round, and at most in one.
+CHUNK, PIVOTS, MOST_PIVOTS = 1_000, 64, 4_096
+#: Rows that are broadcast to pick texts from the table; beyond, both sides are shuffled.
+PICKED = 200_000
+_LAST = 2**31 - 1
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -80,7 +97,7 @@ def _nodes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                     if key not in seen:
                         seen.add(key)
                         sets.append(s)
-                if sum(map(len, sets)) > 4_000_000:
+                if sum(map(len, sets)) > 2 * BLOCK:
                     yield frequent(sets)
                     sets = []
             yield frequent(sets)
@@ -95,183 +112,220 @@ def _nodes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return rows.where("n >= 0"), rows.where("n < 0").groupBy("key").agg(F.sum("tid").alias("sets"))
 
 
-def _prefixes(docs: DataFrame, k: int, num: int, den: int, last: np.ndarray) -> DataFrame:
-    """(key, n, early, prefix): the shingles within a set's reach in the fixed order, ``early`` of them not frequent."""
-    shared = docs.sparkSession.sparkContext.broadcast(last)
+def _pack(tokens: np.ndarray) -> bytes:
+    """The six low bytes of sorted tokens, a plane for each, as their leading bytes repeat."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
 
-    def run(batches):
-        frequent = Members(shared.value.view(np.uint64))
-        for batch in batches:
-            seen = set()
-            for _, own in _sets_of(batch, k):
-                keys, sizes, early, prefixes = [], [], [], []
-                for s in own:
-                    n, key = len(s), set_key(s)
-                    if n and key not in seen:
-                        seen.add(key)
-                        late = np.zeros(n, bool)
-                        late[frequent.find(s)[0]] = True
-                        reach = n - -(-num * n // den) + 1
-                        keys.append(key)
-                        sizes.append(n)
-                        early.append(min(reach, n - int(late.sum())))
-                        prefixes.append(_signed(np.concatenate([s[~late], s[late]])[:reach]))
-                flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
-                offsets = np.cumsum([0, *map(len, prefixes)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(early, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["key", "n", "early", "prefix"])
 
-    return materialise(docs.select("text").mapInArrow(run, "key long, n long, early long, prefix array<long>"), "near-prefixes")
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+    return out.view(np.uint64).ravel()
 
 
-def _regions(prefixes: DataFrame) -> DataFrame:
-    """(region, pivot, pivot_n, key, n, own, whole): members of every region that has two or more.
-
-    ``whole`` marks sets all of whose rare shingles lie within their reach; ``own`` counts those of
-    them that no other set has within its reach. Two whole sets differ by their own shingles at least.
-    ``pos`` is the place of the region's first shingle in the set's order.
-    """
-    members = prefixes.select("key", "n", (F.col("early") < F.size("prefix")).alias("whole"), "early", F.posexplode("prefix").alias("pos", "shingle"))
-    members = members.withColumn("rare", F.col("whole") & (F.col("pos") < F.col("early"))).drop("early")
-    by = Window.partitionBy("shingle")
-    members = members.repartition("shingle").dropDuplicates(["shingle", "key"])
-    members = members.withColumns({"count": F.count("*").over(by), "x": F.bit_xor(F.xxhash64("key")).over(by), "y": F.bit_xor(F.xxhash64("n", "key")).over(by)})
-    members = members.where("count > 1 or rare")
-    regions = members.where("count > 1").select(F.xxhash64("count", "x", "y").alias("region"), "key", "n", "whole", "pos").withColumn("alone", F.lit(False))
-    alone = members.where("count = 1").select(F.lit(0).cast("long").alias("region"), "key", "n", "whole", "pos").withColumn("alone", F.lit(True))
-    both = regions.unionByName(alone).groupBy("region", "key", "n", "whole", "alone").agg(F.count("*").alias("times"), F.min("pos").cast("long").alias("pos"))
-    both = materialise(both, "near-members")
-    own = both.where("alone").select(F.col("key").alias("_key"), F.col("times").alias("own"))
-    regions = both.where("not alone").join(own, F.col("key") == F.col("_key"), "left").select("region", "key", "n", "whole", "pos", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
-    first = regions.groupBy(F.col("region").alias("_r")).agg(F.min(F.struct("own", "key", "n", "pos")).alias("p"))
-    return regions.join(first, F.col("region") == F.col("_r")).select("region", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.own").alias("pivot_own"), F.col("p.pos").alias("pivot_pos"), "key", "n", "whole", "own", "pos")
+def _reach(n, num: int, den: int):
+    """How many shingles of a set of size n its reach holds."""
+    return n + 1 + (-num * n) // den
 
 
-def _most_different(a, b, num: int, den: int):
-    """How many shingles two linked sets of sizes a and b may differ by at most."""
-    return a + b - 2 * F.ceil(num * (a + b) / (num + den))
+def _shared(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray, ranges: int) -> DataFrame:
+    """Rows of sets (key, n, sampled, sent, late) and of the sets' shared tokens (key, token, rank).
 
+    A token is a shingle's 48 bits. ``sampled`` counts a set's tokens of the fixed share, ``sent``
+    those and the following ones up to its reach, ``late`` has the frequent shingles that its reach
+    takes in. ``rank`` is the number of sets that hold a token of the share, or _LAST behind it.
+    ``frequent`` is in the order of frequency, the least frequent first.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    share = np.uint64(min(65_536, int(65_536 * SHARE * (den - num) / den)))
+    low = np.uint64(0xFFFF)
 
-def _near_size(a: str, b: str, num: int, den: int):
-    return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
-
+    def run(batches):
+        last = Members(shared.value.view(np.uint64))
+        by_frequency = np.empty(len(last.sorted), np.int64)
+        by_frequency[np.searchsorted(last.sorted, shared.value.view(np.uint64))] = np.arange(len(last.sorted))
+        seen, tokens, owners, held = set(), [], [], 0
+
+        def block():
+            t, o = np.concatenate(tokens), np.concatenate(owners)
+            order = np.argsort(t)
+            t, o = t[order], o[order]
+            at = np.searchsorted(((t >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1).astype(np.uint64))
+            parts = np.flatnonzero(np.diff(at))
+            none = pa.nulls(len(parts), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([_pack(t[at[i] : at[i + 1]]) for i in parts], pa.binary()), pa.array([o[at[i] : at[i + 1]].tobytes() for i in parts], pa.binary()), none, none, none, none, pa.nulls(len(parts), pa.list_(pa.int64()))], _PACKED)
 
-def _within_reach(a: str, b: str, pos_a: str, pos_b: str, num: int, den: int):
-    """Whether the region's first places leave room for what two linked sets of sizes a and b share.
+        for batch in batches:
+            for _, every in _sets_of(batch, k):
+                own, keys = [], []
+                for s in every:
+                    key = set_key(s)
+                    if len(s) and key not in seen:
+                        seen.add(key)
+                        own.append(s)
+                        keys.append(key)
+                if not own:
+                    continue
+                keys = np.array(keys, np.int64)
+                n = np.array([len(s) for s in own], np.int64)
+                flat, doc = np.concatenate(own), np.repeat(np.arange(len(own)), n)
+                is_late = np.zeros(len(flat), bool)
+                is_late[last.find(flat)[0]] = True
+                t, d = flat[~is_late] >> np.uint64(16), doc[~is_late]
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+                t, d = t[new], d[new]
+                first = (t & low) < share
+                sampled = np.bincount(d[first], minlength=len(own))
+                reach = _reach(n, num, den)
+                behind = np.cumsum(~first)
+                start = np.searchsorted(d, np.arange(len(own)))
+                before = np.r_[0, behind][start]
+                sent = first | (behind - before[d] <= (reach - sampled)[d])
+                n_sent = np.bincount(d[sent], minlength=len(own))
+                late: list = [()] * len(own)
+                border = np.r_[0, np.cumsum(n)]
+                for i in np.flatnonzero(n_sent < reach).tolist():
+                    x = flat[border[i] : border[i + 1]][is_late[border[i] : border[i + 1]]]
+                    x = x[np.argsort(by_frequency[np.searchsorted(last.sorted, x)])]
+                    late[i] = _signed(x[: reach[i] - n_sent[i]]).tolist()
+                none = pa.nulls(len(own), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys % ranges, pa.int32()), none, none, pa.array(keys), pa.array(n), pa.array(sampled, pa.int64()), pa.array(n_sent, pa.int64()), pa.array(late, pa.list_(pa.int64()))], _PACKED)
+                tokens.append(t[sent])
+                owners.append(keys[d[sent]])
+                held += len(tokens[-1])
+                if held >= BLOCK:
+                    yield block()
+                    tokens, owners, held = [], [], 0
+        if held:
+            yield block()
+
+    def meet(table: pa.Table) -> pa.Table:
+        blocks, sets = table.filter(table["tokens"].is_valid()), table.filter(table["key"].is_valid())
+        _, at = np.unique(sets["key"].to_numpy(), return_index=True)
+        sets = sets.take(at).select(["key", "n", "sampled", "sent", "late"]).append_column("token", pa.nulls(len(at), pa.int64())).append_column("rank", pa.nulls(len(at), pa.int64()))
+        t = np.concatenate([np.zeros(0, np.uint64), *[_unpack(x.as_py()) for x in blocks["tokens"]]])
+        o = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x.as_py(), np.int64) for x in blocks["owners"]]])
+        order = np.lexsort((o, t))
+        t, o = t[order], o[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
+        t, o = t[new], o[new]
+        group = np.r_[True, t[1:] != t[:-1]].cumsum()[: len(t)] - 1
+        count = np.bincount(group, minlength=1)[group]
+        t, o, count = t[count > 1], o[count > 1], count[count > 1]
+        rank = np.where((t & low) < share, count, _LAST)
+        none = pa.nulls(len(t), pa.int64())
+        found = pa.table([pa.array(o), none, none, none, pa.nulls(len(t), pa.list_(pa.int64())), pa.array(_signed(t)), pa.array(rank, pa.int64())], sets.schema.names)
+        return pa.concat_tables([sets, found.cast(sets.schema)])
+
+    packed = docs.select("text").mapInArrow(run, "part int, tokens binary, owners binary, key long, n long, sampled long, sent long, late array<long>")
+    return materialise(packed.groupBy("part").applyInArrow(meet, "key long, n long, sampled long, sent long, late array<long>, token long, rank long"), "near-shared")
+
+
+_PACKED = ["part", "tokens", "owners", "key", "n", "sampled", "sent", "late"]
+
+
+def _members(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, key, n, pos): the sets within reach of each shared token; ``pos`` is its place in the set's order, or less."""
+    rows = shared.where("token is not null").groupBy("key").agg(F.count_if(F.col("rank") < _LAST).alias("first"), F.sort_array(F.collect_list(F.struct("rank", "token"))).alias("items"))
+    sets = shared.where("token is null").select(F.col("key").alias("_key"), "n", "sampled", "sent", "late")
+    both = sets.join(rows, F.col("_key") == F.col("key"), "left").drop("key").withColumnRenamed("_key", "key")
+    place = lambda token, pos: F.struct(token.alias("token"), pos.cast("long").alias("pos"))
+    early = F.transform("items", lambda x, i: place(x["token"], F.when(x["rank"] < _LAST, F.col("sampled") - F.col("first") + i).otherwise(F.col("sampled"))))
+    early = F.filter(F.coalesce(early, F.array().cast("array<struct<token: long, pos: long>>")), lambda x: x["pos"] < F.col("n") + 1 - F.ceil(num * F.col("n") / den))
+    late = F.transform("late", lambda x, i: place(x, F.col("sent") + i))
+    members = both.select("key", "n", F.explode(F.concat(early, late)).alias("m")).select("m.token", "key", "n", "m.pos")
+    return members.where(_largest("n", "pos", num, den) * den >= F.col("n") * num)
+
+
+def _largest(n: str, pos: str, num: int, den: int) -> Column:
+    """The largest size of a set that may link with one of size n in the region of its pos-th shingle.
 
     Linked sets share some shingle so early that neither has passed more than it can lack; in that
     shingle's region this holds, so a pair that is left out of one region is met in another one.
     """
-    need = F.ceil(num * (F.col(a) + F.col(b)) / (num + den))
-    return (F.col(pos_a) + need <= F.col(a)) & (F.col(pos_b) + need <= F.col(b))
-
-
-def _cells(pairs: DataFrame) -> DataFrame:
-    """(key, jobs): the cells of pivots a, in chunks, to which each node of the pairs (a, b) goes."""
-    cells = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    member = pairs.join(cells, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role"))
-    pivot = cells.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
-    return member.unionByName(pivot).groupBy("key").agg(F.collect_list(F.struct("a", "chunk", "role")).alias("jobs"))
-
-
-def _may_link(prefixes: DataFrame, pairs: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """The pairs that their prefixes do not rule out.
-
-    Up to the nearer of two prefixes' ends, both sets are known whole; what differs there must not
-    exceed what two linked sets of these sizes may differ in all.
-    """
-    jobs = _cells(pairs).withColumnRenamed("key", "_key")
-    dealt = prefixes.join(jobs, F.col("key") == F.col("_key")).select("key", "n", "early", "prefix", F.explode("jobs").alias("j"))
-    dealt = dealt.select(F.col("j.a").alias("a"), F.col("j.chunk").alias("chunk"), F.col("j.role").alias("role"), F.col("key").alias("b"), "n", "early", "prefix")
-    dealt = dealt.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
-
-    def common(x: np.ndarray, y: np.ndarray) -> int:
-        return int(np.isin(x, y, assume_unique=True).sum()) if len(x) and len(y) else 0
+    return F.floor((F.col(n) - F.col(pos)) * (num + den) / num) - F.col(n)
+
+
+def _may_meet(a: str, b: str, pos_a: str, pos_b: str, num: int, den: int) -> Column:
+    near = (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
+    return near & (F.col(b) <= _largest(a, pos_a, num, den)) & (F.col(a) <= _largest(b, pos_b, num, den))
+
+
+def _cells(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(cell, size, pivot, pivot_n, pivot_pos, key, n, pos, home): regions of the same members as one, cut by size."""
+    groups = members.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("n", "key")).alias("y"))
+    groups = materialise(groups.where("size > 1").select("token", "size", F.xxhash64("size", "x", "y").alias("region")), "near-groups")
+    rows = members.count()
+    regions = join_shares(members, groups, "token", rows, "inner").groupBy("region", "key").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+    width = math.log(den / num) * 1.001  # a little wider, so that rounding never parts two sizes by two classes
+    classes = lambda n: F.floor(F.log(n) / width)
+    regions = regions.withColumns({"own": classes(F.col("n")), "most": classes(F.greatest(F.col("n"), _largest("n", "pos", num, den)))})
+    stands = F.array(F.struct(F.col("own").alias("class"), F.lit(True).alias("home")), F.struct((F.col("own") + 1).alias("class"), F.lit(False).alias("home")))
+    stands = F.explode(F.filter(stands, lambda x: x["class"] <= F.col("most")))
+    cells = regions.withColumn("s", stands).select(F.xxhash64("region", "s.class").alias("cell"), "key", "n", "pos", "s.home")
+    cells = materialise(cells, "near-regions")
+    pivot = F.min(F.when(F.col("home"), F.struct("pos", "key", "n"))).alias("p")
+    heads = cells.groupBy("cell").agg(F.count("*").alias("size"), pivot).where("size > 1 and p is not null")
+    heads = materialise(heads.select("cell", "size", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos")), "near-heads")
+    out = materialise(join_shares(cells, heads, "cell", cells.count(), "inner"), "near-cells")
+    discard(cells, groups)
+    return out, heads
+
+
+def _verify(texts: DataFrame, pairs: DataFrame, k: int, name: str) -> DataFrame:
+    """(a, b, n_a, n_b, common) for distinct pairs of nodes: members meet their pivot's text in chunks."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    member = pairs.join(sizes.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role"))
+    pivot = sizes.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
+    jobs = member.unionByName(pivot).hint("shuffle_hash")
+    dealt = texts.join(jobs, F.col("key") == F.col("node")).select("a", "chunk", "role", "key", "text").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
 
     def measure(batches):
-        at, p = None, None
-        for batch in batches:
-            out = [[], []]
-            a, chunk, role, b, n, early = [batch.column(i).to_pylist() for i in range(6)]
-            lists = batch.column(6)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            for i in range(batch.num_rows):
-                own = flat[offsets[i] : offsets[i + 1]]
-                q = (n[i], own[: early[i]], own[early[i] :])
-                if role[i] == 0:
-                    at, p = (a[i], chunk[i]), q
-                    continue
-                if at != (a[i], chunk[i]):
-                    continue
-                (n_p, p0, p1), (n_q, q0, q1) = p, q
-                if len(p1) and len(q1):
-                    end = min(p1[-1], q1[-1])
-                    p1, q1 = p1[p1 <= end], q1[q1 <= end]
-                else:
-                    end = min(x[-1] for x, y in ((p0, p1), (q0, q1)) if not len(y))
-                    p0, q0, p1, q1 = p0[p0 <= end], q0[q0 <= end], p1[:0], q1[:0]
-                differ = len(p0) + len(q0) + len(p1) + len(q1) - 2 * (common(p0, q0) + common(p1, q1))
-                need = -(-num * (n_p + n_q) // (num + den))
-                if differ <= n_p + n_q - 2 * need:
-                    out[0].append(a[i])
-                    out[1].append(b[i])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-
-    return materialise(dealt.mapInArrow(measure, "a long, b long").distinct(), name)
-
-
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, name: str) -> DataFrame:
-    """(a, b, n_a, n_b, common) for distinct pairs of nodes: members meet their pivot's set in chunks."""
-    jobs = _cells(pairs)
-    where = nodes.select("key", F.col("rep.did").alias("did"), F.col("rep.tid").alias("rtid")).join(jobs, "key")
-    texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_did"), F.col("tid").alias("_tid"), "text")
-    found = texts.join(where, (F.col("_did") == F.col("did")) & (F.col("_tid") == F.col("rtid"))).select("text", "key", "jobs")
-
-    def spread(batches):
+        at, items = None, None
         for batch in batches:
             for chunk, own in _sets_of(batch, k):
-                out = [[], [], [], [], []]
-                for s, key, jobs in zip(own, chunk.column("key").to_pylist(), chunk.column("jobs").to_pylist()):
-                    if set_key(s) != key:  # another row of the same doc_id
-                        continue
-                    raw = s.tobytes()
-                    for j in jobs:
-                        for column, v in zip(out, (j["a"], j["chunk"], j["role"], key, raw)):
-                            column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], ["a", "chunk", "role", "b", "items"])
-
-    dealt = found.mapInArrow(spread, "a long, chunk long, role int, b long, items binary").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
+                out = []
+                for a, part, role, b, s in zip(*[chunk.column(i).to_pylist() for i in range(4)], own):
+                    if role == 0:
+                        at, items = (a, part), s
+                    elif at == (a, part):
+                        place = np.minimum(np.searchsorted(items, s), len(items) - 1)
+                        out.append((a, b, len(items), len(s), int((items[place] == s).sum())))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], ["a", "b", "n_a", "n_b", "common"])
 
-    def measure(batches):
-        at, items = None, None
-        for batch in batches:
-            out = []
-            for a, chunk, role, b, raw in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                own = np.frombuffer(raw, np.uint64)
-                if role == 0:
-                    at, items = (a, chunk), own
-                elif at == (a, chunk):
-                    place = np.minimum(np.searchsorted(items, own), len(items) - 1)
-                    out.append((a, b, len(items), len(own), int((items[place] == own).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], ["a", "b", "n_a", "n_b", "common"])
+    return materialise(dealt.mapInArrow(measure, "a long, b long, n_a long, n_b long, common long"), name)
 
-    return materialise(dealt.mapInArrow(measure, "a long, b long, n_a long, n_b long, common long").distinct(), name)
+
+def _pick_texts(docs: DataFrame, nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """(key, text): one text of each node that stands in a cell."""
+    wanted = materialise(nodes.select("key", F.col("rep.did").alias("did"), F.col("rep.tid").alias("rtid")).join(cells.select("key").distinct(), "key"), "near-wanted")
+    texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_did"), F.col("tid").alias("_tid"), "text")
+    few = wanted.count() <= PICKED
+    found = texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), (F.col("_did") == F.col("did")) & (F.col("_tid") == F.col("rtid")))
+    return materialise(found.select("key", "text").dropDuplicates(["key"]), "near-texts")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of a link (a, b) is connected with."""
     edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "near-links")
-    state = None
+    n = edges.count()
     while True:
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
-        if now == state or not now["n"]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = now
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(down, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("u", "m")).where("a != b").distinct()
-        edges = materialise(small, "near-links")
+        least = materialise(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size"), "near-least")
+        large = join_shares(both.where("b > a").withColumnRenamed("a", "u"), least, "u", 2 * n, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialise(large, "near-large")
+        down = materialise(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("size")), "near-down")
+        small = join_shares(large.withColumnRenamed("a", "u"), down, "u", n, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("u", "m")).where("a != b").distinct()
+        small = materialise(small, "near-links")
+        now = small.count()
+        # Both are sets of as many links: they are equal where none is new.
+        done = now == n and small.join(edges.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti").isEmpty()
+        discard(edges, least, large, down)
+        edges, n = small, now
+        if done:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -284,25 +338,27 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     docs = docs.withColumn("tid", F.xxhash64("text"))
     rows, counts = _nodes(docs.select("doc_id", "tid", "text"), k)
     # A task, not the driver, merges the partitions' top rows; the driver gets at most MOST_FREQUENT numbers, as Arrow.
-    top = materialise(counts.orderBy(F.desc("sets"), "key").limit(MOST_FREQUENT).select("key"), "near-frequent").toArrow().column("key").to_numpy()
+    top = materialise(counts.orderBy(F.desc("sets"), "key").limit(MOST_FREQUENT).orderBy("sets", "key").coalesce(1).select("key"), "near-frequent")
+    frequent = top.toArrow().column("key").to_numpy()
     rep = F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("did"), "tid"))
     nodes = materialise(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), rep.alias("rep")), "near-nodes")
-    prefixes = _prefixes(docs, k, num, den, np.asarray(top, np.int64))
-    regions = materialise(_regions(prefixes), "near-regions")
-    tested, component = None, None
-    used = None
-    count = 0
-    more = True
+    total = rows.where("n > 0").agg(F.sum("n")).first()[0] or 0
+    shared = _shared(docs, k, num, den, np.asarray(frequent, np.int64), 1 + int(total * SHARE * (den - num) / den) // RANGE)
+    members = materialise(_members(shared, num, den), "near-members")
+    discard(shared)
+    cells, heads = _cells(members, num, den)
+    discard(members)
+    texts = _pick_texts(docs, nodes, cells)
+    pairs = cells.where("key != pivot").where(_may_meet("n", "pivot_n", "pos", "pivot_pos", num, den)).select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+    component, tested, used, more, count = None, None, None, True, 0
     while more:
-        if count == 0:
-            pairs = regions.where("key != pivot").where(_near_size("n", "pivot_n", num, den) & _within_reach("n", "pivot_n", "pos", "pivot_pos", num, den)).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-        else:
-            pairs, used, more = _next_pairs(regions, tested, component, used, num, den, PIVOTS * 4 ** (count - 1), count)
-        pairs = materialise(pairs, f"near-pairs{count}")
+        if count:
+            pairs, used, more = _next_pairs(cells, heads, tested, component, used, num, den, min(PIVOTS * 4 ** (count - 1), MOST_PIVOTS), count)
+        pairs = materialise(pairs.distinct(), f"near-pairs{count}")
         if count and pairs.isEmpty():  # nothing to test around these pivots; the next batch may have links
             count += 1
             continue
-        new = _verify(docs, nodes, _may_link(prefixes, pairs, num, den, f"near-open{count}"), k, f"near-tested{count}")
+        new = _verify(texts, pairs, k, f"near-tested{count}")
         tested = new if tested is None else tested.unionByName(new)
         linked = new.where(F.col("common") * (num + den) >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
         if component is None:
@@ -310,6 +366,7 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
         elif not linked.isEmpty():
             component = components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked))
         count += 1
+    discard(cells, heads, texts)
     ids = nodes.join(component, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
     own = materialise(ids.select("key", "component").join(least, "component").select(F.col("key").alias("_key"), F.col("component").alias("node"), "component_id"), "near-components")
@@ -317,33 +374,37 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     return with_words.unionByName(rows.where("n = 0").select("doc_id", "tid", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id")))
 
 
-def _next_pairs(regions, tested, component, used, num, den, most, count):
-    """The pairs of the next round: every region's next pivots with members of other components.
+def _next_pairs(cells, heads, tested, component, used, num, den, most, count):
+    """The pairs of the next round: every cell's next pivots with members of other components.
 
-    Also all pivots taken so far, and whether a region has open members beyond them.
+    Also all pivots taken so far, and whether a cell has open members beyond them. Cells of two are settled.
     """
     of = component.select(F.col("node"), "component")
-    r = regions.join(of.withColumnsRenamed({"node": "key", "component": "c"}), "key", "left").withColumn("c", F.coalesce("c", "key"))
-    r = r.join(of.withColumnsRenamed({"node": "pivot", "component": "pc"}), "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
-    largest = F.floor(F.col("n") * den / num)
-    outside = r.where("c != pc").where(~F.col("whole") | (F.col("own") + F.col("pivot_own") <= _most_different(F.col("n"), largest, num, den) + 2))
-    open_ = outside.select("region", "pivot", F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"), F.col("c").alias("y_c"), F.col("own").alias("y_own"), F.col("whole").alias("y_whole"))
+    of_pivot = of.withColumnsRenamed({"node": "_p", "component": "pc"})
+    lead = heads.where("size > 2").join(of_pivot, F.col("pivot") == F.col("_p"), "left").select("cell", "size", F.coalesce("pc", "pivot").alias("pc"))
+    lead = materialise(lead, f"near-lead{count}")
+    r = cells.where("size > 2 and key != pivot").select("cell", "pivot", "key", "n", "pos", "home")
+    r = r.join(of.withColumnsRenamed({"node": "_k", "component": "c"}), F.col("key") == F.col("_k"), "left").withColumn("c", F.coalesce("c", "key")).drop("_k")
+    rows = cells.count()
+    r = materialise(join_shares(r, lead, "cell", rows, "inner"), f"near-open{count}")
+    outside = r.where("c != pc")
     if used is not None:
-        open_ = open_.join(used.select(F.col("region").alias("_r"), F.col("y").alias("_y")), (F.col("region") == F.col("_r")) & (F.col("y") == F.col("_y")), "left_anti")
-    rank = F.row_number().over(Window.partitionBy("region", "pivot").orderBy("y_own", "y"))
-    ranked = materialise(open_.withColumn("k", rank).where(F.col("k") <= most + 1), f"near-pivots{count}")
+        outside = outside.join(used.select(F.col("cell").alias("_r"), F.col("y").alias("_y")), (F.col("cell") == F.col("_r")) & (F.col("key") == F.col("_y")), "left_anti")
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("pos", "key"))
+    ranked = materialise(outside.withColumn("k", rank).where(F.col("k") <= most + 1), f"near-pivots{count}")
     more = not ranked.where(F.col("k") > most).isEmpty()
-    chosen = ranked.where(F.col("k") <= most).drop("k")
-    now = chosen.select("region", "y")
-    used = now if used is None else used.unionByName(now)
+    chosen = ranked.where(F.col("k") <= most)
     distance = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
-    at = lambda df, x, name: df.join(distance.withColumnRenamed("d", name), (F.col("pivot") == F.col("_a")) & (F.col(x) == F.col("_b")), "left").drop("_a", "_b")
-    members = r.join(chosen.select("region").distinct(), "region", "left_semi").drop("pivot_own", "pivot_pos")
-    both = at(members, "key", "dx").join(at(chosen, "y", "dy").withColumnsRenamed({"region": "_r", "pivot": "_p"}), (F.col("region") == F.col("_r")) & (F.col("pivot") == F.col("_p")))
+    at = lambda df, name: df.join(distance.withColumnRenamed("d", name), (F.col("pivot") == F.col("_a")) & (F.col("key") == F.col("_b")), "left").drop("_a", "_b")
+    pivots = at(chosen, "dy").select("cell", "size", F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"), F.col("c").alias("y_c"), F.col("home").alias("y_home"), "dy")
+    pivots = materialise(pivots, f"near-chosen{count}")
+    now = pivots.select("cell", "y")
+    used = now if used is None else used.unionByName(now)
+    members = at(r, "dx").drop("size", "pc", "pivot")
+    both = join_shares(members, pivots, "cell", rows, "inner")
     inside = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 1 - num / den + 1e-9, F.lit(True))
-    apart = F.col("whole") & F.col("y_whole") & (F.col("own") + F.col("y_own") > _most_different(F.col("n"), F.col("y_n"), num, den))
-    pairs = both.where((F.col("c") != F.col("y_c")) & inside & ~apart).where(_near_size("n", "y_n", num, den) & _within_reach("n", "y_n", "pos", "y_pos", num, den))
-    pairs = pairs.select(F.col("y").alias("a"), F.col("key").alias("b")).distinct()
+    pairs = both.where((F.col("c") != F.col("y_c")) & (F.col("home") | F.col("y_home")) & inside).where(_may_meet("n", "y_n", "pos", "y_pos", num, den))
+    pairs = pairs.select(F.col("y").alias("a"), F.col("key").alias("b"))
     done = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     done = done.union(done.select("_b", "_a"))
     return pairs.join(done, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), used, more
@@ -353,14 +414,20 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """docs with one document of each component: the one of smallest doc_id (texts without words all stay)."""
     linked = materialise(link_documents(docs, k, num, den), "near-linked")
     words, did = linked.where("n_shingles > 0"), F.coalesce("doc_id", F.lit(0))
-    best = words.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), did.alias("did"), "tid")).alias("w"))
+    # A row is the one that stays where it comes first by (doc_id, text); equal rows are all that one.
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), did.alias("did"), "tid")
+    best = words.groupBy("node").agg(F.min(order).alias("w"))
     best = materialise(best.select(F.col("w.did").alias("_did"), F.col("w.tid").alias("_tid")), "near-best")
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
-    has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = keyed.where(has_words).join(best, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_tid")), "left_semi")
+    distinct = words.select(did.alias("did"), "tid").distinct()
+    gone = materialise(distinct.join(best, (F.col("did") == F.col("_did")) & (F.col("tid") == F.col("_tid")), "left_anti"), "near-gone")
+    names = {"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_t": F.xxhash64(F.coalesce("text", F.lit("")))}
+    few = gone.count() <= PICKED
+    keyed = docs.withColumns(names)
+    kept = keyed.join(F.broadcast(gone) if few else gone.hint("merge"), (F.col("_d") == F.col("did")) & (F.col("_t") == F.col("tid")), "left_anti")
     if not words.groupBy(did, "tid").count().where("count > 1").isEmpty():  # repeated rows: one of each stays
-        kept = kept.dropDuplicates(["_d", "_t"])
-    return kept.unionByName(keyed.where(~has_words)).drop("_d", "_t")
+        has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.where(has_words).dropDuplicates(["_d", "_t"]).unionByName(kept.where(~has_words))
+    return kept.drop("_d", "_t")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
