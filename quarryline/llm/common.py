@@ -54,13 +54,19 @@ def delete(spark: SparkSession, path: str) -> None:
     _made.discard(path)
 
 
-def release(docs: DataFrame) -> None:
-    """Deletes the scratch tables of earlier steps, but for those that ``docs`` reads."""
-    used = [f.removeprefix("file:").lstrip("/") for f in docs.inputFiles()]
-    for path in sorted(_made):
+def made() -> set[str]:
+    """Paths of the scratch tables that there are."""
+    return set(_made)
+
+
+def release(docs: DataFrame, paths: set[str]) -> None:
+    """Deletes the scratch tables of these paths, but for those that ``docs`` reads."""
+    used = [f.removeprefix("file:").lstrip("/") for f in docs.inputFiles()] if paths else []
+    for path in sorted(paths & _made):
         here = path.removeprefix("file:").lstrip("/") + "/"
         if not any(f.startswith(here) for f in used):
             delete(docs.sparkSession, path)
+            paths.discard(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -100,16 +106,27 @@ def join_shares(df: DataFrame, groups: DataFrame, key: str, rows: int, how: str)
     return others.join(right.where(F.col("size") <= least).hint("merge"), F.col(key) == F.col("_g"), how).drop("_g").unionByName(apart)
 
 
+def aside(df: DataFrame, names) -> DataFrame:
+    """df with its columns of these names renamed, so that an operator may add its own; ``back`` undoes it."""
+    return df.withColumnsRenamed({c: f"_own_{c}" for c in df.columns if c in names})
+
+
+def back(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({c: c.removeprefix("_own_") for c in df.columns if c.startswith("_own_")})
+
+
 def append_columns(df: DataFrame, make, ddl: str, column: str = "text") -> DataFrame:
     """df with the columns of ddl, which ``make(chunk)`` gives as Arrow arrays for a slice of rows.
 
     The slices hold about CHUNK_BYTES of ``column``, so memory does not follow the batch size.
+    A column of df that has the name of a new one is replaced.
     """
     import pyarrow as pa
 
     from quarryline.llm.words import text_chunks
 
     more = T.StructType.fromDDL(ddl)
+    df = df.drop(*more.names)
 
     def run(batches):
         for batch in batches:

@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import append_columns, long_array, read
+from quarryline.llm.common import append_columns, aside, back, long_array, read
 from quarryline.llm.words import ALNUM, Members, borders, scan, windows
 
 N = 10
 #: Largest total of benchmark text, in characters, whose windows are broadcast.
 BROADCAST_BYTES = 4 << 20
 FOUND = "hit_n_words long, hit_items array<string>, hit_spans array<struct<start: long, end: long>>"
+FOUND_NAMES = ["hit_n_words", "hit_items", "hit_spans"]
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -165,13 +166,13 @@ def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
     """The documents of ``find_windows`` with every run of hit words cut from the text (a space stays)."""
 
     def make(chunk):
-        w, out = scan(chunk.column(text), ALNUM, lower=False, hashes=False), []
+        w, out, begins = scan(chunk.column(text), ALNUM, lower=False, hashes=False), [], borders(chunk.column(text))
         for k, (whole, spans) in enumerate(zip(chunk.column(text).to_pylist(), chunk.column("hit_spans").to_pylist())):
             if not spans:
                 out.append(whole)
                 continue
             raw, at, parts = whole.encode(), 0, []
-            base = int(borders(chunk.column(text))[k])
+            base = int(begins[k])
             for s in spans:
                 parts.append(raw[at : int(w.start[w.first[k] + s["start"]]) - base])
                 at = int(w.end[w.first[k] + s["end"] - 1]) - base
@@ -184,12 +185,11 @@ def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = N) -> DataFrame:
     """docs without contaminated documents (``documents``) or without the hit words (``spans``)."""
-    found = find_windows(docs, benchmark, n)
-    if remove == "spans":
-        return remove_spans(found)
-    if remove != "documents":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
-    return found.where(F.size("hit_spans") == 0).select(*docs.columns)
+    found = find_windows(aside(docs, FOUND_NAMES), benchmark, n)
+    left = remove_spans(found) if remove == "spans" else found.where(F.size("hit_spans") == 0).drop(*FOUND_NAMES)
+    return back(left).select(*docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ FREQUENT, MOST_FREQUENT = 2, 250_000
 #: Shingles of the fixed share for each one that a set's reach needs on average (also order alone).
 SHARE = 1.6
 #: Shingles in a block of packed arrays, and in a range of the hash.
-BLOCK, RANGE = 1 << 20, 500_000
+BLOCK, RANGE = 1 << 20, 150_000
 #: Members of a pivot in one chunk; pivots that a cell takes in its second round, and at most in one.
 CHUNK, PIVOTS, MOST_PIVOTS = 1_000, 64, 4_096
 #: Rows that are broadcast to pick texts from the table; beyond, both sides are shuffled.
@@ -418,16 +418,16 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), did.alias("did"), "tid")
     best = words.groupBy("node").agg(F.min(order).alias("w"))
     best = materialise(best.select(F.col("w.did").alias("_did"), F.col("w.tid").alias("_tid")), "near-best")
-    distinct = words.select(did.alias("did"), "tid").distinct()
-    gone = materialise(distinct.join(best, (F.col("did") == F.col("_did")) & (F.col("tid") == F.col("_tid")), "left_anti"), "near-gone")
-    names = {"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_t": F.xxhash64(F.coalesce("text", F.lit("")))}
+    distinct = words.select(did.alias("_near_did"), F.col("tid").alias("_near_tid")).distinct()
+    gone = materialise(distinct.join(best, (F.col("_near_did") == F.col("_did")) & (F.col("_near_tid") == F.col("_tid")), "left_anti"), "near-gone")
+    names = {"_near_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_near_t": F.xxhash64(F.coalesce("text", F.lit("")))}
     few = gone.count() <= PICKED
     keyed = docs.withColumns(names)
-    kept = keyed.join(F.broadcast(gone) if few else gone.hint("merge"), (F.col("_d") == F.col("did")) & (F.col("_t") == F.col("tid")), "left_anti")
+    kept = keyed.join(F.broadcast(gone) if few else gone.hint("merge"), (F.col("_near_d") == F.col("_near_did")) & (F.col("_near_t") == F.col("_near_tid")), "left_anti")
     if not words.groupBy(did, "tid").count().where("count > 1").isEmpty():  # repeated rows: one of each stays
         has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-        kept = kept.where(has_words).dropDuplicates(["_d", "_t"]).unionByName(kept.where(~has_words))
-    return kept.drop("_d", "_t")
+        kept = kept.where(has_words).dropDuplicates(["_near_d", "_near_t"]).unionByName(kept.where(~has_words))
+    return kept.drop("_near_d", "_near_t")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ are differences of Gaussian log densities, by Mahalanobis distances through Chol
 every task keeps. Only the text is an input of a score.
 
 Defined results: a null text is empty; a null doc_id is not held out and has no label; where one
-class has no training row, every score is the share of label 1 (0.5 without labels).
+class has no training row, every score is the share of label 1 (0.5 without labels). The fit takes
+at most ``FIT_ROWS`` labelled rows, in order of a hash of doc_id: a documented bound.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from quarryline.llm.textstats import FEATURES, with_stats
 #: Shrinkage to the pooled covariance and to the identity; threshold of a prediction.
 TO_POOLED, TO_IDENTITY, THRESHOLD = 0.1, 0.05, 0.3
 FOLDS, HELD_OUT = 5, 0
+#: Most labelled rows of the fit, in order of a hash of doc_id: they are joined by broadcast.
+FIT_ROWS = 200_000
 
 
 def fold(folds: int) -> Column:
@@ -77,10 +80,16 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -40, 40)))
 
 
+def training_rows(labels: DataFrame, label: str = "quality", held_out: int = HELD_OUT, folds: int = FOLDS, most: int = FIT_ROWS) -> DataFrame:
+    """doc_id and label ``_y`` of labelled rows outside the held-out fold, FIT_ROWS at most."""
+    known = labels.where((fold(folds) != held_out) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("_y"))
+    return known.orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id", "_y").limit(most)
+
+
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", held_out: int = HELD_OUT, folds: int = FOLDS) -> Discriminant:
-    """The discriminant from all labelled rows of stats (doc_id, st_features) outside the held-out fold."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_y"))
-    train = stats.where(fold(folds) != held_out).select("doc_id", "st_features").join(known, F.col("doc_id") == F.col("_id"))
+    """The discriminant from the labelled rows of stats (doc_id, st_features) outside the held-out fold, FIT_ROWS at most."""
+    known = training_rows(labels, label, held_out, folds).withColumnRenamed("doc_id", "_id")
+    train = stats.select("doc_id", "st_features").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
     return Discriminant(class_sums(train, "_y"))
 
 
@@ -95,10 +104,10 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with ``q_score`` and ``q_predicted``; the statistics are taken once for the fit and once for the scores."""
-    whole = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    known = labels.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-    train = with_stats(whole.select("doc_id", "text").where(fold(FOLDS) != HELD_OUT).join(known, F.col("doc_id") == F.col("_id"), "left_semi")).select("doc_id", "st_features")
+    """docs with ``q_score`` and ``q_predicted`` (replaced where docs has them); the statistics are taken once for the fit and once for the scores."""
+    whole = docs.drop("q_predicted")
+    known = training_rows(labels).select(F.col("doc_id").alias("_id")).distinct()
+    train = with_stats(whole.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left_semi")).select("doc_id", "st_features")
     model = fit(train, labels)
 
     def make(chunk):
@@ -106,7 +115,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
         return [pa.array(model.score(transform(count_texts(chunk.column("text")))))]
 
-    return append_columns(docs, make, "q_score double").withColumn("q_predicted", (F.col("q_score") >= threshold).cast("int"))
+    return append_columns(whole, make, "q_score double").withColumn("q_predicted", (F.col("q_score") >= threshold).cast("int"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import join_groups, materialise, read, scratch
-from quarryline.llm.words import text_chunks
+from quarryline.llm.words import SOLID, scan, text_chunks
 
 #: A segment is closed at the first document end at or after this many ids.
 SEGMENT_TOKENS = 1 << 18
-#: Most entries of a worker's cache of encoded words; it is emptied when full.
-CACHE_WORDS = 700_000
+#: Most entries of a worker's table of encoded words (some 40 bytes each); it is emptied when full.
+CACHE_WORDS = 2_000_000
 _BLOCK_BITS = 256
 _DTYPE = {8: np.uint8, 16: np.uint16}
 SEGMENTS = "part int, seq int, start_in_part long, total long, doc_ids array<long>, n_tokens array<long>, payload binary"
@@ -120,12 +120,13 @@ class Dac:
 
 
 class Encoder:
-    """Whole-text ids by a tokenizer of the tokenizers library, with a cache of encoded words.
+    """Whole-text ids by a tokenizer of the tokenizers library, with a table of encoded words.
 
     Where the tokenizer drops white space, ends words by a suffix and keeps runs of letters apart
     from other characters, the ids of a text are those of its lower-cased pieces between ASCII white
     space, and those of a piece are the ids of its letters, then of its final punctuation: only
-    pieces that the cache lacks go through the library. Any other tokenizer gets the texts as they are.
+    pieces that the table lacks go through the library. The table knows a piece by its 64-bit hash
+    and its length. Any other tokenizer gets the texts as they are.
     """
 
     def __init__(self, path: str):
@@ -138,6 +139,7 @@ class Encoder:
         lower = any(x["type"] == "Lowercase" for x in (spec["normalizer"] or {}).get("normalizers", []))
         self.by_word = bool(self.suffix) and split.get("invert") is True and r"[\p{L}]+" in (split.get("pattern") or {}).get("Regex", "") and lower
         self.words: dict[bytes, bytes] = {}
+        self._clear()
         if self.by_word:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -189,21 +191,54 @@ class Encoder:
             if tail:
                 self.words[piece] = self.words[core] + self.words[tail]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if not self.by_word:
-            return [np.array(ids, "<u4").tobytes() for ids in self._encode(texts)]
-        pieces = [t.encode().lower().split() for t in texts]
-        all_pieces = set().union(*pieces)
-        missing = all_pieces.difference(self.words)
-        if len(self.words) + 2 * len(missing) > CACHE_WORDS:
-            self.words.clear()
-            missing = all_pieces
-        if len(missing) > CACHE_WORDS:  # texts with more different words than the cache may hold
-            return [np.array(ids, "<u4").tobytes() for ids in self._encode(texts)]
-        self._learn(missing)
-        words = self.words
-        return [b"".join([words[p] for p in ps]) for ps in pieces]
+    def _clear(self) -> None:
+        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.size, self.start, self.count, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
+
+    def _find(self, hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The row of each piece, -1 for those that the table lacks."""
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        row = self.row[place]
+        return np.where((self.known[place] == hashes) & (self.size[row] == size), row, -1)
+
+    def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        self._learn(set(pieces))
+        raw = [self.words[p] for p in pieces]
+        self.words = {}
+        count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        self.known = np.concatenate([self.known, hashes])
+        self.row = np.concatenate([self.row, np.arange(len(self.size), len(self.size) + len(raw), dtype=np.int32)])
+        order = np.argsort(self.known, kind="stable")
+        self.known, self.row = self.known[order], self.row[order]
+        self.size = np.concatenate([self.size, np.fromiter(map(len, pieces), np.int32, len(pieces))])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count.astype(np.int32)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has; null is empty."""
+        if self.by_word:
+            w = scan(texts, SOLID)
+            size = w.end - w.start
+            each, at, piece = np.unique(w.hash, return_index=True, return_inverse=True)
+            row = self._find(each, size[at])
+            lacking = np.flatnonzero(row < 0)
+            if len(self.known) and len(self.known) + len(lacking) > CACHE_WORDS:
+                self._clear()
+                lacking = np.arange(len(each))
+            if len(lacking):
+                self._add(each[lacking], [w.word(i) for i in at[lacking].tolist()])
+                row = self._find(each, size[at])
+            # Two pieces of one hash in these texts have different lengths, or are taken for one.
+            if (row >= 0).all() and (size == size[at][piece]).all():
+                start, n = self.start[row][piece], self.count[row][piece].astype(np.int64)
+                ends = np.cumsum(n)
+                ids = self.ids[np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+                return ids, np.diff(np.r_[0, ends][w.first])
+        every = self._encode([t or "" for t in texts.to_pylist()])
+        return np.array([i for ids in every for i in ids], "<u4"), np.array([len(ids) for ids in every], np.int64)
 
 
 @functools.lru_cache(2)
@@ -216,18 +251,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     ``tokenizer`` is the path of a file for the tokenizers library on every machine.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # The text's hash orders rows of one doc_id and lets a range end among them.
+    ordered = ordered.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def run(batches):
         from pyspark import TaskContext
 
         encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
-        end = b"" if end_id is None else struct.pack("<I", end_id)
         seq = before = held = 0
         doc_ids, sizes, ids = [], [], []
 
         def segment():
-            values = np.frombuffer(b"".join(ids), "<u4")
+            values = np.concatenate(ids)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(values)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([encode_dac(values, chunk_bits)], pa.binary())],
                 ["part", "seq", "start_in_part", "total", "doc_ids", "n_tokens", "payload"],
@@ -235,11 +271,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
         for batch in batches:
             for chunk in text_chunks(batch):
-                for doc_id, raw in zip(chunk.column(0).to_pylist(), encoder.encode(chunk.column(1).to_pylist())):
+                values, count = encoder.encode(chunk.column(1))
+                if end_id is not None:
+                    values, count = np.insert(values, np.cumsum(count), end_id), count + 1
+                at = 0
+                for doc_id, n in zip(chunk.column(0).to_pylist(), count.tolist()):
                     doc_ids.append(doc_id)
-                    sizes.append((len(raw) + len(end)) // 4)
-                    ids.append(raw + end)
-                    held += sizes[-1]
+                    sizes.append(n)
+                    ids.append(values[at : at + n])
+                    at, held = at + n, held + n
                     if held >= segment_tokens:
                         yield segment()
                         seq, before, held = seq + 1, before + held, 0
@@ -279,21 +319,30 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return read_segments(spark, path).select("doc_ids", "n_tokens", "payload", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
-def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
-    """The ids at a stated list of global positions (up to a million): position, id. Nothing else is decoded."""
-    if len(positions) > 1_000_000:
-        raise ValueError("ask for up to a million positions at once")
-    asked = spark.sparkContext.broadcast(np.unique(np.array(positions, np.int64)))
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """The ids at the positions of a table (column ``position``, from 0 over all documents): position, id.
+
+    A position meets the segment that holds it by the segments' starts alone; only payloads of asked
+    segments are read on, and of those only the bytes that lead to each id.
+    """
+    index = read_segments(spark, path).select("part", "seq", "start", "total")
+    starts = materialise(index.where("total > 0"), "dac-index")
+    width = 1 + (starts.agg(F.max("total")).first()[0] or 0)
+    # A segment is no longer than ``width``, so it touches two cells of that width at most.
+    cells = starts.withColumn("cell", F.explode(F.array_distinct(F.array(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("total") - 1) / width)))))
+    asked = positions.select(F.col("position").cast("long").alias("position")).where("position is not null").distinct().withColumn("_cell", F.floor(F.col("position") / width))
+    asked = asked.join(cells, (F.col("_cell") == F.col("cell")) & (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("total")))
+    asked = asked.groupBy(F.col("part").alias("_part"), F.col("seq").alias("_seq")).agg(F.first("start").alias("start"), F.collect_list("position").alias("positions"))
+    segments = spark.read.schema(SEGMENTS).parquet(path).select("part", "seq", "payload")
+    found = segments.join(asked, (F.col("part") == F.col("_part")) & (F.col("seq") == F.col("_seq"))).select("start", "positions", "payload")
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                own = asked.value[np.searchsorted(asked.value, row["start"]) : np.searchsorted(asked.value, row["start"] + row["total"])]
-                if len(own):
-                    dac = Dac(row["payload"])
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([dac[int(p - row["start"])] for p in own], pa.int64())], ["position", "id"])
+                dac = Dac(row["payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["positions"], pa.int64()), pa.array([dac[p - row["start"]] for p in row["positions"]], pa.int64())], ["position", "id"])
 
-    return read_segments(spark, path).select("start", "total", "payload").mapInArrow(run, "position long, id long")
+    return found.mapInArrow(run, "position long, id long")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
