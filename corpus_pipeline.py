@@ -2,21 +2,48 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's docs; all but the last return the columns of ``documents``.
+
+Defined results, in every stage: an empty table gives an empty one; columns beyond doc_id, source,
+text and n_chars pass through, whatever their names. A null or empty text is judged like any text
+without words by the classifier; where it passes, near duplicates and decontamination keep it, and
+the mix, in which it has no words to take, leaves it out. A null doc_id is a document like others;
+it stays in a group of copies only where the whole group has none. Of repeated rows one stays
+(texts without words all do). A null source is a source of its own.
+
+A stage begins by deleting the scratch tables that earlier stages have left and its docs do not read.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import decontaminate as leaks
 from quarryline.llm import mixing, near, quality, tokens
-from quarryline.llm.common import materialise, read, scratch
+from quarryline.llm.common import aside, back, made, materialise, read, release, scratch
+
+#: Scratch tables of the stages so far; the result of the latest stage may still read them.
+_left: set[str] = set()
+
+
+def _stage(step):
+    @functools.wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(docs, _left)
+        before = made()
+        out = step(spark, docs, sf_dir)
+        _left.update(made() - before)
+        return out
+
+    return run_step
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality is 1."""
-    return quality.classify(docs, read(spark, sf_dir, "labels")).where("q_predicted = 1").select(*docs.columns)
+    judged = quality.classify(aside(docs, ["q_score", "q_predicted"]), read(spark, sf_dir, "labels"))
+    return back(judged.where("q_predicted = 1").drop("q_score", "q_predicted")).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,22 +58,24 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in training order; a source's last document is cut at its target."""
-    mixed = mixing.mix(docs)
+    mixed = mixing.mix(aside(docs, mixing.MIXED))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.when(F.col("mix_words") < F.col("mix_size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return mixed.select(*docs.columns)
+    return back(mixed.drop(*mixing.MIXED)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in a file of directly addressable codes; the digest of what is read back."""
+    release(docs, _left)
     path = scratch(spark, "tokens")
     tokens.write_tokens(docs, path, tokens.tokenizer_path())
     return tokens.digests(spark, path)
 
 
-STAGES = [("quality", classify), ("near duplicates", deduplicate), ("decontamination", decontaminate), ("mixing", mix), ("token codes", encode)]
+STAGES = [(name, _stage(step)) for name, step in (("quality", classify), ("near duplicates", deduplicate), ("decontamination", decontaminate), ("mixing", mix))]
+STAGES.append(("token codes", encode))
 
-#: The tokenizer and the trained classifier have no SQL; tests hold run() against a plain version.
+#: The tokenizer and the trained classifier have no SQL; tests/llm/test_pipeline.py holds the stages against a plain version.
 ORACLE_SQL = None
 
 
