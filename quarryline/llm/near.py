@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import discard, join_shares, materialise, read
+from quarryline.llm.common import aside, back, discard, join_shares, materialise, read
 from quarryline.llm.words import SOLID, Members, scan, text_chunks, windows
 
 #: A shingle in this many sets of one block is counted as frequent; the most frequent that are put last.
@@ -422,12 +422,12 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     gone = materialise(distinct.join(best, (F.col("_near_did") == F.col("_did")) & (F.col("_near_tid") == F.col("_tid")), "left_anti"), "near-gone")
     names = {"_near_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_near_t": F.xxhash64(F.coalesce("text", F.lit("")))}
     few = gone.count() <= PICKED
-    keyed = docs.withColumns(names)
+    keyed = aside(docs, names).withColumns(names)
     kept = keyed.join(F.broadcast(gone) if few else gone.hint("merge"), (F.col("_near_d") == F.col("_near_did")) & (F.col("_near_t") == F.col("_near_tid")), "left_anti")
     if not words.groupBy(did, "tid").count().where("count > 1").isEmpty():  # repeated rows: one of each stays
         has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         kept = kept.where(has_words).dropDuplicates(["_near_d", "_near_t"]).unionByName(kept.where(~has_words))
-    return kept.drop("_near_d", "_near_t")
+    return back(kept.drop("_near_d", "_near_t"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
