@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 50_000
 #: A group that holds more than one in SHARES of all rows is joined by broadcast; there are at most SHARES of them.
 SHARES = 256
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Paths of scratch tables that have not been deleted.
 _made: set[str] = set()
 
@@ -34,9 +35,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: later steps depend on files alone."""
+    """Writes df as Parquet in the shared folder and reads it back: later steps depend on files alone.
+
+    Python workers get batches of at most BATCH_BYTES meanwhile; the session's own setting comes back after.
+    """
     path = path or scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH, None)
+    conf.set(_BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH, before) if before is not None else conf.unset(_BATCH)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -51,7 +51,7 @@ FREQUENT, MOST_FREQUENT = 2, 250_000
 #: Shingles of the fixed share for each one that a set's reach needs on average (also order alone).
 SHARE = 1.6
 #: Shingles in a block of packed arrays, and in a range of the hash.
-BLOCK, RANGE = 1 << 20, 150_000
+BLOCK, RANGE = 1 << 19, 150_000
 #: Members of a pivot in one chunk; pivots that a cell takes in its second round, and at most in one.
 CHUNK, PIVOTS, MOST_PIVOTS = 1_000, 64, 4_096
 #: Rows that are broadcast to pick texts from the table; beyond, both sides are shuffled.

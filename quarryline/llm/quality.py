@@ -108,7 +108,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     whole = docs.drop("q_predicted")
     known = training_rows(labels).select(F.col("doc_id").alias("_id")).distinct()
     train = with_stats(whole.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left_semi")).select("doc_id", "st_features")
-    model = fit(train, labels)
+    model = fit(materialise(train, "quality-train"), labels)
 
     def make(chunk):
         from quarryline.llm.textstats import count_texts, transform
