@@ -53,7 +53,7 @@ SHARE = 1.6
 #: Shingles in a block of packed arrays, and in a range of the hash.
 BLOCK, RANGE = 1 << 19, 150_000
 #: Members of a pivot in one chunk; pivots that a cell takes in its second round, and at most in one.
-CHUNK, PIVOTS, MOST_PIVOTS = 1_000, 64, 4_096
+CHUNK, PIVOTS, MOST_PIVOTS = 250, 64, 4_096
 #: Rows that are broadcast to pick texts from the table; beyond, both sides are shuffled.
 PICKED = 200_000
 _LAST = 2**31 - 1
@@ -353,7 +353,7 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     component, tested, used, more, count = None, None, None, True, 0
     while more:
         if count:
-            pairs, used, more = _next_pairs(cells, heads, tested, component, used, num, den, min(PIVOTS * 4 ** (count - 1), MOST_PIVOTS), count)
+            pairs, heads, used, more = _next_pairs(cells, heads, tested, component, used, num, den, min(PIVOTS * 4 ** (count - 1), MOST_PIVOTS), count)
         pairs = materialise(pairs.distinct(), f"near-pairs{count}")
         if count and pairs.isEmpty():  # nothing to test around these pivots; the next batch may have links
             count += 1
@@ -377,22 +377,25 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
 def _next_pairs(cells, heads, tested, component, used, num, den, most, count):
     """The pairs of the next round: every cell's next pivots with members of other components.
 
-    Also all pivots taken so far, and whether a cell has open members beyond them. Cells of two are settled.
+    Also the heads of cells that are not settled, all pivots taken so far, and whether a cell has open
+    members beyond them. Cells of two are settled.
     """
     of = component.select(F.col("node"), "component")
     of_pivot = of.withColumnsRenamed({"node": "_p", "component": "pc"})
     lead = heads.where("size > 2").join(of_pivot, F.col("pivot") == F.col("_p"), "left").select("cell", "size", F.coalesce("pc", "pivot").alias("pc"))
     lead = materialise(lead, f"near-lead{count}")
-    r = cells.where("size > 2 and key != pivot").select("cell", "pivot", "key", "n", "pos", "home")
-    r = r.join(of.withColumnsRenamed({"node": "_k", "component": "c"}), F.col("key") == F.col("_k"), "left").withColumn("c", F.coalesce("c", "key")).drop("_k")
     rows = cells.count()
-    r = materialise(join_shares(r, lead, "cell", rows, "inner"), f"near-open{count}")
+    r = join_shares(cells.where("size > 2 and key != pivot").select("cell", "pivot", "key", "n", "pos", "home"), lead, "cell", rows, "inner")
+    r = r.join(of.withColumnsRenamed({"node": "_k", "component": "c"}), F.col("key") == F.col("_k"), "left").withColumn("c", F.coalesce("c", "key")).drop("_k")
+    r = materialise(r, f"near-open{count}")
     outside = r.where("c != pc")
     if used is not None:
         outside = outside.join(used.select(F.col("cell").alias("_r"), F.col("y").alias("_y")), (F.col("cell") == F.col("_r")) & (F.col("key") == F.col("_y")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("pos", "key"))
     ranked = materialise(outside.withColumn("k", rank).where(F.col("k") <= most + 1), f"near-pivots{count}")
     more = not ranked.where(F.col("k") > most).isEmpty()
+    # A cell without open members outside its pivot's component is settled, as components only grow.
+    heads = materialise(heads.join(ranked.select("cell").distinct(), "cell", "left_semi"), f"near-heads{count}")
     chosen = ranked.where(F.col("k") <= most)
     distance = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
     at = lambda df, name: df.join(distance.withColumnRenamed("d", name), (F.col("pivot") == F.col("_a")) & (F.col("key") == F.col("_b")), "left").drop("_a", "_b")
@@ -407,7 +410,7 @@ def _next_pairs(cells, heads, tested, component, used, num, den, most, count):
     pairs = pairs.select(F.col("y").alias("a"), F.col("key").alias("b"))
     done = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     done = done.union(done.select("_b", "_a"))
-    return pairs.join(done, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), used, more
+    return pairs.join(done, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), heads, used, more
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
