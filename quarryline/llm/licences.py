@@ -3,7 +3,8 @@
 The words of all templates and base phrases build one automaton. A text is streamed through it:
 at every word the longest suffix that occurs in some template is known (matching statistics).
 Maximal matches are chained, template by template, into covered spans; a template whose words are
-covered to ``MIN_COVERAGE`` gives its label. Only runs of words whose neighbours are neighbours in
+covered to ``MIN_COVERAGE`` gives its label, with its version only where the version's words are
+covered too. Only runs of words whose neighbours are neighbours in
 some template are streamed: elsewhere every match is shorter than two words, and no phrase is.
 
 Defined results: a null or empty text has no words, no places and score 0; repeated rows get equal
@@ -12,6 +13,7 @@ results; an empty table gives an empty result; other columns of the input are ig
 
 from __future__ import annotations
 
+import bisect
 import functools
 
 import numpy as np
@@ -25,25 +27,46 @@ from quarryline.llm.words import ALNUM, Members, hash_window, hash_words, scan,
 #: Base phrases and their labels: each place where the words stand consecutively counts.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Opening sentences of public licences, by label.
+#: Public licence texts and notices: label without a version, version, words. A chain that leaves out a
+#: word marked ``!`` gives no label; one that leaves out a word marked ``*`` gives the label without the version.
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit", "", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("mit", "", "licensed under the !mit license"),
+    ("apache", "2.0", "licensed under the !apache license version *2 *0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("apache", "2.0", "licensed under the !apache license version *2 *0"),
+    ("bsd", "", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("isc", "", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("gpl", "2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu !general public license as published by the free software foundation either version *2 of the license or at your option any later version"),
+    ("gpl", "3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu !general public license as published by the free software foundation either version *3 of the license or at your option any later version"),
+    ("lgpl", "2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu !lesser general public license as published by the free software foundation either version *2 *1 of the license or at your option any later version"),
+    ("agpl", "3.0", "you can redistribute it and or modify it under the terms of the gnu !affero general public license as published by the free software foundation either version *3 of the license or at your option any later version"),
+    ("gpl", "2.0", "licensed under the gnu !general public license version *2"),
+    ("gpl", "3.0", "licensed under the gnu !general public license version *3"),
+    ("lgpl", "3.0", "licensed under the gnu !lesser general public license version *3"),
+    ("mpl", "2.0", "this source code form is subject to the terms of the !mozilla public license v *2 *0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    *[
+        (f"cc-{kind}", version, f"licensed under cc {' '.join('!' + k if k != 'by' else k for k in kind.split('-'))} *{version[0]} *{version[2]}")
+        for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
+        for version in ("2.0", "2.5", "3.0", "4.0")
+    ],
+    *[
+        (f"cc-{kind}", version, f"licensed under a creative commons attribution {words}*{version[0]} *{version[2]} international license".replace("  ", " "))
+        for kind, words in (("by", ""), ("by-sa", "!sharealike "), ("by-nc", "!noncommercial "), ("by-nc-sa", "!noncommercial !sharealike "))
+        for version in ("3.0", "4.0")
+    ],
+    ("cc0", "1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("unlicense", "", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("unlicense", "", "this is free and unencumbered software released into the public domain"),
 ]
 
 #: Shortest match, in words, that a chain takes up; most words between two matches of a chain;
 #: share of a template's words that a chain covers for its label.
-MIN_MATCH, MAX_GAP, MIN_COVERAGE = 3, 12, 0.6
+MIN_MATCH, MAX_GAP, MIN_COVERAGE = 2, 12, 0.6
 
 
 class SuffixAutomaton:
@@ -112,9 +135,12 @@ class SuffixAutomaton:
 class Scanner:
     def __init__(self):
         phrases = [p.split() for p in BASE]
-        texts = [t.split() for _, t in TEMPLATES] + phrases
+        marked = [t.split() for _, _, t in TEMPLATES]
+        texts = [[w.lstrip("!*") for w in t] for t in marked] + phrases
         self.automaton = a = SuffixAutomaton(texts)
-        self.sizes = [len(t.split()) for _, t in TEMPLATES]
+        self.sizes = [len(t) for t in marked]
+        #: Places that a label needs, and that its version needs besides.
+        self.needed = [[frozenset(i for i, w in enumerate(t) if w[0] == sign) for sign in "!*"] for t in marked]
         pairs = {tuple(t[i : i + 2]) for t in texts for i in range(len(t) - 1)}
         self.pairs = Members([hash_window([x.encode() for x in p]) for p in pairs])
         words = sorted({w for t in texts for w in t})
@@ -132,38 +158,66 @@ class Scanner:
             self.base.append(found)
 
     def places(self, words: list[str], at: int):
-        """Of one run of words that begins at word ``at``: base places and maximal matches."""
+        """Of one run of words that begins at word ``at``: base places, and maximal matches in each template.
+
+        A match is (first word, words, its (template, end) pairs): it is maximal in these templates, as the
+        text's next word goes on in none of them.
+        """
         base, matches, s, n, i = [], [], 0, 0, 0
+        ends = self.automaton.ends
         for i, (t, m) in enumerate(self.automaton.walk(words)):
-            if m <= n and n >= MIN_MATCH:
-                matches.append((at + i - n, n, s))
+            if n >= MIN_MATCH:
+                if m <= n:
+                    matches.append((at + i - n, n, ends[s]))
+                elif len(ends[t]) < len(ends[s]):
+                    go_on = set(ends[t])
+                    matches.append((at + i - n, n, [(k, end) for k, end in ends[s] if (k, end + 1) not in go_on]))
             base += [(at + i + 1 - size, label) for size, label in self.base[t] if size <= m]
             s, n = t, m
         if n >= MIN_MATCH:
-            matches.append((at + i + 1 - n, n, s))
+            matches.append((at + i + 1 - n, n, ends[s]))
         return base, matches
 
-    def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-        """Covered spans (first word, end, label, coverage) from the matches of one text, in order."""
-        best: list[tuple[int, int, int, int]] = []  # template, words matched, first word, end
-        recent: list[tuple[int, int, int, int, int]] = []  # template, its end, end in text, matched, first
-        for start, size, s in matches:
+    def _label(self, k: int, covered: frozenset) -> str | None:
+        family, version, _ = TEMPLATES[k]
+        always, for_version = self.needed[k]
+        if not always <= covered:
+            return None
+        return f"{family}-{version}" if version and for_version <= covered else family
+
+    def chains(self, matches: list[tuple[int, int, list]]) -> list[tuple[int, int, str, float]]:
+        """Covered spans (first word, end, label, coverage) from the matches of one text, in order.
+
+        A chain of a template takes up matches in the order of both the text and the template. Of
+        overlapping chains the one with more words stays, then the one with fewer words between its matches,
+        then the one that covers more of its template, then the one with a version.
+        """
+        best = []  # words matched, words between matches, coverage, has a version, first word, end, label
+        recent = []  # template, its end, end in text, matched, first word, covered places
+        for start, size, ends in matches:
             recent = [r for r in recent if start - r[2] <= MAX_GAP]
             new = []
-            for k, end in self.automaton.ends[s]:
+            for k, end in ends:
                 if k >= len(self.sizes):
                     continue
-                matched, first = size, start
-                for rk, rend, rtext, rmatched, rfirst in recent:
+                own = frozenset(range(end - size, end))
+                matched, first, covered = size, start, own
+                for rk, rend, rtext, rmatched, rfirst, rcovered in recent:
                     if rk == k and rend <= end - size and rtext <= start and rmatched + size > matched:
-                        matched, first = rmatched + size, rfirst
-                new.append((k, end, start + size, matched, first))
+                        matched, first, covered = rmatched + size, rfirst, rcovered | own
+                new.append((k, end, start + size, matched, first, covered))
             recent += new
-            best += [(k, matched, first, end) for k, _, end, matched, first in new if matched >= MIN_COVERAGE * self.sizes[k]]
-        spans: list[tuple[int, int, str, float]] = []
-        for k, matched, first, end in sorted(best, key=lambda b: (-b[1], -b[1] / self.sizes[b[0]], b[2])):
-            if all(end <= a or first >= b for a, b, _, _ in spans):
-                spans.append((first, end, TEMPLATES[k][0], matched / self.sizes[k]))
+            for k, _, end, matched, first, covered in new:
+                label = self._label(k, covered) if matched >= MIN_COVERAGE * self.sizes[k] else None
+                if label:
+                    best.append((matched, end - first - matched, matched / self.sizes[k], label != TEMPLATES[k][0], first, end, label))
+        taken: list[tuple[int, int]] = []
+        spans = []
+        for _, _, coverage, _, first, end, label in sorted(best, key=lambda b: (-b[0], b[1], -b[2], not b[3], b[4], b[6])):
+            i = bisect.bisect_left(taken, (first, end))
+            if (i == 0 or taken[i - 1][1] <= first) and (i == len(taken) or taken[i][0] >= end):
+                taken.insert(i, (first, end))
+                spans.append((first, end, label, coverage))
         return sorted(spans)
 
 
@@ -203,7 +257,7 @@ def scan_licences(docs: DataFrame, text: str = "text") -> DataFrame:
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: base places, labels of base phrases and covered templates, and a score.
 
-    The score is 0.9 where a base phrase stands, or the largest coverage of a template, if higher.
+    The score is what the largest coverage of a template leaves open, cut to a tenth by each base place, from 1.
     """
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = scan_licences(docs)
@@ -217,5 +271,5 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(base["start"]).alias("last_word"),
         labels(base["label"]).alias("base_labels"),
         labels(base["label"], spans["label"]).alias("labels"),
-        F.greatest(F.when(F.size(base) > 0, 0.9).otherwise(0.0), F.coalesce(F.array_max(spans["coverage"]), F.lit(0.0))).alias("score"),
+        (1 - (1 - F.coalesce(F.array_max(spans["coverage"]), F.lit(0.0))) * F.pow(F.lit(0.1), F.size(base))).alias("score"),
     )

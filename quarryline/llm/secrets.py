@@ -1,11 +1,20 @@
 """Secret scan: fixed patterns, and a randomness test battery for other strings (operator 5).
 
-Runs of encoding characters are candidates. Each gets the encoding that its characters allow and
-three tests of randomness: chi-squared uniformity over the encoding's alphabet, the number of runs
-above and below the alphabet's middle, and serial correlation of neighbours. Fisher's method joins
-the three p-values. Ordinary strings fail randomness; which do is decided by Benjamini-Hochberg
-within strata of length (short strings have less power), from counts of p-values over the whole
-table. What is not rejected is a secret.
+Runs of at least MIN_LENGTH encoding characters that touch no fixed pattern are candidates (in
+shorter ones the battery tells random strings from words no more). Each gets the encoding that its
+characters allow and three tests of randomness: chi-squared uniformity over the encoding's
+alphabet, the number of runs above and below the alphabet's middle, and serial correlation of
+neighbours. The tests of one string depend on each other, and in short strings no limit
+distribution holds: Fisher's sum of their logarithms is therefore ranked among NULLS random strings
+of the same alphabet and length, drawn once with a fixed seed. Beyond LONG characters the limit
+distributions hold and the Cauchy combination, which dependence does not upset, joins them.
+
+Under randomness the joint p is uniform; ordinary strings have small ones. Within strata of length
+(short strings have less power) the share of random strings is estimated from the upper half of
+the p-values of the whole table, and the smallest level is taken beyond which at most ALPHA of the
+strings are expected to be ordinary: the false discovery rate of secrets. What lies beyond is a secret.
+Where ordinary strings are so many that this level would give up more than MOST_LOST of the random
+ones, MOST_LOST is the level: a missed key costs more than a false alarm.
 
 Defined results: a null or empty text has no spans; repeated rows get equal results; an empty table
 gives an empty result; other columns are ignored.
@@ -13,6 +22,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -27,7 +37,8 @@ from quarryline.llm.common import append_columns, long_array, materialise, read
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+MIN_LENGTH = 20
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}")
 KINDS = ["assign", "access", "hex", "random"]
 #: Alphabets by encoding, the narrowest that holds a string is its encoding.
 ALPHABETS = {
@@ -42,42 +53,63 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 _VALUE = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
-#: Share of false discoveries of ordinary strings, and so about the most of random ones that is lost; strata of length (each sqrt(2) longer); bins of p.
-ALPHA, STRATA, BINS = 0.01, 9, 4000
+#: Share of ordinary strings among those found, and of random ones that may be lost for it; strata of length (each sqrt(2) longer); bins of p.
+ALPHA, MOST_LOST, STRATA, BINS = 0.1, 0.03, 9, 2_000
+#: Random strings that a short one is ranked among, and the longest that is.
+NULLS, LONG = 2_000, 256
+
+
+def _statistics(x: np.ndarray, size: int) -> np.ndarray:
+    """Of every row of x, values below ``size``: chi-squared, the runs' and the serial correlation's |z|."""
+    m, n = x.shape
+    counts = np.zeros((m, size))
+    np.add.at(counts, (np.arange(m)[:, None], x), 1)
+    uniform = (counts * counts).sum(1) * size / n - n
+    high = x >= size // 2
+    n1 = high.sum(1).astype(float)
+    mean = 2 * (n - n1) * n1 / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = np.abs((high[:, 1:] != high[:, :-1]).sum(1) + 1 - mean)
+    runs = np.where(var > 0, runs / np.sqrt(np.where(var > 0, var, 1)), np.where((n1 == 0) | (n1 == n), 1e3, 0))
+    y = x - x.mean(1, keepdims=True)
+    total = (y * y).sum(1)
+    serial = np.abs(((y[:, 1:] * y[:, :-1]).sum(1) / np.where(total > 0, total, 1) + 1 / n) * math.sqrt(n))
+    return np.column_stack([uniform, runs, np.where(total > 0, serial, 1e3)])
+
 
+def _tails(null: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Share of the sorted null, and of the value itself, at or above each x."""
+    return (len(null) - np.searchsorted(null, x, side="left") + 1) / (len(null) + 1)
 
-def _normal_tail(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+
+@functools.lru_cache(4096)
+def _null(size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted statistics of NULLS random strings, and their sorted Fisher sums."""
+    stats = _statistics(np.random.default_rng([size, n]).integers(0, size, (NULLS, n)), size)
+    each = np.sort(stats, axis=0)
+    fisher = -sum(np.log(_tails(each[:, k], stats[:, k])) for k in range(3))
+    return each, np.sort(fisher)
 
 
 def _chi2_tail(x: float, df: int) -> float:
     """Upper tail by the cube-root approximation of the chi-squared distribution."""
-    z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-    return 0.5 * math.erfc(z / math.sqrt(2))
+    z = (max(x, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))
+    return 0.5 * math.erfc(z / math.sqrt(2 / (9 * df)) / math.sqrt(2))
 
 
 def randomness(s: str) -> float:
-    """Joint p-value of the three tests: small where s is not a uniformly random string."""
+    """Joint p-value of the three tests: small where s is not a uniformly random string of its encoding."""
     chars = set(s)
     name = next(k for k, v in _VALUE.items() if chars <= v.keys())
-    size, x = len(_VALUE[name]), np.array([_VALUE[name][c] for c in s])
-    n = len(x)
-    counts = np.bincount(x, minlength=size)
-    uniform = _chi2_tail(float((counts * counts).sum()) * size / n - n, size - 1)
-    high = x >= size // 2
-    n1 = int(high.sum())
-    n0 = n - n1
-    if n1 == 0 or n0 == 0:
-        runs = 0.0
-    else:
-        mean = 2 * n0 * n1 / n + 1
-        var = (mean - 1) * (mean - 2) / max(n - 1, 1)
-        runs = _normal_tail((int((high[1:] != high[:-1]).sum()) + 1 - mean) / math.sqrt(var)) if var > 0 else 1.0
-    y = x - x.mean()
-    total = float((y * y).sum())
-    serial = _normal_tail((float((y[1:] * y[:-1]).sum()) / total + 1 / n) * math.sqrt(n)) if total > 0 else 0.0
-    half = -sum(math.log(max(p, 1e-12)) for p in (uniform, runs, serial))
-    return math.exp(-half) * (1 + half + half * half / 2)  # chi-squared of 6 degrees
+    size, x = len(_VALUE[name]), np.array([[_VALUE[name][c] for c in s]])
+    stats = _statistics(x, size)[0]
+    if len(s) <= LONG:
+        each, sums = _null(size, len(s))
+        fisher = -sum(math.log(float(_tails(each[:, k], stats[k]))) for k in range(3))
+        return float(_tails(sums, fisher - 1e-12))
+    tails = [_chi2_tail(stats[0], size - 1), *(math.erfc(z / math.sqrt(2)) for z in stats[1:])]
+    cauchy = sum(math.tan((0.5 - min(max(p, 1e-15), 1 - 1e-15)) * math.pi) for p in tails) / 3
+    return 0.5 - math.atan(cauchy) / math.pi
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -111,30 +143,38 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
                 counts[k].append(sum(kind == k for _, kind, _ in base))
             digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
             bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
-            tests.append([{"start": a, "end": b, "stratum": min(STRATA - 1, int(2 * math.log2(len(s) / 20))), "p": randomness(s)} for a, b, s in candidates(t or "", base)])
+            tests.append([{"start": a, "end": b, "stratum": min(STRATA - 1, int(2 * math.log2(len(s) / MIN_LENGTH))), "p": randomness(s)} for a, b, s in candidates(t or "", base)])
         return [*map(long_array, counts), pa.array(digests, pa.string()), pa.array(bases, pa.list_(span)), pa.array(tests, pa.list_(tested))]
 
     ddl = "sec_assign long, sec_access long, sec_hex long, sec_base_sha256 string, sec_base array<struct<start: long, kind: int, end: long>>, sec_tests array<struct<start: long, end: long, stratum: int, p: double>>"
     found = materialise(append_columns(docs, make, ddl, text).drop(text), "secrets")
     limits = thresholds(found)
     limit = F.array(*[F.lit(x) for x in limits])
-    random = F.transform(F.filter("sec_tests", lambda c: c["p"] > limit[c["stratum"]]), lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), c["end"].alias("end")))
+    random = F.transform(F.filter("sec_tests", lambda c: c["p"] >= limit[c["stratum"]]), lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), c["end"].alias("end")))
     return found.withColumn("sec_spans", F.array_sort(F.concat("sec_base", random))).drop("sec_base", "sec_tests")
 
 
 def thresholds(found: DataFrame) -> list[float]:
-    """Per stratum, the largest p at which Benjamini-Hochberg rejects randomness, from counts in BINS bins."""
+    """Per stratum, the level of p beyond which strings are secrets, from counts in BINS bins."""
     tests = found.select(F.explode("sec_tests").alias("t")).select("t.stratum", F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     counts = np.zeros((STRATA, BINS))
     for r in tests.groupBy("stratum", "bin").count().collect():  # at most STRATA x BINS rows
         counts[r["stratum"], r["bin"]] = r["count"]
-    out = []
-    for row in counts:
-        total, below = row.sum(), np.cumsum(row)
-        upper = np.arange(1, BINS + 1) / BINS
-        passed = np.flatnonzero(upper <= ALPHA * below / total) if total else []
-        out.append(float(upper[passed[-1]]) if len(passed) else 1 / BINS)
-    return out
+    return [level(row) for row in counts]
+
+
+def level(counts: np.ndarray) -> float:
+    """The smallest p beyond which at most ALPHA of the strings are expected to be ordinary, or MOST_LOST.
+
+    The upper half of the p-values is taken to be of random strings, whose p is uniform.
+    """
+    bins = len(counts)
+    beyond = counts[::-1].cumsum()[::-1]
+    random = 2 * beyond[bins // 2]
+    for k in range(1, int(MOST_LOST * bins)):
+        if beyond[k] and 1 - random * (1 - k / bins) / beyond[k] <= ALPHA:
+            return k / bins
+    return MOST_LOST
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
