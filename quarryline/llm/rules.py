@@ -5,9 +5,12 @@ statistics from a minimum-covariance-determinant estimate of their group (langua
 leftover documents of small groups form one group per language, then one of all). Leftover documents
 that are too few even so are judged by the estimate of all rows of their language, or, where those
 are fewer than MIN_ROWS, of all rows of the table. Every estimate
-starts from medians and median deviations and takes concentration steps: the ``H`` share of rows
-nearest by the last estimate gives the next mean and covariance. Rows are summed inside Spark with
-partial aggregation, one matrix row per group is factored on the executors.
+has three deterministic starts: medians and median deviations, the covariance of the signs of
+standardised rows, and the plain mean and covariance. Each takes concentration steps: the ``H``
+share of rows nearest by the last estimate gives the next mean and covariance, so the determinant
+falls. After FIRST_STEPS the start of the least determinant goes on until its logarithm moves by
+less than CONVERGED, or for MOST_STEPS. Rows are summed inside Spark with partial aggregation, one
+matrix row per group is factored on the executors.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and
 sources are groups of their own; where fewer than MIN_ROWS rows of the whole table pass the base rules, the
@@ -16,18 +19,21 @@ method rejects nothing.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import join_groups, materialise, read
+from quarryline.llm.common import BROADCAST_ROWS, join_groups, materialise, read
 from quarryline.llm.textstats import with_stats
 
 #: Statistics that are compared (places in textstats.FEATURES); repeats have a base rule of their own.
 USED = [0, 1, 2, 3, 8]
-#: Share of a group's rows in the estimate, steps, rows that a group needs.
-H, STEPS, MIN_ROWS = 0.75, 3, 200
+#: Share of a group's rows in the estimate, steps of every start and at most, the change of the
+#: determinant's logarithm that ends them, rows that a group needs.
+H, FIRST_STEPS, MOST_STEPS, CONVERGED, MIN_ROWS = 0.75, 2, 15, 1e-3, 200
 #: Least standard deviation of a statistic, so that constant ones stay finite; squared distance, in
 #: units of the median of its group (36: six times the median distance), beyond which a document is rejected.
 FLOOR, CUTOFF = 0.25, 36.0
@@ -45,29 +51,39 @@ def _distance(p: int) -> Column:
     return sum((r * r for r in rows[1:]), rows[0] * rows[0])
 
 
-def _whiten(center: np.ndarray, cov: np.ndarray) -> tuple[list[float], list[float]]:
-    """The inverse Cholesky factor's lower triangle, from a covariance with a floor on its diagonal."""
-    low = np.linalg.inv(np.linalg.cholesky(cov + np.eye(len(cov)) * FLOOR**2))
-    return center.tolist(), low[np.tril_indices(len(cov))].tolist()
+def whiten(center: np.ndarray, cov: np.ndarray) -> tuple[list[float], list[float], float]:
+    """The center, the inverse Cholesky factor's lower triangle and the log determinant, from a covariance with a floor on its diagonal."""
+    low = np.linalg.cholesky(cov + np.eye(len(cov)) * FLOOR**2)
+    return center.tolist(), np.linalg.inv(low)[np.tril_indices(len(cov))].tolist(), 2 * float(np.log(np.diag(low)).sum())
+
 
+def covariance(n: float, s: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from the count, the sums and the lower triangle of the cross products."""
+    p, mean = len(s), s / n
+    cov = np.zeros((p, p))
+    cov[np.tril_indices(p)] = q / n
+    cov = cov + np.tril(cov, -1).T - np.outer(mean, mean)
+    values, vectors = np.linalg.eigh(cov)
+    return mean, (vectors * np.maximum(values, 0)) @ vectors.T
 
-def _factor(sums: DataFrame, p: int) -> DataFrame:
-    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+
+def _factor(sums: DataFrame) -> DataFrame:
+    """Estimates (grp, start, mcd_center, mcd_w, logdet) from sums; with ``med`` and ``scale``, from sums of signs."""
 
     def run(frames):
         for df in frames:
             out = []
             for row in df.itertuples(index=False):
-                n, s, q = row.n, np.array(row.s), np.array(row.q)
-                mean, cov = s / n, np.zeros((p, p))
-                for (i, j), v in zip(pairs, q):
-                    cov[i, j] = cov[j, i] = v / n - mean[i] * mean[j]
-                cov[np.diag_indices(p)] = np.maximum(cov[np.diag_indices(p)], 0)
-                values, vectors = np.linalg.eigh(cov)
-                out.append((row.grp, *_whiten(mean, (vectors * np.maximum(values, 0)) @ vectors.T)))
-            yield pd.DataFrame(out, columns=["grp", "mcd_center", "mcd_w"])
+                mean, cov = covariance(row.n, np.array(row.s), np.array(row.q))
+                if len(row.med):
+                    scale = np.array(row.scale)
+                    # The signs' eigenvectors, with the spread that the median deviations have along them.
+                    _, vectors = np.linalg.eigh(cov)
+                    mean, cov = np.array(row.med), np.outer(scale, scale) * ((vectors * np.maximum(np.diag(vectors.T @ cov @ vectors) * len(scale), 1e-3)) @ vectors.T)
+                out.append((row.grp, row.start, *whiten(mean, cov)))
+            yield pd.DataFrame(out, columns=["grp", "start", "mcd_center", "mcd_w", "logdet"])
 
-    return sums.mapInPandas(run, "grp string, mcd_center array<double>, mcd_w array<double>")
+    return sums.mapInPandas(run, "grp string, start int, mcd_center array<double>, mcd_w array<double>, logdet double")
 
 
 def outliers(stats: DataFrame) -> DataFrame:
@@ -100,18 +116,49 @@ def outliers(stats: DataFrame) -> DataFrame:
     def attach(df, params):
         return join_groups(df, params, ["grp"], F.col("doc_id"))
 
+    def estimates(df, params):
+        """Every row with each start of its group's estimate."""
+        most = params.count()
+        if most > BROADCAST_ROWS:
+            starts = [params.where(F.col("start") == k) for k in range(3)]
+            return functools.reduce(DataFrame.unionByName, [attach(df, materialise(one, "mcd-one")).where("mcd_w is not null") for one in starts])
+        return df.join(F.broadcast(params.withColumnRenamed("grp", "_p")), F.col("grp") == F.col("_p")).drop("_p")
+
+    def sums_of(df, v):
+        products = F.array(*[F.sum(v[a] * v[b]) for a in range(p) for b in range(a + 1)])
+        return df.groupBy("grp", "start").agg(F.count("*").alias("n"), F.array(*[F.sum(c) for c in v]).alias("s"), products.alias("q"))
+
+    used = materialise(used.select("grp", "doc_id", "st_features"), "mcd-used")
     medians = used.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{j}") for j, c in enumerate(x)])
     medians = materialise(medians.where(F.col("n") >= MIN_ROWS).select("grp", F.array(*[f"m{j}" for j in range(p)]).alias("med")), "mcd-medians")
     spread = attach(used, medians).where("med is not null").groupBy("grp").agg(*[F.percentile_approx(F.abs(c - F.col("med")[j]), 0.5, 1000).alias(f"d{j}") for j, c in enumerate(x)])
-    scale = [1 / F.sqrt(F.pow(F.col(f"d{j}") * 1.4826, 2) + FLOOR**2) for j in range(p)]
-    diagonal = F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)])
-    params = materialise(attach_center(spread.select("grp", diagonal.alias("mcd_w")), medians), "mcd-start")
-    for step in range(STEPS):
-        near = attach(used, params).where("mcd_w is not null").withColumn("mcd_d2", _distance(p))
-        limit = materialise(near.groupBy("grp").agg(F.percentile_approx("mcd_d2", H, 1000).alias("limit")), "mcd-limit")
-        kept = attach(near, limit).where("mcd_d2 <= limit")
-        sums = kept.groupBy("grp").agg(F.count("*").alias("n"), F.array(*[F.sum(c) for c in x]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i in range(p) for j in range(i + 1)]).alias("q"))
-        params = materialise(_factor(sums, p), f"mcd-step{step}")
+    scales = F.array(*[F.sqrt(F.pow(F.col(f"d{j}") * 1.4826, 2) + FLOOR**2) for j in range(p)])
+    middle = medians.select(F.col("grp").alias("_g"), "med")
+    middle = materialise(spread.select("grp", scales.alias("scale")).join(middle, F.col("grp") == F.col("_g")).drop("_g"), "mcd-middle")
+    # Sums of the three starts: of one constant row for the medians, of signs, of the rows themselves.
+    none = F.array().cast("array<double>")
+    constant = middle.select("grp", F.lit(0).alias("start"), F.lit(1).cast("long").alias("n"), F.col("med").alias("s"), F.array(*[F.col("med")[a] * F.col("med")[b] + (F.pow(F.col("scale")[a], 2) - FLOOR**2 if a == b else F.lit(0.0)) for a in range(p) for b in range(a + 1)]).alias("q"), none.alias("med"), none.alias("scale"))
+    z = attach(used, middle).where("med is not null").withColumn("start", F.lit(1))
+    z = z.withColumn("z", F.array(*[(c - F.col("med")[j]) / F.col("scale")[j] for j, c in enumerate(x)]))
+    norm = F.sqrt(F.aggregate("z", F.lit(1e-12), lambda t, v: t + v * v))
+    signs = sums_of(z.withColumn("z", F.transform("z", lambda v: v / norm)), [F.col("z")[j] for j in range(p)])
+    signs = signs.join(middle.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g")).drop("_g")
+    plain = sums_of(attach(used, middle).where("med is not null").withColumn("start", F.lit(2)), x).withColumns({"med": none, "scale": none})
+    params = materialise(_factor(constant.unionByName(signs).unionByName(plain)), "mcd-start")
+    for step in range(MOST_STEPS):
+        near = estimates(used, params).withColumn("mcd_d2", _distance(p))
+        limit = materialise(near.groupBy("grp", "start").agg(F.percentile_approx("mcd_d2", H, 1000).alias("limit")), "mcd-limit")
+        kept = join_groups(near, limit, ["grp", "start"], F.col("doc_id")).where("mcd_d2 <= limit")
+        new = materialise(_factor(sums_of(kept, x).withColumns({"med": none, "scale": none})), f"mcd-step{step}")
+        if step + 1 == FIRST_STEPS:
+            order = F.struct("logdet", "start")
+            least = new.groupBy("grp").agg(F.min_by(F.struct(*new.columns[1:]), order).alias("b"))
+            new = materialise(least.select("grp", "b.*"), "mcd-best")
+        moved = new.alias("a").join(params.alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.start") == F.col("b.start"))).agg(F.max(F.abs(F.col("a.logdet") - F.col("b.logdet")))).first()[0]
+        params = new
+        if step + 1 >= FIRST_STEPS and (moved is None or moved < CONVERGED):
+            break
+    params = params.drop("start", "logdet")
     near = attach(used, params).where("mcd_w is not null").withColumn("mcd_d2", _distance(p))
     unit = near.groupBy("grp").agg(F.percentile_approx("mcd_d2", 0.5, 1000).alias("mcd_unit"))
     final = materialise(unit.join(params.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g")).drop("_g"), "mcd-final")
@@ -120,10 +167,6 @@ def outliers(stats: DataFrame) -> DataFrame:
     return out.withColumn("mcd_d2", d2).drop("grp", "mcd_w", "mcd_center", "mcd_unit")
 
 
-def attach_center(params: DataFrame, medians: DataFrame) -> DataFrame:
-    return params.join(medians.select(F.col("grp").alias("_g"), F.col("med").alias("mcd_center")), F.col("grp") == F.col("_g")).drop("_g")
-
-
 def apply_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, the counts, ``base_failed``, ``mcd_d2`` and ``kept`` of every document."""
     whole = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
