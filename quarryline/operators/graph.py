@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.sources.files import shared_path
+from quarryline.sources.files import saved
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -53,21 +54,24 @@ def _step(ranks: DataFrame, p: DataFrame) -> DataFrame:
     return p.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
 
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _by_source(edges: DataFrame) -> DataFrame:
+    """The transition table, partitioned by src once and kept, so that only ranks move in an iteration."""
+    p = saved(transition_probabilities(edges), "transition")
+    n = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return p.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def power_iteration(edges: DataFrame, n_iter: int) -> DataFrame:
     """x <- xT from 1/N; the mass of dangling nodes leaks."""
-    p, ranks = _saved(transition_probabilities(edges), "transition"), init_graph(edges)
-    ids = _saved(ranks.select("id"), "nodes")
+    p, ranks = _by_source(edges), init_graph(edges)
+    ids = saved(ranks.select("id"), "nodes")
     for i in range(n_iter):
         got = _step(ranks, p)
         ranks = ids.join(got, ids["id"] == got["dst"], "left").select("id", F.coalesce("got", F.lit(0.0)).alias("rank"))
         if i % 5 == 4:
-            ranks = _saved(ranks, "ranks")
+            ranks = saved(ranks, "ranks")
+    ranks = saved(ranks, "ranks")
+    p.unpersist()
     return ranks
 
 
@@ -76,9 +80,9 @@ def pagerank(edges: DataFrame, alpha: float = 0.15, max_iter: int = 10, mode: st
 
     ``log`` gets (iteration, missing mass, total) for each iteration, from one-row aggregates.
     """
-    p, start = _saved(transition_probabilities(edges), "transition"), _saved(init_graph(edges), "nodes")
+    p, start = _by_source(edges), saved(init_graph(edges), "nodes")
     n = start.count()
-    dangling = _saved(dangling_nodes(edges).withColumnRenamed("id", "_id"), "dangling")
+    dangling = saved(dangling_nodes(edges).withColumnRenamed("id", "_id"), "dangling")
     ranks = start if mode == "mass" else start.withColumn("rank", F.lit(1.0))
     for i in range(max_iter):
         got = _step(ranks, p)
@@ -90,8 +94,10 @@ def pagerank(edges: DataFrame, alpha: float = 0.15, max_iter: int = 10, mode: st
                 log.append((i, missing.first()["m"], ranks.agg(F.sum("rank")).first()[0]))
         else:
             ranks = joined.select("id", (F.lit(alpha) + (1 - alpha) * F.col("got")).alias("rank"))
-        if i % 5 == 4:
-            ranks = _saved(ranks, "ranks")
+        if mode == "mass" or i % 5 == 4:  # the mass is read twice, by the next missing mass and step
+            ranks = saved(ranks, "ranks")
+    ranks = saved(ranks, "ranks")
+    p.unpersist()
     return ranks
 
 

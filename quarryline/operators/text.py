@@ -51,9 +51,11 @@ def get_vocab(grams: DataFrame, n_total: int, n_basis: int, stopwords: DataFrame
 
 def build_stripes(grams: DataFrame, vocab: DataFrame) -> DataFrame:
     """Long form (item, feature): vocabulary words with the basis words beside them."""
-    pairs = word_pairs(grams).select(F.col("w1").alias("item"), F.col("w2").alias("feature"))
-    pairs = lookup(pairs, vocab.select(F.col("word").alias("item")), "item", "left_semi")
-    return lookup(pairs, vocab.where("basis").select(F.col("word").alias("feature")), "feature", "left_semi")
+    words = F.array_distinct(tokens_ws(F.col("ngram")))
+    items = lookup(grams.select(words.alias("w")).select("w", F.explode("w").alias("item")), vocab.select(F.col("word").alias("item")), "item", "left_semi")
+    # Only n-grams of a vocabulary word are paired, and only with basis words kept.
+    pairs = items.select("item", F.explode("w").alias("feature")).where("item != feature")
+    return lookup(pairs, vocab.where("basis").select(F.col("word").alias("feature")), "feature", "left_semi").select("item", "feature").distinct()
 
 
 def similarity(items: DataFrame) -> DataFrame:

@@ -58,12 +58,11 @@ def _(s, d):
 
 
 def edges(s, d) -> DataFrame:
-    """Supplier to part links below 40, in one id space, with counts; parts without links on are dangling."""
-    li = t(s, d, "lineitem").where("l_quantity < 40")
-    return li.groupBy((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + F.when(F.col("l_partkey") % 3 == 0, 0).otherwise(1)).alias("dst")).agg(F.count("*").alias("weight"))
+    """Supplier to part links in one id space, with counts; parts without links on are dangling."""
+    return t(s, d, "lineitem").groupBy((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + F.when(F.col("l_partkey") % 3 == 0, 0).otherwise(1)).alias("dst")).agg(F.count("*").alias("weight"))
 
 
-E = "SELECT l_suppkey * 2 AS src, l_partkey * 2 + CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 END AS dst, count(*) AS weight FROM lineitem WHERE l_quantity < 40 GROUP BY 1, 2"
+E = "SELECT l_suppkey * 2 AS src, l_partkey * 2 + CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 END AS dst, count(*) AS weight FROM lineitem GROUP BY 1, 2"
 NODES = "SELECT src AS id FROM e UNION SELECT dst FROM e"
 
 
@@ -238,7 +237,14 @@ VOCAB = f"SELECT word, n, (row_number() OVER (ORDER BY n DESC, word) - 1)::INTEG
 vocab = lambda s, d: T.get_vocab(grams(s, d), 300, 100, rows(s, [("the",), ("of",), ("and",)], "word string"))
 query("t6_vocab", VOCAB)(vocab)
 STRIPES = f"SELECT w1 AS item, w2 AS feature FROM ({PAIRS}) WHERE w1 IN (SELECT word FROM ({VOCAB})) AND w2 IN (SELECT word FROM ({VOCAB}) WHERE basis)"
-stripes = lambda s, d: T.build_stripes(grams(s, d), vocab(s, d))
+
+
+def stripes(s, d) -> DataFrame:
+    g = files.saved(grams(s, d), "ngram-counts")  # read for the vocabulary and for the pairs
+    words = files.saved(T.get_vocab(g, 300, 100, rows(s, [("the",), ("of",), ("and",)], "word string")), "vocabulary")
+    return T.build_stripes(g, words)
+
+
 query("t7_stripes", STRIPES)(stripes)
 SIM = "z AS (SELECT item, count(*) AS n FROM i GROUP BY 1), p AS (SELECT x.item AS a, y.item AS b, count(*) AS c FROM i x JOIN i y ON x.feature = y.feature AND x.item < y.item GROUP BY 1, 2), q AS (SELECT a, b, c, u.n AS n1, v.n AS n2 FROM p JOIN z u ON u.item = a JOIN z v ON v.item = b) SELECT a, b, c AS common, round(c / sqrt(n1 * n2), 9) AS cosine, round(c / (n1 + n2 - c), 9) AS jaccard, round(c / least(n1, n2), 9) AS \"overlap\", round(2 * c / (n1 + n2), 9) AS dice, round((c / sqrt(n1 * n2) + c / (n1 + n2 - c) + c / least(n1, n2) + 2 * c / (n1 + n2)) / 4, 9) AS mean_score FROM q"
 query("t8_similarity", f"WITH i AS ({STRIPES}), {SIM}")(lambda s, d: T.similarity(stripes(s, d)))

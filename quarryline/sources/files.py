@@ -16,7 +16,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; where that is unset and Spark is local, a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -71,3 +71,10 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("quote", "").csv(path)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
