@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 50_000
 #: A group that holds more than one in SHARES of all rows is joined by broadcast; there are at most SHARES of them.
 SHARES = 256
-_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Paths of scratch tables that have not been deleted.
 _made: set[str] = set()
 
@@ -34,19 +34,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: later steps depend on files alone.
+def bound_batches(spark: SparkSession) -> None:
+    """Python workers get batches of at most BATCH_BYTES, where the session does not say otherwise.
 
-    Python workers get batches of at most BATCH_BYTES meanwhile; the session's own setting comes back after.
+    Spark's own bound is a number of rows, which long texts fill with any amount of memory.
     """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: later steps depend on files alone."""
     path = path or scratch(df.sparkSession, name)
-    conf = df.sparkSession.conf
-    before = conf.get(_BATCH, None)
-    conf.set(_BATCH, BATCH_BYTES)
-    try:
-        df.write.parquet(path)
-    finally:
-        conf.set(_BATCH, before) if before is not None else conf.unset(_BATCH)
+    bound_batches(df.sparkSession)
+    df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -133,9 +134,10 @@ def append_columns(df: DataFrame, make, ddl: str, column: str = "text") -> DataF
     """
     import pyarrow as pa
 
-    from quarryline.llm.words import text_chunks
+    from quarryline.llm.words import give_back, text_chunks
 
     more = T.StructType.fromDDL(ddl)
+    bound_batches(df.sparkSession)
     df = df.drop(*more.names)
 
     def run(batches):
@@ -143,6 +145,7 @@ def append_columns(df: DataFrame, make, ddl: str, column: str = "text") -> DataF
             for chunk in text_chunks(batch, column):
                 made = make(chunk)
                 yield pa.RecordBatch.from_arrays([*chunk.columns, *made], [*chunk.schema.names, *more.names])
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *more.fields]))
 

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import aside, back, discard, join_shares, materialise, read
-from quarryline.llm.words import SOLID, Members, scan, text_chunks, windows
+from quarryline.llm.words import SOLID, Members, give_back, scan, text_chunks, windows
 
 #: A shingle in this many sets of one block is counted as frequent; the most frequent that are put last.
 #: Both shape the order of shingles alone: any order gives the same links.
@@ -101,6 +101,7 @@ def _nodes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                     yield frequent(sets)
                     sets = []
             yield frequent(sets)
+        give_back()
 
     def frequent(sets):
         h, c = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
@@ -199,6 +200,9 @@ def _shared(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray, r
                     tokens, owners, held = [], [], 0
         if held:
             yield block()
+        tokens.clear()
+        owners.clear()
+        give_back()
 
     def meet(table: pa.Table) -> pa.Table:
         blocks, sets = table.filter(table["tokens"].is_valid()), table.filter(table["key"].is_valid())

@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import join_groups, materialise, read, scratch
-from quarryline.llm.words import SOLID, scan, text_chunks
+from quarryline.llm.common import bound_batches, join_groups, materialise, read, scratch
+from quarryline.llm.words import SOLID, give_back, scan, text_chunks
 
 #: A segment is closed at the first document end at or after this many ids.
 SEGMENT_TOKENS = 1 << 18
 #: Most entries of a worker's table of encoded words (some 40 bytes each); it is emptied when full.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000
 _BLOCK_BITS = 256
 _DTYPE = {8: np.uint8, 16: np.uint16}
 SEGMENTS = "part int, seq int, start_in_part long, total long, doc_ids array<long>, n_tokens array<long>, payload binary"
@@ -193,7 +193,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.size, self.start, self.count, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
+        self.size, self.start, self.count, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4")
 
     def _find(self, hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The row of each piece, -1 for those that the table lacks."""
@@ -213,7 +213,7 @@ class Encoder:
         order = np.argsort(self.known, kind="stable")
         self.known, self.row = self.known[order], self.row[order]
         self.size = np.concatenate([self.size, np.fromiter(map(len, pieces), np.int32, len(pieces))])
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+        self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(count) - count).astype(np.int32)])
         self.count = np.concatenate([self.count, count.astype(np.int32)])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
 
@@ -233,7 +233,7 @@ class Encoder:
                 row = self._find(each, size[at])
             # Two pieces of one hash in these texts have different lengths, or are taken for one.
             if (row >= 0).all() and (size == size[at][piece]).all():
-                start, n = self.start[row][piece], self.count[row][piece].astype(np.int64)
+                start, n = self.start[row][piece].astype(np.int64), self.count[row][piece].astype(np.int64)
                 ends = np.cumsum(n)
                 ids = self.ids[np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
                 return ids, np.diff(np.r_[0, ends][w.first])
@@ -251,6 +251,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     ``tokenizer`` is the path of a file for the tokenizers library on every machine.
     """
+    bound_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # The text's hash orders rows of one doc_id and lets a range end among them.
     ordered = ordered.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
@@ -286,6 +287,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                         doc_ids, sizes, ids = [], [], []
         if doc_ids:
             yield segment()
+        give_back()
 
     ordered.mapInArrow(run, SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 

@@ -8,6 +8,8 @@ word classes below are exact on bytes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,6 +86,13 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_B
         i = j
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker waits for its next task, beside others, without it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has it on Linux alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _buffers(texts) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
