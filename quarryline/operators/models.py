@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, classification, feature, regression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 # ---- Gram matrices: rows are reduced to d x d by Spark, algebra on that is done on the driver
+def gram_sums(df: DataFrame, x: list[str], y: str, by: list[str] = ()) -> DataFrame:
+    """Per key, the sums of products of (1, x..., y): the lower triangle of the matrix as columns s<i>_<j>."""
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x], F.col(y).cast("double")]
+    sums = [F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(len(cols)) for j in range(i + 1)]
+    return df.dropna(subset=[*x, y]).groupBy(*by).agg(*sums)
+
+
 def gram(df: DataFrame, x: list[str], y: str, by: list[str] = ()) -> dict[tuple, np.ndarray]:
     """Per key, the matrix of sums of products of (1, x..., y)."""
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x], F.col(y).cast("double")]
-    d = len(cols)
-    sums = [F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i + 1)]
-    out = {}
-    for r in df.dropna(subset=[*x, y]).groupBy(*by).agg(*sums).collect():
+    d, out = len(x) + 2, {}
+    for r in gram_sums(df, x, y, by).collect():
         g = np.zeros((d, d))
         for i in range(d):
             for j in range(i + 1):
@@ -84,15 +91,50 @@ def sgd(df: DataFrame, x: list[str], y: str, batch: str, n: int, lr: float) -> n
     return w
 
 
+def blocks(df: DataFrame, order: list[str], coarse: Column, size: int) -> DataFrame:
+    """``block``: the consecutive run of ``size`` rows, in the given order, that a row stands in.
+
+    ``coarse`` rises with the order; rows are numbered within its values, after the rows of those before.
+    """
+    marked = df.withColumn("_c", coarse)
+    before = F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+    starts = marked.groupBy("_c").agg(F.count("*").alias("_n")).select("_c", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_c").orderBy(*order)) - 1
+    return marked.join(starts, "_c").withColumn("block", F.floor(place / size)).drop("_c", "_start")
+
+
+def compare_models(df: DataFrame, x: list[str], y: str, weights: dict[str, list[float]]) -> DataFrame:
+    """(model, mse, mae) of named weight vectors on the same rows, in one pass."""
+    scored = df.select(F.col(y).alias("_y"), F.explode(F.create_map(*[v for k, w in weights.items() for v in (F.lit(k), predict(x, w))])).alias("model", "_p"))
+    e = F.col("_y") - F.col("_p")
+    return scored.groupBy("model").agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"))
+
+
+def t_two_sided(t: float, df: float, points: int = 20_001) -> float:
+    """Chance of a larger |t|: with t = sqrt(df) tan(a) the density is a power of cos(a)."""
+    a = np.arctan(abs(t) / np.sqrt(df))
+    area = lambda lo: float(np.trapezoid(np.cos(np.linspace(lo, np.pi / 2, points)) ** (df - 1), dx=(np.pi / 2 - lo) / (points - 1)))
+    return area(a) / area(0.0)
+
+
+def chi2_upper(x: float, df: int) -> float:
+    """Chance of a larger chi-squared value, by the recurrence of the incomplete gamma function in df / 2."""
+    half = x / 2
+    out, a = (math.erfc(math.sqrt(half)), 0.5) if df % 2 else (math.exp(-half), 1.0)
+    while a < df / 2 - 1e-9:
+        out, a = out + half**a * math.exp(-half) / math.gamma(a + 1), a + 1
+    return out
+
+
 def ols(g: np.ndarray, names: list[str], lost: int = 0) -> list[tuple]:
-    """(term, coefficient, std error, t) and, last, the adjusted R2, from a Gram matrix."""
+    """(term, coefficient, std error, t, p) and, last, the adjusted R2, from a Gram matrix."""
     n, xx, xy = g[0, 0], g[:-1, :-1], g[:-1, -1]
     beta = np.linalg.solve(xx, xy)
     rss, tss = float(g[-1, -1] - beta @ xy), float(g[-1, -1] - g[0, -1] ** 2 / n)
     df = n - len(beta) - lost
     se = np.sqrt(np.diag(np.linalg.inv(xx)) * rss / df)
-    rows = [(t, float(b), float(s), float(b / s)) for t, b, s in zip(names, beta, se)]
-    return [*rows, ("adjusted_r2", float(1 - (rss / df) / (tss / (n - 1))), None, None)]
+    rows = [(t, float(b), float(s), float(b / s), t_two_sided(b / s, df)) for t, b, s in zip(names, beta, se)]
+    return [*rows, ("adjusted_r2", float(1 - (rss / df) / (tss / (n - 1))), None, None, None)]
 
 
 def demean(df: DataFrame, entity: str, cols: list[str]) -> DataFrame:
@@ -153,6 +195,12 @@ def poisson_fit_check(df: DataFrame, col: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("x", "n", F.round(F.col("n") / F.col("total"), 9).alias("observed"), F.round(F.exp(power - F.col("m") - log_factorial), 9).alias("expected"))
 
 
+def poisson_moments(df: DataFrame, col: str, z: float = 1.959963984540054) -> DataFrame:
+    """Mean, variance and the Wald interval of a Poisson mean."""
+    m, half = F.avg(col), z * F.sqrt(F.avg(col) / F.count(col))
+    return df.agg(*[F.round(c, 9).alias(name) for c, name in ((m, "mean_n"), (F.var_samp(col), "var_n"), (m - half, "lo"), (m + half, "hi"))])
+
+
 def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
     e = F.col(y) - F.col(pred)
     return df.agg(F.round(F.avg(e * e), 6).alias("mse"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(1 - F.sum(e * e) / (F.var_pop(y) * F.count(y)), 9).alias("r2"))
@@ -173,6 +221,53 @@ def glm(df: DataFrame, y: str, x: list[str], family: str, weight: str | None = N
     return [*[(t, float(b), float(s)) for t, b, s in terms], ("deviance", float(m.summary.deviance), None)]
 
 
+def likelihood_ratio(small: list[tuple], large: list[tuple]) -> tuple[float, float, float, int, float]:
+    """(deviance of the small model, of the large one, their difference, its degrees of freedom, p) of nested fits by ``glm``."""
+    a, b = small[-1][1], large[-1][1]
+    return a, b, a - b, len(large) - len(small), chi2_upper(max(a - b, 0.0), len(large) - len(small))
+
+
+def logit_covariance(df: DataFrame, x: list[str], beta: list[float]) -> np.ndarray:
+    """Covariance of a logistic fit's coefficients (intercept first): the inverse of the weighted Gram matrix."""
+    p = 1 / (1 + F.exp(-predict(x, beta)))
+    root = df.dropna(subset=x).withColumn("_w", F.sqrt(p * (1 - p)))
+    scaled = root.select(F.col("_w").alias("_one"), *[(F.col(c) * F.col("_w")).alias(c) for c in x])
+    return np.linalg.inv(gram(scaled, ["_one", *x], "_one")[()][1:-1, 1:-1])
+
+
+def predict_ci(df: DataFrame, x: list[str], beta: list[float], cov: np.ndarray, z: float = 1.959963984540054) -> DataFrame:
+    """df with prob, lo and hi: a normal interval of the link, transformed back."""
+    link, v = predict(x, beta), [F.lit(1.0), *map(F.col, x)]
+    d = len(v)
+    var = sum((v[i] * v[j] * float(cov[i, j]) for i in range(d) for j in range(d)), F.lit(0.0))
+    se = F.sqrt(F.greatest(var, F.lit(0.0)))
+    back = lambda c: 1 / (1 + F.exp(-c))
+    return df.withColumns({"prob": back(link), "lo": back(link - z * se), "hi": back(link + z * se)})
+
+
+def multinomial_probabilities(x: list[str], coefs: list[list[float]]) -> list[Column]:
+    """A probability of each class; coefficients of a class are (intercept, x...)."""
+    eta = [predict(x, w) for w in coefs]
+    top = F.greatest(*eta)
+    total = sum((F.exp(e - top) for e in eta[1:]), F.exp(eta[0] - top))
+    return [F.exp(e - top) / total for e in eta]
+
+
+def multinomial_loglik(df: DataFrame, x: list[str], label: str, coefs: list[list[float]]) -> DataFrame:
+    eta = [predict(x, w) for w in coefs]
+    top = F.greatest(*eta)
+    total = top + F.log(sum((F.exp(e - top) for e in eta[1:]), F.exp(eta[0] - top)))
+    own = F.element_at(F.array(*eta), F.col(label).cast("int") + 1)
+    return df.dropna(subset=[*x, label]).agg(F.sum(own - total).alias("loglik"))
+
+
+def poisson_by(df: DataFrame, y: str, x: list[str], by: str) -> list[tuple]:
+    """(group, term, estimate, std error, percent change) of a Poisson fit for each value of a column of few values."""
+    groups = [r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
+    fits = ((g, glm(df.where(F.col(by) == F.lit(g)), y, x, "poisson")) for g in groups)
+    return [(g, t, b, se, float(100 * np.expm1(b)) if se is not None else None) for g, terms in fits for t, b, se in terms]
+
+
 def odds_ratios(terms: list[tuple], c: float = 1.0, z: float = 1.959963984540054) -> list[tuple]:
     return [(t, *(float(np.exp(c * (b + k * z * s))) for k in (0, -1, 1))) for t, b, s in terms if s is not None]
 
@@ -226,8 +321,20 @@ def tree_pipeline(num: list[str], cat: list[str]) -> Pipeline:
     return Pipeline(stages=[*index, joined, feature.StandardScaler(inputCol="raw", outputCol="features")])
 
 
+def house_features(df: DataFrame, num: list[str], logged: str, cat: list[str]) -> DataFrame:
+    """df with ``features``: standardised numbers, a logarithm, one-hot categories in alphabetic order."""
+    df = df.withColumn("_log", F.when(F.col(logged) > 0, F.log(logged)))
+    index = [feature.StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="skip", stringOrderType="alphabetAsc") for c in cat]
+    hot = feature.OneHotEncoder(inputCols=[f"{c}_ix" for c in cat], outputCols=[f"{c}_hot" for c in cat], dropLast=False)
+    raw = feature.VectorAssembler(inputCols=num, outputCol="num_raw", handleInvalid="skip")
+    scaled = feature.StandardScaler(inputCol="num_raw", outputCol="num_scaled", withMean=True, withStd=True)
+    joined = feature.VectorAssembler(inputCols=["num_scaled", "_log", *[f"{c}_hot" for c in cat]], outputCol="features", handleInvalid="skip")
+    return Pipeline(stages=[*index, hot, raw, scaled, joined]).fit(df).transform(df).drop("_log", "num_raw", "num_scaled", *[f"{c}_{k}" for c in cat for k in ("ix", "hot")])
+
+
 CLASSIFIERS = {
     "forest": lambda y: classification.RandomForestClassifier(labelCol=y, numTrees=10, maxDepth=10, maxBins=300, seed=1),
+    "forest_deep": lambda y: classification.RandomForestClassifier(labelCol=y, numTrees=20, maxDepth=15, maxBins=300, seed=1),
     "logistic": lambda y: classification.LogisticRegression(labelCol=y, maxIter=20),
     "tree": lambda y: classification.DecisionTreeClassifier(labelCol=y, impurity="gini", maxDepth=10, maxBins=300),
     "boosted": lambda y: classification.GBTClassifier(labelCol=y, maxDepth=10, maxIter=10, maxBins=300, seed=1),
@@ -240,6 +347,21 @@ def train_and_score(train: DataFrame, test: DataFrame, label: str, kind: str, pr
     return CLASSIFIERS[kind](label).fit(fitted.transform(train)).transform(fitted.transform(test))
 
 
+def feature_importance(train: DataFrame, label: str, num: list[str], cat: list[str], kind: str = "forest") -> list[tuple[str, float]]:
+    """(feature, importance) by name, the largest first."""
+    rows = tree_pipeline(num, cat).fit(train).transform(train)
+    found = CLASSIFIERS[kind](label).fit(rows).featureImportances.toArray()
+    return sorted(zip([*num, *cat], map(float, found)), key=lambda r: (-r[1], r[0]))
+
+
+def grid_search_linear(df: DataFrame, y: str, regs: list[float], mixes: list[float], folds: int = 3) -> list[tuple[float, float, float]]:
+    """(regParam, elasticNetParam, cross-validated R2) of every point of the grid; df has ``features``."""
+    lr = regression.LinearRegression(labelCol=y, standardization=False)
+    grid = ParamGridBuilder().addGrid(lr.regParam, regs).addGrid(lr.elasticNetParam, mixes).build()
+    fitted = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y, metricName="r2"), numFolds=folds, seed=1).fit(df)
+    return [(float(g[lr.regParam]), float(g[lr.elasticNetParam]), float(m)) for g, m in zip(grid, fitted.avgMetrics)]
+
+
 def roc_auc(df: DataFrame, label: str) -> float:
     return BinaryClassificationEvaluator(labelCol=label).evaluate(df)
 

@@ -19,6 +19,13 @@ def lookup(df: DataFrame, side: DataFrame, on, how: str = "inner") -> DataFrame:
     return df.join(F.broadcast(side) if small else side, on, how)
 
 
+def add_station(df: DataFrame, stations: DataFrame, keys: dict[str, str], side: str) -> DataFrame:
+    """Inner join on several keys ({column of df: column of stations}); the station's other columns get ``side`` as prefix."""
+    renamed = stations.select([F.col(c).alias(f"{side}_{c}") for c in stations.columns])
+    on = [df[mine] == renamed[f"{side}_{theirs}"] for mine, theirs in keys.items()]
+    return lookup(df, renamed, on).drop(*[f"{side}_{theirs}" for theirs in keys.values()])
+
+
 # ---- cleaning
 def binarize(df: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     return df.withColumns({f"{c}_flag": F.when(F.col(c) > t, 1).otherwise(0) for c, t in thresholds.items()})
@@ -151,11 +158,14 @@ def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 # ---- windows
-def carry_over_delay(df: DataFrame, key: str, ts: str, tie: str, delay: str, gap_min: float = 90, offset: int = 2) -> DataFrame:
-    """next_ts, rnk and carried: the delay ``offset`` events back, where the next event follows within the gap."""
+def carry_over_delay(df: DataFrame, key: str, ts: str, tie: str, delay: str, gap_min: float = 90, offset: int = 2, arrival: str | None = None) -> DataFrame:
+    """next_ts, rnk and carried: the delay ``offset`` events back, where the next event follows within the gap.
+
+    The gap runs from the scheduled arrival to the next departure; without such a column, from departure to departure.
+    """
     w = Window.partitionBy(key).orderBy(ts, tie)
     df = df.where(F.col(key).isNotNull()).withColumns({"next_ts": F.lead(ts).over(w), "rnk": F.rank().over(Window.partitionBy(key).orderBy(ts))})
-    gap = (F.unix_timestamp(F.col("next_ts").cast("timestamp")) - F.unix_timestamp(F.col(ts).cast("timestamp"))) / 60
+    gap = (F.unix_timestamp(F.col("next_ts").cast("timestamp")) - F.unix_timestamp(F.col(arrival or ts).cast("timestamp"))) / 60
     df = df.withColumn("_own", F.when(gap <= gap_min, F.col(delay)).otherwise(F.lit(0.0)))
     return df.withColumn("carried", F.when(F.col("rnk") <= offset, 0.0).otherwise(F.coalesce(F.lag("_own", offset).over(w), F.lit(0.0)))).drop("_own")
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators.models import gram_sums
+
 
 def hourly(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """(key, t, value): means per hour, t numbered from 1 within the key."""
@@ -23,6 +27,46 @@ def trend_fit(series: DataFrame) -> DataFrame:
     return r.groupBy("key").agg(F.round(F.first("b"), 6).alias("slope"), F.round(F.first("a"), 6).alias("intercept"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 6).alias("rmse"))
 
 
+def trend_season_fit(series: DataFrame, degree: int = 1, season: Column | None = None, seasons: int = 0, event: Column | None = None, log: bool = False) -> DataFrame:
+    """Per key, least squares on powers of t / 100, dummies of seasons 2 to ``seasons`` and an event flag.
+
+    Returns (key, coefs, n, rmse, aic, bic), intercept first. Spark sums each key's products; the small systems
+    are solved where the sums are. A season that a key lacks gets the least-norm coefficient, 0.
+    """
+    x = {f"_p{k}": F.pow(F.col("t") / 100.0, k) for k in range(1, degree + 1)}
+    if season is not None:
+        x |= {f"_s{k}": (season == k).cast("double") for k in range(2, seasons + 1)}
+    if event is not None:
+        x["_e"] = event.cast("double")
+    y = F.when(F.col("value") > 0, F.log("value")) if log else F.col("value").cast("double")
+    sums, d = gram_sums(series.select("key", y.alias("_y"), *[c.alias(k) for k, c in x.items()]), list(x), "_y", ["key"]), len(x) + 2
+
+    def solve(frames):
+        for df in frames:
+            out = []
+            for row in df.itertuples(index=False):
+                g = np.zeros((d, d))
+                g[np.tril_indices(d)] = row[1:]
+                g = g + np.tril(g, -1).T
+                beta, _, rank, _ = np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=1e-12)
+                n, rss = g[0, 0], max(float(g[-1, -1] - 2 * beta @ g[:-1, -1] + beta @ g[:-1, :-1] @ beta), 1e-300)
+                fit = n * (np.log(2 * np.pi * rss / n) + 1)
+                out.append((row[0], beta.tolist(), int(n), float(np.sqrt(rss / n)), fit + 2 * (rank + 1), fit + np.log(n) * (rank + 1)))
+            yield pd.DataFrame(out, columns=["key", "coefs", "n", "rmse", "aic", "bic"])
+
+    return sums.mapInPandas(solve, "key string, coefs array<double>, n long, rmse double, aic double, bic double")
+
+
+def ccf(series: DataFrame, a: str, b: str, lags: int) -> DataFrame:
+    """(lag, r): correlation of a's value ``lag`` days after b's, over the days that both have; biased as in ``acf``."""
+    side = lambda k, name: series.where(F.col("key") == k).select("day", F.col("value").alias(name))
+    both = side(a, "x").join(side(b, "y"), "day")
+    m = both.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.count("*") * F.stddev_pop("x") * F.stddev_pop("y")).alias("c"))
+    z = both.crossJoin(F.broadcast(m)).select("day", "c", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
+    later = z.select("y", "c", F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag"), F.col("day").alias("_d")).withColumn("day", F.date_add("_d", F.col("lag")))
+    return later.join(z.select("day", "x"), "day").groupBy("lag").agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.first("c")).alias("r"))
+
+
 def acf(series: DataFrame, lags: int) -> DataFrame:
     """Biased autocorrelations: sums at lag L over the sum of squares, both about the mean of all."""
     w = Window.partitionBy("key")

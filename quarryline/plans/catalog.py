@@ -337,7 +337,7 @@ query("r10_mape", "SELECT round(avg(abs((l_extendedprice - (100 + 1000 * l_quant
 # ---- panel and categorical statistics
 PANEL = "SELECT c_nationkey AS entity, year(o_orderdate)::INTEGER AS yr, avg(o_totalprice) / 1000 AS price, avg(c_acctbal) / 1000 AS bal, count(*)::DOUBLE AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
 panel = lambda s, d: t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("entity"), F.year("o_orderdate").alias("yr")).agg((F.avg("o_totalprice") / 1000).alias("price"), (F.avg("c_acctbal") / 1000).alias("bal"), F.count("*").cast("double").alias("n"))
-terms = lambda s, r: rows(s, [tuple(x) for x in r], "term string, estimate double, se double" + (", t double" if len(r[0]) == 4 else ""))
+terms = lambda s, r: rows(s, [tuple(x) for x in r], "term string, estimate double, se double" + (", t double, p double" if len(r[0]) == 5 else ""))
 query("e1_panel_balance", f"SELECT entity, count(*) AS periods FROM ({PANEL}) GROUP BY 1")(lambda s, d: panel(s, d).groupBy("entity").agg(F.count("*").alias("periods")))
 
 
@@ -470,3 +470,85 @@ def _(s, d):
 
 query("m14_knn")(lambda s, d: models.knn_regress(t(s, d, "embeddings").where("vec_id % 20 != 0"), t(s, d, "embeddings").where("vec_id % 20 = 0"), "vec_id", "embedding", "label", list(range(1, 11))))
 query("m15_regression_metrics", "SELECT round(avg(pow(l_extendedprice - (100 + 1000 * l_quantity), 2)), 6) AS mse, round(avg(abs(l_extendedprice - (100 + 1000 * l_quantity))), 6) AS mae, round(1 - sum(pow(l_extendedprice - (100 + 1000 * l_quantity), 2)) / (var_pop(l_extendedprice) * count(*)), 9) AS r2 FROM lineitem")(lambda s, d: models.regression_metrics(t(s, d, "lineitem").withColumn("pred", models.predict(["l_quantity"], [100, 1000])), _y, "pred"))
+
+# ---- wider forms of the operators above
+query("j2_add_station", "SELECT o_orderkey, l_linenumber, a.n_name AS origin_n_name, b.n_name AS dest_n_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = s_nationkey AND a.n_regionkey = s_nationkey % 5 JOIN nation b ON b.n_nationkey = c_nationkey AND b.n_regionkey = c_nationkey % 5")(lambda s, d: R.add_station(R.add_station(R.lookup(t(s, d, "lineitem").join(t(s, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey")), t(s, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select("o_orderkey", "l_linenumber", "s_nationkey", "c_nationkey", (F.col("s_nationkey") % 5).alias("s_state"), (F.col("c_nationkey") % 5).alias("c_state")), t(s, d, "nation"), {"s_nationkey": "n_nationkey", "s_state": "n_regionkey"}, "origin"), t(s, d, "nation"), {"c_nationkey": "n_nationkey", "c_state": "n_regionkey"}, "dest").select("o_orderkey", "l_linenumber", "origin_n_name", "dest_n_name"))
+query("w3_carry_over_arrival", "WITH w AS (SELECT *, ts + INTERVAL 30 MINUTES AS arr, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts, rank() OVER (PARTITION BY user_id ORDER BY ts) AS rnk FROM events WHERE user_id IS NOT NULL), o AS (SELECT *, CASE WHEN (epoch(next_ts)::BIGINT - epoch(arr)::BIGINT) / 60 <= 5000 THEN value ELSE 0 END AS own FROM w) SELECT event_id, CASE WHEN rnk <= 2 THEN 0 ELSE coalesce(lag(own, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) END::DOUBLE AS carried FROM o")(lambda s, d: R.carry_over_delay(t(s, d, "events").withColumn("arr", F.col("ts") + F.expr("INTERVAL 30 MINUTES")), "user_id", "ts", "event_id", "value", 5000, arrival="arr").select("event_id", "carried"))
+_models = {"steep": [100.0, 1000.0], "flat": [20000.0, 10.0]}
+query("r8_compare_models", "SELECT model, round(avg(pow(l_extendedprice - (a + b * l_quantity), 2)), 2) AS mse, round(avg(abs(l_extendedprice - (a + b * l_quantity))), 4) AS mae FROM lineitem, (VALUES ('steep', 100, 1000), ('flat', 20000, 10)) m(model, a, b) GROUP BY 1")(lambda s, d: models.compare_models(t(s, d, "lineitem"), ["l_quantity"], _y, _models).select("model", F.round("mse", 2).alias("mse"), F.round("mae", 4).alias("mae")))
+blocked = lambda s, d, df: models.blocks(df, ["l_orderkey", "l_linenumber"], F.floor(F.col("l_orderkey") / 1000), 1000)
+query("r9_blocks", "SELECT block, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM (SELECT l_orderkey, ((row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) // 1000)::BIGINT AS block FROM lineitem) GROUP BY 1")(lambda s, d: blocked(s, d, t(s, d, "lineitem").select("l_orderkey", "l_linenumber")).groupBy("block").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys")))
+# a step takes one block of 1,000 rows, so 64 steps see at most the first 64 blocks
+query("r9_sgd_blocks")(lambda s, d: rows(s, [(i, float(v)) for i, v in enumerate(models.sgd(blocked(s, d, scaled(s, d)).where("block < 64"), _x, _y, "block", 64, 0.05))], "term int, weight double"))
+query("e1_panel_periods", f"SELECT yr, count(*) AS entities FROM ({PANEL}) GROUP BY 1")(lambda s, d: panel(s, d).groupBy("yr").agg(F.count("*").alias("entities")))
+price_steps = lambda s, d: t(s, d, "orders").groupBy(F.floor(F.col("o_totalprice") / 20000).cast("double").alias("p")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("y"), F.count("*").cast("double").alias("w")).withColumn("p2", F.col("p") * F.col("p"))
+query("e6_likelihood_ratio")(lambda s, d: rows(s, [models.likelihood_ratio(*[models.glm(price_steps(s, d), "y", x, "binomial", "w") for x in (["p"], ["p", "p2"])])], "deviance_small double, deviance_large double, lr double, df int, p double"))
+
+
+@query("e7_predict_ci")
+def _(s, d):
+    x = ["p", "q", "p_q"]
+    o = t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.select("o_orderkey", (F.col("o_orderstatus") == "F").cast("double").alias("y"), (F.col("o_totalprice") / 1e5).alias("p"), (F.col("c_acctbal") / 1e4).alias("q")).withColumn("p_q", F.col("p") * F.col("q"))
+    fit = models.glm(o, "y", x, "binomial")
+    beta = [fit[3][1], *[r[1] for r in fit[:3]]]
+    return models.predict_ci(o, x, beta, models.logit_covariance(o, x, beta)).select("o_orderkey", "prob", "lo", "hi")
+
+
+_coefs = [[0.1, 0.02, 1.0, 0.5], [0.5, -0.01, 0.0, 2.0], [0.0, 0.0, 0.0, 0.0]]
+flags = lambda s, d: t(s, d, "lineitem").select(*_x, F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("label"))
+query("e9_loglik", "WITH e AS (SELECT 0.1 + 0.02 * l_quantity + l_discount + 0.5 * l_tax AS a, 0.5 - 0.01 * l_quantity + 2 * l_tax AS b, l_returnflag AS f FROM lineitem) SELECT round(sum(CASE f WHEN 'A' THEN a WHEN 'N' THEN b ELSE 0 END - ln(exp(a) + exp(b) + 1)), 4) AS loglik FROM e")(lambda s, d: models.multinomial_loglik(flags(s, d), _x, "label", _coefs).select(F.round("loglik", 4).alias("loglik")))
+
+
+@query("e9_grid_probabilities")
+def _(s, d):
+    li = flags(s, d)
+    m = models.classification.LogisticRegression(family="multinomial", maxIter=20).fit(models.feature.VectorAssembler(inputCols=_x, outputCol="features").transform(li))
+    coefs = [[float(m.interceptVector[k]), *map(float, m.coefficientMatrix.toArray()[k])] for k in range(m.numClasses)]
+    means = li.agg(*[F.avg(c).alias(c) for c in _x[1:]])
+    grid = li.select(_x[0]).distinct().crossJoin(F.broadcast(means))
+    return grid.select(_x[0], *[c.alias(f"p{k}") for k, c in enumerate(models.multinomial_probabilities(_x, coefs))])
+
+
+query("e10_poisson_by_group")(lambda s, d: rows(s, models.poisson_by(panel(s, d).withColumn("trait", F.when(F.col("bal") > 4.5, "High").otherwise("Low")), "n", ["price"], "trait"), "trait string, term string, estimate double, se double, percent_change double"))
+query("e11_poisson_moments", f"SELECT round(avg(n), 9) AS mean_n, round(var_samp(n), 9) AS var_n, round(avg(n) - 1.959963984540054 * sqrt(avg(n) / count(*)), 9) AS lo, round(avg(n) + 1.959963984540054 * sqrt(avg(n) / count(*)), 9) AS hi FROM ({COUNTS})")(lambda s, d: models.poisson_moments(t(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("c")), "c"))
+query("y2_trend_season")(lambda s, d: Y.trend_season_fit(daily(s, d), 3, F.dayofweek("day"), 7, F.col("day").between("2024-01-10", "2024-01-12")))
+query("y2_trend_log")(lambda s, d: Y.trend_season_fit(daily(s, d), 2, log=True))
+query("y4_ccf", f"WITH s AS ({DAILY}), p AS (SELECT a.day, a.value AS x, b.value AS y FROM s a JOIN s b ON a.day = b.day WHERE a.key = 'click' AND b.key = 'view'), m AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) * stddev_pop(x) * stddev_pop(y) AS c FROM p) SELECT lag::INTEGER AS lag, round(sum((a.x - mx) * (b.y - my)) / any_value(c), 6) AS r FROM p a, p b, m, (SELECT unnest(range(-5, 6)) AS lag) l WHERE a.day = b.day + lag::INTEGER GROUP BY lag")(lambda s, d: Y.ccf(daily(s, d), "click", "view", 5).select("lag", F.round("r", 6).alias("r")))
+
+
+@query("m2_tree_features")
+def _(s, d):
+    from pyspark.ml.functions import vector_to_array
+
+    f = flights(s, d)
+    return models.tree_pipeline(_num, _cat).fit(f.where("split = 0")).transform(f).select("l_orderkey", "l_linenumber", "split", vector_to_array("features").alias("features"))
+
+
+query("m4_importance")(lambda s, d: rows(s, models.feature_importance(flights(s, d).where("split = 0"), "label", _num, _cat), "feature string, importance double"))
+
+
+@query("m4_forest_deep")
+def _(s, d):
+    f = flights(s, d)
+    return T.binary_metrics(models.train_and_score(f.where("split = 0"), f.where("split = 1"), "label", "forest_deep", models.tree_pipeline(_num, _cat)), "label", "prediction")
+
+
+@query("m10_house_features", "SELECT l_orderkey, l_linenumber, round((l_quantity - mq) / sq, 6) AS f0, round((l_discount - md) / sd, 6) AS f1, round(ln(l_extendedprice), 6) AS f2, (l_returnflag = 'A')::INTEGER::DOUBLE AS f3, (l_returnflag = 'N')::INTEGER::DOUBLE AS f4, (l_returnflag = 'R')::INTEGER::DOUBLE AS f5, (l_linestatus = 'F')::INTEGER::DOUBLE AS f6, (l_linestatus = 'O')::INTEGER::DOUBLE AS f7 FROM lineitem, (SELECT avg(l_quantity) AS mq, stddev_samp(l_quantity) AS sq, avg(l_discount) AS md, stddev_samp(l_discount) AS sd FROM lineitem)")
+def _(s, d):
+    from pyspark.ml.functions import vector_to_array
+
+    li = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice", "l_returnflag", "l_linestatus")
+    made = models.house_features(li, ["l_quantity", "l_discount"], "l_extendedprice", ["l_returnflag", "l_linestatus"]).withColumn("f", vector_to_array("features"))
+    return made.select("l_orderkey", "l_linenumber", *[F.round(F.col("f")[k], 6).alias(f"f{k}") for k in range(8)])
+
+
+query("m12_cross_validated")(lambda s, d: rows(s, models.grid_search_linear(models.feature.VectorAssembler(inputCols=_x, outputCol="features").transform(t(s, d, "lineitem")), _y, [0.1, 1.0, 10.0], [0.0, 1.0]), "reg double, mix double, r2 double"))
+
+
+@query("m14_knn_scores")
+def _(s, d):
+    truth = t(s, d, "embeddings").select(F.col("vec_id").alias("q"), F.col("label").cast("double").alias("y"))
+    scored = CATALOG["m14_knn"][0](s, d).join(truth, "q")
+    e = F.col("y") - F.col("pred")
+    return scored.groupBy("k").agg(F.avg(e * e).alias("mse"), F.try_divide(F.var_pop("y") - F.avg(e * e), F.var_pop("y")).alias("r2"))
