@@ -4,7 +4,8 @@ Every window of ``n`` consecutive words of a benchmark item (a shorter item is o
 hashed; documents are scanned with the same windows, hits are verified word by word, and hit words
 or whole documents are removed. The set is broadcast only if the benchmark's texts hold at most
 ``broadcast_bytes``; a larger benchmark is joined with the documents' windows by a shuffle, with
-the same result.
+the same result. Up to ``hash_rows`` different windows, their 8-byte hashes are broadcast all the
+same, so that only document windows with such a hash are shuffled; beyond, all of them are.
 
 Defined results: a null text has no words and no hits; a null item_id is written ``null``; items
 with the same id count once; repeated documents keep a row each; an empty benchmark hits nothing.
@@ -17,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import append_columns, aside, back, long_array, read
-from quarryline.llm.words import ALNUM, Members, borders, scan, windows
+from quarryline.llm.common import append_columns, aside, back, long_array, materialise, read
+from quarryline.llm.words import ALNUM, Members, borders, scan, text_chunks, windows
 
 N = 10
 #: Largest total of benchmark text, in characters, whose windows are broadcast.
 BROADCAST_BYTES = 4 << 20
+#: Most different windows whose hashes alone (8 bytes each) are broadcast.
+HASH_ROWS = 8 << 20
 FOUND = "hit_n_words long, hit_items array<string>, hit_spans array<struct<start: long, end: long>>"
 FOUND_NAMES = ["hit_n_words", "hit_items", "hit_spans"]
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -64,13 +67,13 @@ class WindowSet:
         return known.get(tuple(words))
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, hash_rows: int = HASH_ROWS) -> DataFrame:
     """docs with ``hit_n_words``, ``hit_items`` (ids as strings, sorted) and ``hit_spans`` (runs of hit words)."""
     spark = docs.sparkSession
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("item_text"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("item_text") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
     if size > broadcast_bytes:
-        return _by_shuffle(docs, bench, n, text)
+        return _by_shuffle(docs, bench, n, text, hash_rows)
     rows = bench.collect()  # at most broadcast_bytes
     shared = spark.sparkContext.broadcast(([r["item"] for r in rows], [r["item_text"] for r in rows]))
     sets: list[WindowSet] = []
@@ -112,34 +115,66 @@ def _spans(hit: np.ndarray, first: np.ndarray, items: dict) -> pa.Array:
     return pa.array(out, pa.list_(_SPAN))
 
 
-def _word_windows(df: DataFrame, text: str, sizes: list[int] | None, n: int) -> DataFrame:
-    """Rows (all but the text; pos, size, window) for every window of the lengths, or of an item's own length."""
+def _window_hashes(bench: DataFrame, n: int) -> DataFrame:
+    """Different hashes of the items' windows; a hash tells windows of different lengths apart."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk in text_chunks(batch, "item_text"):
+                w = scan(chunk.column("item_text"), ALNUM)
+                size_of = np.repeat(_sizes(w.count(), n), w.count())
+                for size in np.unique(size_of).tolist():
+                    h, valid = windows(w, size)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[valid & (size_of == size)].view(np.int64))], ["hash"])
+
+    return bench.select("item_text").mapInArrow(run, "hash long").distinct()
+
+
+def _word_windows(df: DataFrame, text: str, sizes: list[int] | None, n: int, known=None) -> DataFrame:
+    """Rows (all but the text; pos, size, window) for every window of the lengths, or of an item's own length.
+
+    With ``known``, a broadcast array of window hashes, only the windows whose hash is among them.
+    """
     names = [c for c in df.columns if c != text]
+    members: list[Members] = []
+
+    def places(w, size: int) -> list[int]:
+        count = len(w.start)
+        if known is None or count < size:
+            return list(range(count - size + 1))
+        if not members:
+            members.append(Members(known.value))
+        h, valid = windows(w, size)
+        at, _ = members[0].find(h)
+        return at[valid[at]].tolist()
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                w = scan(one.column(text), ALNUM, hashes=False)
+                w = scan(one.column(text), ALNUM, hashes=known is not None)
                 count = len(w.start)
-                words = [x.decode() for x in w.words(0, count)]
                 for size in sizes or [min(count, n)] * (count > 0):
-                    for a in range(0, count - size + 1, 4096):
-                        at = list(range(a, min(a + 4096, count - size + 1)))
-                        yield pa.RecordBatch.from_arrays([*[pa.array(one.column(c).to_pylist() * len(at), one.schema.field(c).type) for c in names], pa.array(at, pa.int64()), pa.array([size] * len(at), pa.int32()), pa.array([" ".join(words[k : k + size]) for k in at])], [*names, "pos", "size", "window"])
+                    found = places(w, size)
+                    for a in range(0, len(found), 4096):
+                        at = found[a : a + 4096]
+                        yield pa.RecordBatch.from_arrays([*[pa.array(one.column(c).to_pylist() * len(at), one.schema.field(c).type) for c in names], pa.array(at, pa.int64()), pa.array([size] * len(at), pa.int32()), pa.array([b" ".join(w.words(k, size)).decode() for k in at])], [*names, "pos", "size", "window"])
 
     schema = ", ".join(f"{c} {t}" for c, t in df.dtypes if c != text)
     return df.mapInArrow(run, f"{schema}, pos long, size int, window string")
 
 
-def _by_shuffle(docs: DataFrame, bench: DataFrame, n: int, text: str) -> DataFrame:
+def _by_shuffle(docs: DataFrame, bench: DataFrame, n: int, text: str, hash_rows: int) -> DataFrame:
     """The same result for a benchmark of any size: windows join windows, per different text."""
     known = _word_windows(bench, "item_text", None, n).select("window", "size", "item").distinct()
     sizes = [r["size"] for r in known.select("size").distinct().collect()]  # at most n lengths
     keyed = docs.withColumn("_text_key", F.sha2(F.coalesce(text, F.lit("")), 256))
     texts = keyed.select("_text_key", F.coalesce(text, F.lit("")).alias("_text")).dropDuplicates(["_text_key"])
     if sizes:
-        own = _word_windows(texts, "_text", sizes, n)
+        hashes, shared = materialise(_window_hashes(bench, n), "window-hashes"), None
+        if hashes.count() <= hash_rows:
+            shared = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.toArrow().column("hash").to_numpy().view(np.uint64)))
+        own = _word_windows(texts, "_text", sizes, n, shared)
     else:
         own = texts.select("_text_key", F.lit(0).cast("long").alias("pos"), F.lit(0).alias("size"), F.lit("").alias("window")).limit(0)
     hits = own.join(known, ["window", "size"])

@@ -82,12 +82,12 @@ def test_op2(spark, docs, corpus):
     assert "cc-by-nc-4.0" in licences.op2_licence_scan(spark, docs[1]).where("doc_id = 204").first()["labels"]
 
 
-@pytest.mark.parametrize("most", [0, 1 << 22])
-def test_op3_both_ways(spark, docs, corpus, most):
+@pytest.mark.parametrize("most, hashes", [(0, 0), (0, 1 << 20), (1 << 22, 0)])
+def test_op3_all_ways(spark, docs, corpus, most, hashes):
     passage = next(t for i, t, *_ in corpus if i is not None and len((t or "").split()) == 120)
     items = [(1, " ".join(passage.split()[30:55])), (2, "balo"), (None, " ".join(passage.split()[50:70])), (4, None), (5, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.find_windows(docs[0].select("doc_id", "text"), bench, broadcast_bytes=most)
+    found = decontaminate.find_windows(docs[0].select("doc_id", "text"), bench, broadcast_bytes=most, hash_rows=hashes)
     got = sorted(((r["doc_id"], r["hit_n_words"], sum(s["end"] - s["start"] for s in r["hit_spans"]), tuple(r["hit_items"])) for r in found.collect()), key=repr)
     want = []
     for i, t, *_ in corpus:
