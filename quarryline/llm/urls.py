@@ -7,7 +7,8 @@ of four 64-bit words, one bit in each); possible hits join the list exactly, the
 DataFrame functions alone.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule;
-repeated rows keep a row each; an empty list gives every url the default; other columns are ignored.
+repeated rows keep a row each; an empty list gives every url the default; other columns are ignored,
+but those of the names host, path, rule and verdict are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 LISTED = [f"{name}.example.{top}" for name in ("cheap-pills", "spam-farm") for top in ("com", "net", "org")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEYS_PER_BLOCK = 16
+#: A block of the filter (its number and four words) and the size up to which the filter is broadcast: some 20 million keys.
+BLOCK_BYTES, FILTER_BYTES = 48, 64 << 20
+ADDED = ["host", "path", "rule", "verdict"]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -44,14 +48,15 @@ def blocked_bloom(keys: DataFrame, column: str, blocks: int) -> DataFrame:
     return keys.select(block.alias("block"), *[b.alias(f"b{j}") for j, b in enumerate(bits)]).groupBy("block").agg(*[F.bit_or(f"b{j}").alias(f"w{j}") for j in range(4)])
 
 
-def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", filter_bytes: int = FILTER_BYTES, list_rows: int = BROADCAST_ROWS) -> DataFrame:
     """urls with ``host``, ``path``, ``rule`` and ``verdict``.
 
     rules: host, path, verdict, named (false: its verdict counts, but it gives no ``rule``, and any
-    named rule goes before it). The filter and the list are broadcast up to BROADCAST_ROWS rows.
+    named rule goes before it). The list is broadcast up to ``list_rows`` rows; the filter, a few bytes a key,
+    up to ``filter_bytes``, so that with longer lists only the possible hits are shuffled.
     """
     n = rules.count()
-    small = (lambda df: F.broadcast(df)) if n <= BROADCAST_ROWS else (lambda df: df)
+    small = (lambda df: F.broadcast(df)) if n <= list_rows else (lambda df: df.hint("merge"))
     listed = rules.select(F.concat("host", "path").alias("key"), "verdict", "named").dropDuplicates(["key"])
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # one for each length of a path
     host, path = host_and_path(F.col(url))
@@ -63,13 +68,14 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     candidates = parsed.where("host != ''").select("host", "path", F.explode(F.array_compact(keys)).alias("key")) if lengths else parsed.select("host", "path", F.lit("").alias("key")).limit(0)
     block, bits = _probe("key", blocks)
     probed = candidates.withColumns({"_block": block} | {f"_b{j}": b for j, b in enumerate(bits)})
-    possible = probed.join(small(blocked_bloom(listed, "key", blocks)), F.col("_block") == F.col("block"))
+    bloom = blocked_bloom(listed, "key", blocks)
+    possible = probed.join(F.broadcast(bloom) if blocks * BLOCK_BYTES <= filter_bytes else bloom.hint("merge"), F.col("_block") == F.col("block"))
     for j in range(4):
         possible = possible.where(F.col(f"_b{j}").bitwiseAND(F.col(f"w{j}")) != 0)
     hits = possible.select("host", "path", "key").join(small(listed), "key")
     best = hits.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(F.max(F.struct("named", F.length("key").alias("n"), "key", "verdict")).alias("best"))
     joined = parsed.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    return joined.select(*urls.columns, "host", "path", F.when(F.col("best.named"), F.col("best.key")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return joined.select(*[c for c in urls.columns if c not in ADDED], "host", "path", F.when(F.col("best.named"), F.col("best.key")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
