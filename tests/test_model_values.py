@@ -89,3 +89,19 @@ def test_values_are_sound(spark, name):
         assert sum(r["importance"] for r in got) == pytest.approx(1)
     if name == "e6_likelihood_ratio":
         assert got[0]["lr"] >= 0 and 0 <= got[0]["p"] <= 1
+
+
+@pytest.mark.parametrize("name, reg", [("r5_descent_plain", None), ("r7_descent_ridge", "ridge"), ("r7_descent_lasso", "lasso")])
+def test_descent_on_rows(spark, name, reg):
+    """The losses of 50 steps from sums of products equal those of steps over the rows themselves."""
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_quantity", "l_discount", "l_tax", "l_extendedprice").toPandas().to_numpy(float)
+    z = (li - li.mean(0)) / li.std(0)
+    a, y, w = np.column_stack([np.ones(len(z)), z[:, :3]]), z[:, 3], np.zeros(4)
+    want = []
+    for _ in range(50):
+        extra = 0.2 * w if reg == "ridge" else 0.1 * np.sign(w) if reg == "lasso" else np.zeros(4)
+        w = w - 0.1 * (2 * a.T @ (a @ w - y) / len(y) + np.r_[0, extra[1:]])
+        want.append(float(((a @ w - y) ** 2).mean()))
+    got = sorted(CATALOG[name][0](spark, SF).collect())
+    assert [r["step"] for r in got] == list(range(50))
+    assert [r["train"] for r in got] == pytest.approx(want, rel=1e-6)
