@@ -105,3 +105,10 @@ def test_descent_on_rows(spark, name, reg):
     got = sorted(CATALOG[name][0](spark, SF).collect())
     assert [r["step"] for r in got] == list(range(50))
     assert [r["train"] for r in got] == pytest.approx(want, rel=1e-6)
+
+
+def test_pagerank_keeps_its_mass(spark):
+    """g11: at every step, rank that dangling nodes hold and all rank, which stays 1."""
+    got = CATALOG["g11_mass_log"][0](spark, SF).collect()
+    assert [r["iteration"] for r in got] == list(range(len(got))) or [r["iteration"] for r in got] == list(range(1, len(got) + 1))
+    assert len(got) == 3 and all(r["total"] == pytest.approx(1) and 0 <= r["missing"] < 1 for r in got)
