@@ -1,6 +1,6 @@
-"""The queries of the ten operators and their SQL."""
+"""The queries of the operators and their SQL."""
 
-from quarryline.llm import decontaminate, licences, mixing, near, quality, rules, secrets, tokens, toxicity, urls
+from quarryline.llm import bpe, decontaminate, licences, mixing, near, periods, quality, rules, secrets, tokens, toxicity, urls, whitening
 
 QUERIES = {
     "op1_token_codes": tokens.op1_token_codes,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_ngram_jaccard": near.op9_ngram_jaccard,
     "op10_quality_rules": rules.op10_quality_rules,
+    "op11_byte_bpe": bpe.op11_byte_bpe,
+    "op12_periodic_runs": periods.op12_periodic_runs,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {
     "op3_decontamination": decontaminate.OP3_SQL,

@@ -96,10 +96,10 @@ def give_back() -> None:
 def _buffers(texts) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    if not pa.types.is_large_string(texts.type):
-        texts = texts.cast(pa.large_string())
+    is_binary = pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type)
+    texts = texts.cast(pa.large_binary() if is_binary else pa.large_string())
     if texts.null_count:
-        texts = texts.fill_null("")
+        texts = texts.fill_null(b"" if is_binary else "")
     _, off, data = texts.buffers()
     if len(texts) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -108,6 +108,11 @@ def _buffers(texts) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def raw_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a chunk, and where each begins and the last ends; null is empty."""
+    return _buffers(texts)
+
+
 def borders(texts) -> np.ndarray:
     """Byte offset of each text of a chunk in ``Words.data``."""
     return _buffers(texts)[1]
