@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import append_columns, long_array, read
-from quarryline.llm.words import SOLID, raw_bytes
+from quarryline.llm.words import SOLID, Table, raw_bytes
 
 #: Widths of the padded matrices; longer pieces merge alone.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
@@ -88,34 +88,6 @@ class PairTable:
         return out
 
 
-class Table:
-    """Ids of keys: runs of one growing array."""
-
-    def __init__(self):
-        self.row: dict = {}
-        self.start, self.count, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 14, np.int32), 0
-
-    def add(self, keys: list, start: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
-        n = len(self.row)
-        while n + len(keys) > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.start[n : n + len(keys)], self.count[n : n + len(keys)] = self.used + start, count
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.row.update(zip(keys, range(n, n + len(keys))))
-
-    def take(self, keys: list, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all keys (of keys[which]), one after the other, and where each key's begin and the last end."""
-        row = np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))
-        row = row if which is None else row[which]
-        n = self.count[row]
-        ends = np.zeros(len(row) + 1, np.int64)
-        np.cumsum(n, out=ends[1:])
-        return self.ids[np.repeat(self.start[row] - ends[:-1], n) + np.arange(int(ends[-1]))], ends
-
-
 class Bpe:
     """Ids of byte strings by a table of ranks; a token's id is its rank."""
 

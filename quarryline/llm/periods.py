@@ -6,10 +6,10 @@ more, so a word that stands once in a segment of text is in none of the segment'
 the segment. Counts fall in the smaller parts, which are split again, until no part changes; parts
 of fewer than LEAST words are given up. Prose is used up by this; what survives is scanned by lags.
 
-The lags below DIRECT are compared at every place. For a lag q from 2**k on, a run has q places in a
+The lags below 2**DIRECT are compared at every place. For a lag q from 2**k on, a run has q places in a
 row or more at which words q apart are equal, so it holds one of the blocks of 2**(k-1) words that
 begin at multiples of that length, and the same block again q words on. Such blocks are found among
-the classes of equal stretches of 2**k words (built by doubling, exact, without hashes); from each,
+the classes of equal stretches of 2**(k-1) words (built by doubling, exact, without hashes); from each,
 the stretch is extended to both sides by comparing classes of ever shorter stretches. Of lags that
 give the same stretch, the smallest is its period. Work grows as n log(n)**2 with a text's words in
 the worst case (one word repeated), memory as n log(n).
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import append_columns, long_array, read
-from quarryline.llm.words import SOLID, scan
+from quarryline.llm.words import SOLID, distinct_words, scan
 
 #: Fewest words of a run.
 LEAST = 12
@@ -122,17 +122,17 @@ def _lag_pairs(own: np.ndarray, block: int, low: int, high: int, last: int):
             cut = stop
 
 
-def find_runs(word: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """(start, length, period) of all runs of a sequence of ids, by start, then period."""
-    n, found = len(word), []
-    longest = n // 2
+def find_runs(word: np.ndarray, least: int = LEAST, most: int | None = None) -> np.ndarray:
+    """(start, length, period) of all runs of a sequence of ids, by start, then period; none has more than ``most`` words."""
+    most, found = min(len(word), most or len(word)), []
+    longest = most // 2
     top = max(least, 1)
     for q in range(1, min(2**DIRECT - 1, longest) + 1):
         same = word[:-q] == word[q:]
         step = np.flatnonzero(np.diff(np.r_[False, same, False])).reshape(-1, 2)
         found.append(np.column_stack([step[:, 0], step[:, 1] + q, np.full(len(step), q)])[step[:, 1] - step[:, 0] + q >= max(top, 2 * q)])
     if longest >= 2**DIRECT:
-        levels = _classes(word, n)
+        levels = _classes(word, most)
         for k in range(DIRECT, longest.bit_length()):
             block = 2 ** (k - 1)
             own = levels[k - 1]
@@ -149,15 +149,6 @@ def find_runs(word: np.ndarray, least: int = LEAST) -> np.ndarray:
     return runs[np.lexsort((runs[:, 2], runs[:, 0]))]
 
 
-def word_ids(w) -> np.ndarray:
-    """Ids of a chunk's words; equal words have equal ones."""
-    size = w.end - w.start
-    offsets = np.r_[0, np.cumsum(size)]
-    raw = w.data[SOLID[w.data]]
-    words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-    return words.dictionary_encode().indices.to_numpy()
-
-
 def runs_of_texts(word: np.ndarray, first: np.ndarray, least: int = LEAST) -> np.ndarray:
     """(text, start, length, period) of the runs of all texts of a chunk."""
     none = np.zeros((0, 4), np.int64)
@@ -178,7 +169,7 @@ def runs_of_texts(word: np.ndarray, first: np.ndarray, least: int = LEAST) -> np
     for k in np.unique(scale):
         own = np.flatnonzero(scale == k)
         at = np.concatenate([np.arange(begin[p], begin[p] + size[p] + 1) for p in own.tolist()])
-        runs = find_runs(np.unique(joined[at], return_inverse=True)[1].astype(np.int32), least)
+        runs = find_runs(np.unique(joined[at], return_inverse=True)[1].astype(np.int32), least, int(size[own].max()))
         if len(runs):
             here = at[runs[:, 0]]
             part = np.searchsorted(begin, here, side="right") - 1
@@ -195,7 +186,7 @@ def find_periods(docs: DataFrame, text: str = "text", least: int = LEAST) -> Dat
 
     def make(chunk):
         w = scan(chunk.column(text), SOLID, lower=False, hashes=False)
-        word = word_ids(w)
+        word = distinct_words(w).indices.to_numpy()
         runs = runs_of_texts(word, w.first, least)
         edge = np.zeros(len(word) + 1, np.int64)
         begin = w.first[runs[:, 0]] + runs[:, 1]

@@ -15,7 +15,9 @@ ids at each level; then for each level its chunks, and for all but the last leve
 (whole 32-byte blocks) and its u32 rank directory.
 
 Defined results: a null text is empty (only the end id); a null doc_id comes first; equal doc_ids
-keep one row each, side by side; an empty table gives an empty file; other columns are ignored.
+keep one row each, side by side; a text of any length is encoded whole, in one piece of memory, and
+may fill a segment of its own; an empty table gives an empty file; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import bound_batches, join_groups, materialise, read, scratch
-from quarryline.llm.words import SOLID, give_back, scan, text_chunks
+from quarryline.llm.words import SOLID, Table, distinct_words, give_back, scan, text_chunks
 
 #: A segment is closed at the first document end at or after this many ids.
 SEGMENT_TOKENS = 1 << 18
-#: Most entries of a worker's table of encoded words (some 40 bytes each); it is emptied when full.
-CACHE_WORDS = 1_000_000
+#: Entries of a worker's table of encoded pieces (some 200 bytes each) at which it is emptied.
+CACHE_WORDS = 400_000
 _BLOCK_BITS = 256
 _DTYPE = {8: np.uint8, 16: np.uint16}
 SEGMENTS = "part int, seq int, start_in_part long, total long, doc_ids array<long>, n_tokens array<long>, payload binary"
@@ -124,9 +126,10 @@ class Encoder:
 
     Where the tokenizer drops white space, ends words by a suffix and keeps runs of letters apart
     from other characters, the ids of a text are those of its lower-cased pieces between ASCII white
-    space, and those of a piece are the ids of its letters, then of its final punctuation: only
-    pieces that the table lacks go through the library. The table knows a piece by its 64-bit hash
-    and its length. Any other tokenizer gets the texts as they are.
+    space. Those of a piece of letters and final punctuation are the ids of the letters, then of the
+    punctuation, if the letters are still letters alone when the normalizer has made them lower-case
+    and composed: a mark would join the punctuation. Other pieces go to the library whole, and so does
+    all that the table lacks. Any other tokenizer gets the texts as they are.
     """
 
     def __init__(self, path: str):
@@ -139,7 +142,7 @@ class Encoder:
         lower = any(x["type"] == "Lowercase" for x in (spec["normalizer"] or {}).get("normalizers", []))
         self.by_word = bool(self.suffix) and split.get("invert") is True and r"[\p{L}]+" in (split.get("pattern") or {}).get("Regex", "") and lower
         self.words: dict[bytes, bytes] = {}
-        self._clear()
+        self.table = Table()
         if self.by_word:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -172,73 +175,51 @@ class Encoder:
                 self.words[w.encode()] = raw[at:end]
                 at = end
 
-    def _learn(self, pieces: set[bytes]) -> None:
-        letters, made, rest = [p for p in pieces if p.isalpha()], [], []
-        for piece in pieces.difference(letters):
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of different pieces, as little-endian bytes."""
+        self.words = {}
+        letters, rest, made = set(), set(), []
+        for piece in pieces:
             text = piece.decode()
             core = text.rstrip(".,;:!?|")
-            if core.isalpha():
-                made.append((piece, core.encode(), text[len(core) :].encode()))
+            if self._are_letters(core):
+                tail = text[len(core) :]
+                letters.add(core)
+                if tail:
+                    rest.add(tail)
+                    made.append((piece, core.encode(), tail.encode()))
             else:
-                rest.append(piece)
-        parts = {core for _, core, _ in made}.union(tail for _, _, tail in made)
-        letters += [x for x in parts if x not in self.words and x not in pieces and x and not x[-1:] in b".,;:!?|"]
-        rest += [x for x in parts if x not in self.words and x not in pieces and x[-1:] in b".,;:!?|" and x]
-        self._letters([w.decode() for w in letters + [c for _, c, t in made if not t]])
-        for x, ids in zip(rest, self._encode([x.decode() for x in rest])):
-            self.words[x] = np.array(ids, "<u4").tobytes()
+                rest.add(text)
+        self._letters(sorted(letters))
+        whole = sorted(rest)
+        for x, ids in zip(whole, self._encode(whole)):
+            self.words[x.encode()] = np.array(ids, "<u4").tobytes()
         for piece, core, tail in made:
-            if tail:
-                self.words[piece] = self.words[core] + self.words[tail]
-
-    def _clear(self) -> None:
-        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.size, self.start, self.count, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4")
-
-    def _find(self, hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The row of each piece, -1 for those that the table lacks."""
-        if not len(self.known):
-            return np.full(len(hashes), -1)
-        place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        row = self.row[place]
-        return np.where((self.known[place] == hashes) & (self.size[row] == size), row, -1)
-
-    def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
-        self._learn(set(pieces))
-        raw = [self.words[p] for p in pieces]
-        self.words = {}
-        count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        self.known = np.concatenate([self.known, hashes])
-        self.row = np.concatenate([self.row, np.arange(len(self.size), len(self.size) + len(raw), dtype=np.int32)])
-        order = np.argsort(self.known, kind="stable")
-        self.known, self.row = self.known[order], self.row[order]
-        self.size = np.concatenate([self.size, np.fromiter(map(len, pieces), np.int32, len(pieces))])
-        self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(count) - count).astype(np.int32)])
-        self.count = np.concatenate([self.count, count.astype(np.int32)])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
+            self.words[piece] = self.words[core] + self.words[tail]
+        return self.words
+
+    def _are_letters(self, text: str) -> bool:
+        """Whether a piece is one run of letters to the library: also after the normalizer, which may make marks of letters."""
+        return text.isalpha() and (text.isascii() or self.tokenizer.normalizer.normalize_str(text).isalpha())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has; null is empty."""
-        if self.by_word:
-            w = scan(texts, SOLID)
-            size = w.end - w.start
-            each, at, piece = np.unique(w.hash, return_index=True, return_inverse=True)
-            row = self._find(each, size[at])
-            lacking = np.flatnonzero(row < 0)
-            if len(self.known) and len(self.known) + len(lacking) > CACHE_WORDS:
-                self._clear()
-                lacking = np.arange(len(each))
-            if len(lacking):
-                self._add(each[lacking], [w.word(i) for i in at[lacking].tolist()])
-                row = self._find(each, size[at])
-            # Two pieces of one hash in these texts have different lengths, or are taken for one.
-            if (row >= 0).all() and (size == size[at][piece]).all():
-                start, n = self.start[row][piece].astype(np.int64), self.count[row][piece].astype(np.int64)
-                ends = np.cumsum(n)
-                ids = self.ids[np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-                return ids, np.diff(np.r_[0, ends][w.first])
-        every = self._encode([t or "" for t in texts.to_pylist()])
-        return np.array([i for ids in every for i in ids], "<u4"), np.array([len(ids) for ids in every], np.int64)
+        if not self.by_word:
+            every = self._encode([t or "" for t in texts.to_pylist()])
+            return np.array([i for ids in every for i in ids], "<u4"), np.array([len(ids) for ids in every], np.int64)
+        w = scan(texts, SOLID, hashes=False)
+        pieces = distinct_words(w)
+        each = pieces.dictionary.to_pylist()
+        if len(self.table.row) > CACHE_WORDS:
+            self.table = Table()
+        lacking = [p for p in each if p not in self.table.row]
+        if lacking:
+            ids = self._learn(lacking)
+            raw = [ids[p] for p in lacking]
+            count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            self.table.add(lacking, np.cumsum(count) - count, count, np.frombuffer(b"".join(raw), "<i4"))
+        values, ends = self.table.take(each, pieces.indices.to_numpy())
+        return values.view("<u4"), np.diff(ends[w.first])
 
 
 @functools.lru_cache(2)
