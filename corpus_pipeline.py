@@ -10,35 +10,19 @@ the mix, in which it has no words to take, leaves it out. A null doc_id is a doc
 it stays in a group of copies only where the whole group has none. Of repeated rows one stays
 (texts without words all do). A null source is a source of its own.
 
-A stage begins by deleting the scratch tables that earlier stages have left and its docs do not read.
+A stage deletes the tables that its result does not read. ``run`` deletes, stage by stage, what a stage
+has left and the rows of the stage before, so that its result alone stays. Stages called one by one leave
+small tables, and the last its file of tokens, until the application ends: they may still be read.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import decontaminate as leaks
 from quarryline.llm import mixing, near, quality, tokens
-from quarryline.llm.common import aside, back, made, materialise, read, release, scratch
-
-#: Scratch tables of the stages so far; the result of the latest stage may still read them.
-_left: set[str] = set()
-
-
-def _stage(step):
-    @functools.wraps(step)
-    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(docs, _left)
-        before = made()
-        out = step(spark, docs, sf_dir)
-        _left.update(made() - before)
-        return out
-
-    return run_step
-
+from quarryline.llm.common import aside, back, discard, materialise, read, scratch, temporary
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality is 1."""
@@ -66,21 +50,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in a file of directly addressable codes; the digest of what is read back."""
-    release(docs, _left)
     path = scratch(spark, "tokens")
     tokens.write_tokens(docs, path, tokens.tokenizer_path())
     return tokens.digests(spark, path)
 
 
-STAGES = [(name, _stage(step)) for name, step in (("quality", classify), ("near duplicates", deduplicate), ("decontamination", decontaminate), ("mixing", mix))]
-STAGES.append(("token codes", encode))
+STAGES = [("quality", classify), ("near duplicates", deduplicate), ("decontamination", decontaminate), ("mixing", mix), ("token codes", encode)]
 
 #: The tokenizer and the trained classifier have no SQL; tests/llm/test_pipeline.py holds the stages against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    docs, before = read(spark, sf_dir, "documents"), []
+    with temporary(spark) as keep_last:
+        for name, stage in STAGES:
+            with temporary(spark) as keep:
+                docs = keep(materialise(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+            discard(*before)
+            before = [docs]
+        return keep_last(docs)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +16,15 @@ BROADCAST_ROWS = 50_000
 #: A group that holds more than one in SHARES of all rows is joined by broadcast; there are at most SHARES of them.
 SHARES = 256
 _BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-#: Paths of scratch tables that have not been deleted.
-_made: set[str] = set()
+#: Paths of the scratch tables made inside the innermost ``temporary`` of this thread.
+_mine: ContextVar[set[str] | None] = ContextVar("scratch tables", default=None)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where that is unset and Spark runs in one process, as in tests, a local folder is set.
+    What is still there when the application ends is deleted then. Where the folder is unset and Spark
+    runs in one process, as in tests, a local one is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -30,10 +33,39 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.add(path)
+    if (mine := _mine.get()) is not None:
+        mine.add(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Deletes the scratch tables made inside, but for those given to the function that it yields.
+
+    Kept tables belong to the ``temporary`` around it, if any. Each thread has its own.
+    """
+    outer, mine, kept = _mine.get(), set(), set()
+    token = _mine.set(mine)
+
+    def keep(*tables: DataFrame) -> DataFrame:
+        kept.update(t.scratch_path for t in tables)
+        return tables[0]
+
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _mine.reset(token)
+        for path in sorted(mine - kept):
+            delete(spark, path)
+        if outer is not None:
+            outer |= kept
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Python workers get batches of at most BATCH_BYTES, where the session does not say otherwise.
 
@@ -62,22 +94,6 @@ def discard(*tables: DataFrame) -> None:
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _made.discard(path)
-
-
-def made() -> set[str]:
-    """Paths of the scratch tables that there are."""
-    return set(_made)
-
-
-def release(docs: DataFrame, paths: set[str]) -> None:
-    """Deletes the scratch tables of these paths, but for those that ``docs`` reads."""
-    used = [f.removeprefix("file:").lstrip("/") for f in docs.inputFiles()] if paths else []
-    for path in sorted(paths & _made):
-        here = path.removeprefix("file:").lstrip("/") + "/"
-        if not any(f.startswith(here) for f in used):
-            delete(docs.sparkSession, path)
-            paths.discard(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

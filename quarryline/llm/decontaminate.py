@@ -3,29 +3,36 @@
 Every window of ``n`` consecutive words of a benchmark item (a shorter item is one window) is
 hashed; documents are scanned with the same windows, hits are verified word by word, and hit words
 or whole documents are removed. The set is broadcast only if the benchmark's texts hold at most
-``broadcast_bytes``; a larger benchmark is joined with the documents' windows by a shuffle, with
-the same result. Up to ``hash_rows`` different windows, their 8-byte hashes are broadcast all the
-same, so that only document windows with such a hash are shuffled; beyond, all of them are.
+``broadcast_bytes``. Of a larger benchmark the windows' 8-byte hashes are broadcast, ``hash_rows`` at
+a time, with a pass over the documents for each part; only document windows with such a hash are
+carried on to the exact check, which is a join. Results are the same.
 
 Defined results: a null text has no words and no hits; a null item_id is written ``null``; items
-with the same id count once; repeated documents keep a row each; an empty benchmark hits nothing.
+with the same id count once; repeated documents keep a row each; an empty benchmark hits nothing; a
+text of any length is scanned whole, in one piece of memory; other columns pass through, and one that
+has the name of a new column is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import append_columns, aside, back, long_array, materialise, read
-from quarryline.llm.words import ALNUM, Members, borders, scan, text_chunks, windows
+from quarryline.llm.common import append_columns, aside, back, join_groups, long_array, materialise, read, temporary
+from quarryline.llm.words import ALNUM, Members, borders, give_back, raw_bytes, scan, text_chunks, windows
 
 N = 10
 #: Largest total of benchmark text, in characters, whose windows are broadcast.
 BROADCAST_BYTES = 4 << 20
-#: Most different windows whose hashes alone (8 bytes each) are broadcast.
-HASH_ROWS = 8 << 20
+#: Most window hashes (8 bytes each) that are broadcast at a time, and the least number worth a pass.
+HASH_ROWS, LEAST_HASHES = 8 << 20, 8
+#: Most documents with hits that are broadcast, and bits of the bitmap that stands for more (64 MB).
+BROADCAST_FOUND, MOST_BITS = 10_000, 29
 FOUND = "hit_n_words long, hit_items array<string>, hit_spans array<struct<start: long, end: long>>"
 FOUND_NAMES = ["hit_n_words", "hit_items", "hit_spans"]
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -69,11 +76,11 @@ class WindowSet:
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, hash_rows: int = HASH_ROWS) -> DataFrame:
     """docs with ``hit_n_words``, ``hit_items`` (ids as strings, sorted) and ``hit_spans`` (runs of hit words)."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(*FOUND_NAMES)
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("item_text"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("item_text") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
     if size > broadcast_bytes:
-        return _by_shuffle(docs, bench, n, text, hash_rows)
+        return back(_by_shuffle(aside(docs, ["_hit", "_key", "_text_key"]), bench, n, text, hash_rows))
     rows = bench.collect()  # at most broadcast_bytes
     shared = spark.sparkContext.broadcast(([r["item"] for r in rows], [r["item_text"] for r in rows]))
     sets: list[WindowSet] = []
@@ -115,86 +122,143 @@ def _spans(hit: np.ndarray, first: np.ndarray, items: dict) -> pa.Array:
     return pa.array(out, pa.list_(_SPAN))
 
 
-def _window_hashes(bench: DataFrame, n: int) -> DataFrame:
-    """Different hashes of the items' windows; a hash tells windows of different lengths apart."""
+def _item_windows(bench: DataFrame, n: int) -> DataFrame:
+    """Rows (hash, size, window, item) for every window of every item."""
 
     def run(batches):
         for batch in batches:
             for chunk in text_chunks(batch, "item_text"):
                 w = scan(chunk.column("item_text"), ALNUM)
-                size_of = np.repeat(_sizes(w.count(), n), w.count())
+                items = chunk.column("item").to_pylist()
+                size_of, item_of = np.repeat(_sizes(w.count(), n), w.count()), np.repeat(np.arange(len(items)), w.count())
                 for size in np.unique(size_of).tolist():
                     h, valid = windows(w, size)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[valid & (size_of == size)].view(np.int64))], ["hash"])
+                    yield from _batches(w, np.flatnonzero(valid & (size_of == size)), size, h, lambda at: pa.array([items[k] for k in item_of[at]], pa.string()), "item")
+
+    return bench.select("item", "item_text").mapInArrow(run, "hash long, size int, window string, item string").distinct()
 
-    return bench.select("item_text").mapInArrow(run, "hash long").distinct()
 
+def _batches(w, at: np.ndarray, size: int, h: np.ndarray, more, name: str):
+    for a in range(0, len(at), 8192):
+        own = at[a : a + 8192]
+        words = pa.array([b" ".join(w.words(k, size)).decode() for k in own.tolist()], pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array([size] * len(own), pa.int32()), words, more(own)], ["hash", "size", "window", name])
 
-def _word_windows(df: DataFrame, text: str, sizes: list[int] | None, n: int, known=None) -> DataFrame:
-    """Rows (all but the text; pos, size, window) for every window of the lengths, or of an item's own length.
 
-    With ``known``, a broadcast array of window hashes, only the windows whose hash is among them.
+def _document_windows(docs: DataFrame, text: str, sizes: list[int], known) -> DataFrame:
+    """Rows (hash, size, window, at) of document windows whose hash is among ``known`` (a broadcast array).
+
+    ``at`` is the text's digest and the window's first word; no other column and no text is carried on.
     """
-    names = [c for c in df.columns if c != text]
     members: list[Members] = []
 
-    def places(w, size: int) -> list[int]:
-        count = len(w.start)
-        if known is None or count < size:
-            return list(range(count - size + 1))
-        if not members:
-            members.append(Members(known.value))
-        h, valid = windows(w, size)
-        at, _ = members[0].find(h)
-        return at[valid[at]].tolist()
-
     def run(batches):
+        members[:] = members or [Members(known.value)]
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                w = scan(one.column(text), ALNUM, hashes=known is not None)
-                count = len(w.start)
-                for size in sizes or [min(count, n)] * (count > 0):
-                    found = places(w, size)
-                    for a in range(0, len(found), 4096):
-                        at = found[a : a + 4096]
-                        yield pa.RecordBatch.from_arrays([*[pa.array(one.column(c).to_pylist() * len(at), one.schema.field(c).type) for c in names], pa.array(at, pa.int64()), pa.array([size] * len(at), pa.int32()), pa.array([b" ".join(w.words(k, size)).decode() for k in at])], [*names, "pos", "size", "window"])
+            for chunk in text_chunks(batch, text):
+                w = scan(chunk.column(text), ALNUM)
+                raw, offsets = raw_bytes(chunk.column(text))
+                keys: dict[int, bytes] = {}
+
+                def place(at, keys=keys, w=w, raw=raw, offsets=offsets):
+                    doc = np.searchsorted(w.first, at, side="right") - 1
+                    for d in set(doc.tolist()) - keys.keys():
+                        keys[d] = hashlib.sha256(raw[offsets[d] : offsets[d + 1]].tobytes()).digest()
+                    return pa.StructArray.from_arrays([pa.array([keys[d] for d in doc.tolist()], pa.binary()), pa.array(at - w.first[doc])], ["key", "pos"])
+
+                for size in sizes:
+                    h, valid = windows(w, size)
+                    at, _ = members[0].find(h)
+                    yield from _batches(w, at[valid[at]], size, h, place, "at")
+        give_back()
 
-    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes if c != text)
-    return df.mapInArrow(run, f"{schema}, pos long, size int, window string")
+    rows = docs.select(F.coalesce(text, F.lit("")).alias(text)).mapInArrow(run, "hash long, size int, window string, at struct<key: binary, pos: long>")
+    return rows.select("hash", "size", "window", "at.key", "at.pos")
 
 
 def _by_shuffle(docs: DataFrame, bench: DataFrame, n: int, text: str, hash_rows: int) -> DataFrame:
-    """The same result for a benchmark of any size: windows join windows, per different text."""
-    known = _word_windows(bench, "item_text", None, n).select("window", "size", "item").distinct()
-    sizes = [r["size"] for r in known.select("size").distinct().collect()]  # at most n lengths
-    keyed = docs.withColumn("_text_key", F.sha2(F.coalesce(text, F.lit("")), 256))
-    texts = keyed.select("_text_key", F.coalesce(text, F.lit("")).alias("_text")).dropDuplicates(["_text_key"])
-    if sizes:
-        hashes, shared = materialise(_window_hashes(bench, n), "window-hashes"), None
-        if hashes.count() <= hash_rows:
-            shared = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.toArrow().column("hash").to_numpy().view(np.uint64)))
-        own = _word_windows(texts, "_text", sizes, n, shared)
+    """The same result for a benchmark of any size.
+
+    The benchmark's window hashes are broadcast ``hash_rows`` at a time, one pass over the documents for each part, and
+    only document windows with such a hash are carried on, by the digest of their text. They are verified by a join on
+    the windows' words, in which a frequent window is salted. What is found joins the documents by digest: broadcast
+    while it is small; beyond that, only documents whose digest is in a bitmap of those found are shuffled.
+    """
+    spark = docs.sparkSession
+    with temporary(spark) as keep:
+        known = materialise(_item_windows(bench, n), "leak-windows")
+        sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most n lengths
+        hashes = materialise(known.select("hash").distinct(), "leak-hashes")
+        hits = None
+        for part, parts in ((k, m) for m in [-(-hashes.count() // max(hash_rows, LEAST_HASHES))] for k in range(m)):
+            own = hashes.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == part).toArrow().column("hash").to_numpy()
+            shared = spark.sparkContext.broadcast(np.sort(own.view(np.uint64)))
+            new = materialise(_document_windows(docs, text, sizes, shared), f"leak-hits{part}")
+            shared.unpersist()
+            hits = new if hits is None else hits.unionByName(new)
+        if hits is None:
+            return _count_words(docs.withColumn("hit_items", F.array().cast("array<string>")), text).select(*docs.columns, *FOUND_NAMES)
+        items = materialise(known.groupBy("window", "size").agg(F.array_sort(F.collect_set("item")).alias("items")), "leak-items")
+        good = join_groups(hits.select("window", "size", "key", "pos"), items, ["window", "size"], F.col("key"), "inner")
+        # A text's copies give the same rows: the sets of a task are merged, whatever their number.
+        found = good.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("hit_items"), F.collect_set(F.struct("pos", "size")).alias("_hit"))
+        found = keep(materialise(found.withColumnsRenamed({"key": "_key"}), "leak-found"))
+        count = found.count()
+    keyed = docs.withColumn("_text_key", F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)))
+    match = F.col("_text_key") == F.col("_key")
+    if count <= BROADCAST_FOUND:
+        joined = keyed.join(F.broadcast(found), match, "left")
     else:
-        own = texts.select("_text_key", F.lit(0).cast("long").alias("pos"), F.lit(0).alias("size"), F.lit("").alias("window")).limit(0)
-    hits = own.join(known, ["window", "size"])
-    words = hits.select("_text_key", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("word")).distinct()
-    items = hits.groupBy("_text_key").agg(F.array_sort(F.collect_set("item")).alias("hit_items"))
-    spans = words.groupBy("_text_key").agg(F.array_sort(F.collect_list("word")).alias("_hit"))
-    found = items.join(spans, "_text_key")
-    joined = keyed.join(found.withColumnRenamed("_text_key", "_key"), F.col("_text_key") == F.col("_key"), "left").drop("_key", "_text_key")
+        maybe = _in_bitmap(found.select("_key"), count)
+        some = keyed.where(maybe("_text_key")).join(found.hint("merge"), match, "left")
+        joined = some.unionByName(keyed.where(~maybe("_text_key")).withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in found.columns}))
+    return _count_words(joined.drop("_key", "_text_key").withColumn("hit_items", F.array_sort(F.coalesce("hit_items", F.array().cast("array<string>")))), text).select(*docs.columns, *FOUND_NAMES)
+
+
+def _in_bitmap(keys: DataFrame, count: int):
+    """A condition that holds for all of the keys and few others: a bitmap of their leading bits, MOST_BITS at most."""
+    bits = min(MOST_BITS, max(16, (8 * count).bit_length()))
+    place = lambda c: F.shiftrightunsigned(F.conv(F.hex(F.substring(c, 1, 4)), 16, 10).cast("long"), 32 - bits)
+    rows = keys.select(place("_key").alias("p")).groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
+    # One row of 4 KB for each part: 64 MB at most.
+    words = {r["part"]: bytes(r["bits"]) for r in rows.collect()}
+    shared = keys.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def has(p: pd.Series) -> pd.Series:
+        x = p.to_numpy(np.int64)
+        out = np.zeros(len(x), bool)
+        for part in np.unique(x >> 15).tolist():
+            own = x >> 15 == part
+            raw = np.frombuffer(shared.value.get(part, bytes(4096)), np.uint8)
+            low = x[own] & 32767
+            out[own] = raw[low >> 3] >> (low & 7) & 1
+        return pd.Series(out)
+
+    return lambda c: has(place(c))
+
+
+def _count_words(joined: DataFrame, text: str) -> DataFrame:
+    """Adds the number of words, and the runs of hit words from the places and lengths of hit windows (``_hit``)."""
+    if "_hit" not in joined.columns:
+        joined = joined.withColumn("_hit", F.lit(None).cast("array<struct<pos: long, size: int>>"))
 
     def make(chunk):
         w = scan(chunk.column(text), ALNUM, hashes=False)
         hit, items = np.zeros(len(w.start), bool), {}
         for k, own in enumerate(chunk.column("_hit").to_pylist()):
             if own:
-                hit[w.first[k] + np.array(own)] = True
+                edge = np.zeros(int(w.first[k + 1] - w.first[k]) + 1, np.int64)
+                at, size = np.array([x["pos"] for x in own]), np.array([x["size"] for x in own])
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + size, -1)
+                hit[w.first[k] : w.first[k + 1]] = np.cumsum(edge[:-1]) > 0
                 items[k] = True
         return [long_array(w.count()), _spans(hit, w.first, items)]
 
+    names = [c for c in joined.columns if c not in ("_hit", "hit_n_words", "hit_spans")]
     out = append_columns(joined, make, "hit_n_words long, hit_spans array<struct<start: long, end: long>>", text)
-    return out.withColumn("hit_items", F.coalesce("hit_items", F.array().cast("array<string>"))).select(*docs.columns, "hit_n_words", "hit_items", "hit_spans")
+    return out.select(*names, "hit_n_words", "hit_spans")
 
 
 def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import join_groups, materialise, read
+from quarryline.llm.common import join_groups, materialise, read, temporary
 
 #: Weights by a source's place in code-point order; words in the mix for each word there is.
 WEIGHTS, SHARE, MOST_EPOCHS = (5, 2, 1), 1.5, 2
@@ -58,11 +58,8 @@ def plan(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("")))
     base = docs.withColumns({"mix_size": F.coalesce(F.regexp_count(text, F.lit(_SIZE)), F.lit(0)).cast("long"), "mix_key": F.md5(whole.cast("binary"))})
     base = base.withColumn("mix_bucket", F.substring("mix_key", 1, digits))
-    totals = materialise(base.groupBy("source", F.col("mix_bucket").alias("bucket")).agg(F.sum("mix_size").alias("words")), "mix-totals")
-    offset = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("source", F.col("bucket").alias("mix_bucket"), offset.alias("mix_offset"))
-    targets = materialise(_targets(totals), "mix-targets").withColumnsRenamed({"source_size": "mix_source_size", "weight": "mix_weight", "target": "mix_target"})
-    starts = materialise(join_groups(starts, targets, ["source"], F.col("mix_bucket")), "mix-starts")
+    with temporary(docs.sparkSession) as keep:
+        starts = keep(_bucket_starts(base))
     joined = join_groups(base, starts, ["source", "mix_bucket"], F.col("mix_key"))
     inside = Window.partitionBy("source", "mix_bucket").orderBy("mix_key", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     out = joined.withColumn("mix_before", F.col("mix_offset") + F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
@@ -70,6 +67,15 @@ def plan(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("mix_taken", taken).drop("mix_key", "mix_bucket", "mix_offset")
 
 
+def _bucket_starts(base: DataFrame) -> DataFrame:
+    """Per source and bucket: the words of the source before it, and the source's target."""
+    totals = materialise(base.groupBy("source", F.col("mix_bucket").alias("bucket")).agg(F.sum("mix_size").alias("words")), "mix-totals")
+    offset = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select("source", F.col("bucket").alias("mix_bucket"), offset.alias("mix_offset"))
+    targets = materialise(_targets(totals), "mix-targets").withColumnsRenamed({"source_size": "mix_source_size", "weight": "mix_weight", "target": "mix_target"})
+    return materialise(join_groups(starts, targets, ["source"], F.col("mix_bucket")), "mix-starts")
+
+
 def _takes() -> Column:
     """The epochs in which the mix takes a row of ``plan``: array of epoch, words, share (of the source's demand before)."""
     budget = F.floor(F.col("mix_target") + 0.5)

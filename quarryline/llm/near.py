@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import aside, back, discard, join_shares, materialise, read
+from quarryline.llm.common import aside, back, discard, join_shares, materialise, read, temporary
 from quarryline.llm.words import SOLID, Members, give_back, scan, text_chunks, windows
 
 #: A shingle in this many sets of one block is counted as frequent; the most frequent that are put last.
@@ -110,7 +110,9 @@ def _nodes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         return pa.RecordBatch.from_arrays([none, pa.array(c.astype(np.int64)), pa.array(np.full(len(h), -1, np.int64)), pa.array(_signed(h))], ["doc_id", "tid", "n", "key"])
 
     rows = materialise(docs.mapInArrow(run, "doc_id long, tid long, n long, key long"), "near-rows")
-    return rows.where("n >= 0"), rows.where("n < 0").groupBy("key").agg(F.sum("tid").alias("sets"))
+    kept = rows.where("n >= 0")
+    kept.scratch_path = rows.scratch_path
+    return kept, rows.where("n < 0").groupBy("key").agg(F.sum("tid").alias("sets"))
 
 
 def _pack(tokens: np.ndarray) -> bytes:
@@ -338,6 +340,15 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     ``tid`` is the text's hash, ``node`` the component's name (null without words), ``component_id`` its smallest doc_id.
     Documents link where ``den * common >= num * union`` of their sets of k-word shingles.
     """
+    with temporary(docs.sparkSession) as keep:
+        rows, own = _link(docs, k, num, den)
+        keep(rows, own)
+    with_words = rows.where("n > 0").join(own, F.col("key") == F.col("_key"), "left").select("doc_id", "tid", F.col("n").alias("n_shingles"), "node", "component_id")
+    return with_words.unionByName(rows.where("n = 0").select("doc_id", "tid", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id")))
+
+
+def _link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with the keys of their sets, and for each key its component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("tid", F.xxhash64("text"))
     rows, counts = _nodes(docs.select("doc_id", "tid", "text"), k)
@@ -374,8 +385,7 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     ids = nodes.join(component, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
     own = materialise(ids.select("key", "component").join(least, "component").select(F.col("key").alias("_key"), F.col("component").alias("node"), "component_id"), "near-components")
-    with_words = rows.where("n > 0").join(own, F.col("key") == F.col("_key"), "left").select("doc_id", "tid", F.col("n").alias("n_shingles"), "node", "component_id")
-    return with_words.unionByName(rows.where("n = 0").select("doc_id", "tid", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id")))
+    return rows, own
 
 
 def _next_pairs(cells, heads, tested, component, used, num, den, most, count):
@@ -419,19 +429,21 @@ def _next_pairs(cells, heads, tested, component, used, num, den, most, count):
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component: the one of smallest doc_id (texts without words all stay)."""
-    linked = materialise(link_documents(docs, k, num, den), "near-linked")
-    words, did = linked.where("n_shingles > 0"), F.coalesce("doc_id", F.lit(0))
-    # A row is the one that stays where it comes first by (doc_id, text); equal rows are all that one.
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), did.alias("did"), "tid")
-    best = words.groupBy("node").agg(F.min(order).alias("w"))
-    best = materialise(best.select(F.col("w.did").alias("_did"), F.col("w.tid").alias("_tid")), "near-best")
-    distinct = words.select(did.alias("_near_did"), F.col("tid").alias("_near_tid")).distinct()
-    gone = materialise(distinct.join(best, (F.col("_near_did") == F.col("_did")) & (F.col("_near_tid") == F.col("_tid")), "left_anti"), "near-gone")
+    with temporary(docs.sparkSession) as keep:
+        linked = materialise(link_documents(docs, k, num, den), "near-linked")
+        words, did = linked.where("n_shingles > 0"), F.coalesce("doc_id", F.lit(0))
+        # A row is the one that stays where it comes first by (doc_id, text); equal rows are all that one.
+        order = F.struct(F.col("doc_id").isNull().alias("no_id"), did.alias("did"), "tid")
+        best = words.groupBy("node").agg(F.min(order).alias("w"))
+        best = materialise(best.select(F.col("w.did").alias("_did"), F.col("w.tid").alias("_tid")), "near-best")
+        distinct = words.select(did.alias("_near_did"), F.col("tid").alias("_near_tid")).distinct()
+        gone = keep(materialise(distinct.join(best, (F.col("_near_did") == F.col("_did")) & (F.col("_near_tid") == F.col("_tid")), "left_anti"), "near-gone"))
+        repeated = not words.groupBy(did, "tid").count().where("count > 1").isEmpty()
     names = {"_near_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_near_t": F.xxhash64(F.coalesce("text", F.lit("")))}
     few = gone.count() <= PICKED
     keyed = aside(docs, names).withColumns(names)
     kept = keyed.join(F.broadcast(gone) if few else gone.hint("merge"), (F.col("_near_d") == F.col("_near_did")) & (F.col("_near_t") == F.col("_near_tid")), "left_anti")
-    if not words.groupBy(did, "tid").count().where("count > 1").isEmpty():  # repeated rows: one of each stays
+    if repeated:  # one of each stays
         has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         kept = kept.where(has_words).dropDuplicates(["_near_d", "_near_t"]).unionByName(kept.where(~has_words))
     return back(kept.drop("_near_d", "_near_t"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import append_columns, materialise, read
+from quarryline.llm.common import append_columns, materialise, read, temporary
 from quarryline.llm.textstats import FEATURES, with_stats
 
 #: Shrinkage to the pooled covariance and to the identity; threshold of a prediction.
@@ -108,7 +108,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     whole = docs.drop("q_predicted")
     known = training_rows(labels).select(F.col("doc_id").alias("_id")).distinct()
     train = with_stats(whole.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left_semi")).select("doc_id", "st_features")
-    model = fit(materialise(train, "quality-train"), labels)
+    with temporary(docs.sparkSession):
+        model = fit(materialise(train, "quality-train"), labels)
 
     def make(chunk):
         from quarryline.llm.textstats import count_texts, transform

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import BROADCAST_ROWS, join_groups, materialise, read
+from quarryline.llm.common import BROADCAST_ROWS, join_groups, materialise, read, temporary
 from quarryline.llm.textstats import with_stats
 
 #: Statistics that are compared (places in textstats.FEATURES); repeats have a base rule of their own.
@@ -88,6 +88,11 @@ def _factor(sums: DataFrame) -> DataFrame:
 
 def outliers(stats: DataFrame) -> DataFrame:
     """stats (materialised, with lang, source, st_*) with ``mcd_d2``: squared distance over its group's median."""
+    with temporary(stats.sparkSession) as keep:
+        return _outliers(stats, keep)
+
+
+def _outliers(stats: DataFrame, keep) -> DataFrame:
     p = len(USED)
     x = [F.col("st_features")[k] for k in USED]
     good = stats.where(~base_rules(stats))
@@ -108,7 +113,7 @@ def outliers(stats: DataFrame) -> DataFrame:
     # A row counts in its own group's estimate and in the wide ones by which others are judged.
     widest = F.when(F.lit(bool(r["rare"]) and not pooled), F.lit("whole"))
     counts_in = F.array_compact(F.array(own, F.when(F.lit(not pooled) & unplaced & enough, wide), widest))
-    named = materialise(grouped.select("lang", "source", grp.alias("grp"), counts_in.alias("mcd_in")), "mcd-groups")
+    named = keep(materialise(grouped.select("lang", "source", grp.alias("grp"), counts_in.alias("mcd_in")), "mcd-groups"))
     rows = join_groups(stats, named, ["lang", "source"], F.col("doc_id"))
     used = rows.where(~base_rules(rows)).withColumn("grp", F.explode("mcd_in")).drop("mcd_in")
     rows = rows.drop("mcd_in")
@@ -161,7 +166,7 @@ def outliers(stats: DataFrame) -> DataFrame:
     params = params.drop("start", "logdet")
     near = attach(used, params).where("mcd_w is not null").withColumn("mcd_d2", _distance(p))
     unit = near.groupBy("grp").agg(F.percentile_approx("mcd_d2", 0.5, 1000).alias("mcd_unit"))
-    final = materialise(unit.join(params.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g")).drop("_g"), "mcd-final")
+    final = keep(materialise(unit.join(params.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g")).drop("_g"), "mcd-final"))
     out = attach(rows, final)
     d2 = _distance(p) / F.greatest("mcd_unit", F.lit(1.0))
     return out.withColumn("mcd_d2", d2).drop("grp", "mcd_w", "mcd_center", "mcd_unit")

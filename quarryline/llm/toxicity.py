@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import append_columns, materialise, read
+from quarryline.llm.common import append_columns, materialise, read, temporary
 
 FIT_ROWS, TOP_WORDS, DICTIONARY_BYTES = 10_000, 4_000, 3_072
 #: A toxic word's document rate is this many times the ordinary one, in this many documents at least.
@@ -111,6 +111,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The two dictionaries and the weights of the curve, from the training rows."""
+    with temporary(docs.sparkSession):
+        return _fit(docs, labels)
+
+
+def _fit(docs: DataFrame, labels: DataFrame) -> dict:
     train = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where((_fold() != HELD_OUT) & F.col("y").isin(0, 1))
     order = [F.crc32(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")).cast("binary")), F.col("doc_id")]
     picked = train.where("y = 1").orderBy(*order).limit(FIT_ROWS).unionByName(train.where("y = 0").orderBy(*order).limit(FIT_ROWS))

@@ -113,6 +113,6 @@ def test_p_is_uniform_for_random_strings():
 def test_level():
     ordinary, strings = np.zeros(2000), np.ones(2000)
     ordinary[:20] = 1000
-    assert secrets.level(ordinary) == secrets.MOST_LOST
+    assert secrets.level(ordinary) > 1  # nothing is reported
     assert 20 / 2000 - 0.001 <= secrets.level(ordinary + strings) <= 0.02
-    assert secrets.level(strings) <= 0.001 and secrets.level(np.zeros(2000)) == secrets.MOST_LOST
+    assert secrets.level(strings) <= 0.001 and secrets.level(np.zeros(2000)) > 1

@@ -230,3 +230,41 @@ def test_tokens_by_position(spark, tables, tmp_path):
     table = spark.createDataFrame([(p,) for p in asked + [len(every), -1, None, 0]], "position long")
     got = {r["position"]: r["id"] for r in tokens.tokens_at(spark, where, table).collect()}
     assert got == {p: int(every[p]) for p in asked}
+
+
+def scratch_folders(spark):
+    import os
+
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    return {x for x in os.listdir(base)}
+
+
+def test_runs_do_not_touch_each_other(spark, tables, tmp_path):
+    """Two runs in two threads, a stage's result read after another stage has run, and nothing left but results."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path, _ = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    near_result = stages["near duplicates"](spark, docs, path)
+    n = near_result.count()
+    stages["decontamination"](spark, docs.where("doc_id > 3"), path).count()
+    stages["mixing"](spark, docs, path).count()
+    assert near_result.count() == n
+    before = scratch_folders(spark)
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(lambda _: corpus_pipeline.run(spark, path), range(2))
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr) and one.count() > 0
+    assert {x.rsplit("-", 1)[0] for x in scratch_folders(spark) - before} == {"token-codes"} and len(scratch_folders(spark) - before) == 2
+    assert near_result.count() == n
+
+
+def test_a_failed_run_leaves_nothing(spark, tables, monkeypatch):
+    from quarryline.llm import tokens as t
+
+    path, _ = tables
+    before = scratch_folders(spark)
+    monkeypatch.setattr(t, "digests", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        corpus_pipeline.run(spark, path)
+    assert scratch_folders(spark) == before
