@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.columns import hash_bucket
+from quarryline.operators import segments
+from quarryline.sources.files import saved
 
 #: Most rows of a lookup side that is broadcast.
 BROADCAST_ROWS = 100_000
@@ -82,7 +84,7 @@ def stray_header_rows(df: DataFrame, col: str) -> DataFrame:
 # ---- joins and aggregates
 def attach_group_count(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Rows with the size of their group; rows with a null key are dropped."""
-    return df.dropna(subset=keys).withColumn(name, F.count("*").over(Window.partitionBy(*keys)))
+    return segments.attach_counts(df.dropna(subset=keys), keys, name)
 
 
 def inbound_count(df: DataFrame, origin: str, dest: str, keys: list[str], name: str) -> DataFrame:
@@ -126,8 +128,19 @@ def resample_mean(df: DataFrame, ts: str, value: str, period: str = "month", nul
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    stats = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean_value"), F.round(F.stddev_samp(c), 6).alias("sd"), F.min(c).cast("double").alias("lo"), F.round(F.percentile(c, 0.25), 6).alias("q1"), F.round(F.percentile(c, 0.5), 6).alias("median"), F.round(F.percentile(c, 0.75), 6).alias("q3"), F.max(c).cast("double").alias("hi")) for c in cols]
-    return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+    """A row for each column; quartiles by distributed selection, exact."""
+    stats = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean_value"), F.round(F.stddev_samp(c), 6).alias("sd"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")) for c in cols]
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "_value")
+    out = _with_quartiles(df.agg(F.array(*stats).alias("s")).select(F.inline("s")), long, ["column"], "_value")
+    return out.select("column", "n", "mean_value", "sd", "lo", "q1", "median", "q3", "hi")
+
+
+def _with_quartiles(rows: DataFrame, data: DataFrame, by: list[str], value: str) -> DataFrame:
+    """rows (one for each key) with q1, median and q3 of the key's values."""
+    names = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    long = segments.exact_quantiles(data, value, list(names.values()), by)
+    wide = long.groupBy(*by).agg(*[F.round(F.max(F.when(F.col("q") == q, F.col("value"))), 6).alias(n) for n, q in names.items()])
+    return segments.join_side(rows, saved(wide, "quartiles"), by, "left")
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -154,7 +167,9 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.groupBy(key).agg(F.min(value).alias("lo"), *[F.round(F.percentile(value, q), 6).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))], F.max(value).alias("hi"))
+    """Least, quartiles (exact, by distributed selection) and largest value of each key."""
+    ends = df.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    return _with_quartiles(ends, df, [key], value).select(key, "lo", "q1", "median", "q3", "hi")
 
 
 # ---- windows
@@ -162,17 +177,23 @@ def carry_over_delay(df: DataFrame, key: str, ts: str, tie: str, delay: str, gap
     """next_ts, rnk and carried: the delay ``offset`` events back, where the next event follows within the gap.
 
     The gap runs from the scheduled arrival to the next departure; without such a column, from departure to departure.
+    A key of any number of events is dealt in segments.
     """
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    df = df.where(F.col(key).isNotNull()).withColumns({"next_ts": F.lead(ts).over(w), "rnk": F.rank().over(Window.partitionBy(key).orderBy(ts))})
+    df = segments.rank_by(df.where(F.col(key).isNotNull()), [key], [ts, tie], ts, "rnk")
     gap = (F.unix_timestamp(F.col("next_ts").cast("timestamp")) - F.unix_timestamp(F.col(arrival or ts).cast("timestamp"))) / 60
-    df = df.withColumn("_own", F.when(gap <= gap_min, F.col(delay)).otherwise(F.lit(0.0)))
-    return df.withColumn("carried", F.when(F.col("rnk") <= offset, 0.0).otherwise(F.coalesce(F.lag("_own", offset).over(w), F.lit(0.0)))).drop("_own")
+    steps = [
+        lambda w: {"next_ts": F.lead(ts).over(w)},
+        lambda w: {"_own": F.when(gap <= gap_min, F.col(delay)).otherwise(F.lit(0.0))},
+        lambda w: {"carried": F.when(F.col("rnk") <= offset, 0.0).otherwise(F.coalesce(F.lag("_own", offset).over(w), F.lit(0.0)))},
+    ]
+    return segments.over_keys(df, [key], [ts, tie], steps, offset, 1).drop("_own")
 
 
 def forward_fill(df: DataFrame, keys: list[str], order: list[str], cols: list[str], max_rows: int = 250) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-max_rows, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    """The last value that is not null among a row and the max_rows before; a key of any number of rows is dealt in segments."""
+    fill = lambda w: {f"_f_{c}": F.last(c, ignorenulls=True).over(w.rowsBetween(-max_rows, 0)) for c in cols}
+    out = segments.over_keys(df, keys, order, [fill], max_rows, 0)
+    return out.withColumns({c: F.col(f"_f_{c}") for c in cols}).drop(*[f"_f_{c}" for c in cols])
 
 
 def top_n_per_group(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
@@ -180,10 +201,8 @@ def top_n_per_group(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
 
 
 def difference(df: DataFrame, key: str, order: list[str], value: str, lags: tuple = (12, 1)) -> DataFrame:
-    w, out = Window.partitionBy(key).orderBy(*order), df.withColumn("diff", F.col(value))
-    for lag in lags:
-        out = out.withColumn("diff", F.col("diff") - F.lag("diff", lag).over(w))
-    return out
+    steps = [lambda w, lag=lag: {"diff": F.col("diff") - F.lag("diff", lag).over(w)} for lag in lags]
+    return segments.over_keys(df.withColumn("diff", F.col(value)), [key], order, steps, sum(lags), 0)
 
 
 def top_bottom(df: DataFrame, value: str, key: str, n: int) -> DataFrame:
