@@ -12,6 +12,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators import segments
+from quarryline.sources.files import saved
+
 
 # ---- Gram matrices: rows are reduced to d x d by Spark, algebra on that is done on the driver
 def gram_sums(df: DataFrame, x: list[str], y: str, by: list[str] = ()) -> DataFrame:
@@ -82,25 +85,48 @@ def cv_descent(df: DataFrame, x: list[str], y: str, fold: str, n: int, lr: float
     return out
 
 
-def sgd(df: DataFrame, x: list[str], y: str, batch: str, n: int, lr: float) -> np.ndarray:
-    """Steps over the blocks of a batch column, in turn; each block's Gram matrix comes from one grouping."""
-    grams = [g for _, g in sorted(gram(df, x, y, [batch]).items())]
-    w = np.zeros(len(x) + 1)
-    for i in range(n):
-        w = w - lr * gradient(grams[i % len(grams)], w)
-    return w
-
-
-def blocks(df: DataFrame, order: list[str], coarse: Column, size: int) -> DataFrame:
-    """``block``: the consecutive run of ``size`` rows, in the given order, that a row stands in.
+def sgd(df: DataFrame, x: list[str], y: str, batch: str, n: int | None, lr: float) -> np.ndarray:
+    """Weights after steps over the blocks of a batch column, in turn: ``n`` of them, or one over each block.
 
-    ``coarse`` rises with the order; rows are numbered within its values, after the rows of those before.
+    A step is an affine map of the weights, which a block's sums give. The maps of consecutive blocks are multiplied where
+    the sums are; the driver multiplies one product for each range of blocks.
     """
-    marked = df.withColumn("_c", coarse)
-    before = F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
-    starts = marked.groupBy("_c").agg(F.count("*").alias("_n")).select("_c", F.coalesce(before, F.lit(0)).alias("_start"))
-    place = F.col("_start") + F.row_number().over(Window.partitionBy("_c").orderBy(*order)) - 1
-    return marked.join(starts, "_c").withColumn("block", F.floor(place / size)).drop("_c", "_start")
+    d = len(x) + 1
+    sums = gram_sums(df, x, y, [batch]).where("s0_0 > 0")
+    numbered = saved(segments.number_rows(sums, [], [batch], "_i"), "block-sums")
+    count = numbered.count()
+    if not count:
+        return np.zeros(d)
+    rest = 0 if n is None else n % count
+
+    def multiply(frames):
+        start, whole, part = None, np.eye(d + 1), np.eye(d + 1)
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                start = row["_i"] if start is None else start
+                g = np.zeros((d + 1, d + 1))
+                for i in range(d + 1):
+                    for j in range(i + 1):
+                        g[i, j] = g[j, i] = row[f"s{i}_{j}"] or 0.0
+                step = np.eye(d + 1)
+                step[:d] -= 2 * lr / g[0, 0] * np.column_stack([g[:d, :d], -g[:d, d]])
+                whole = step @ whole
+                part = step @ part if row["_i"] < rest else part
+        if start is not None:
+            yield pd.DataFrame({"start": [start], "whole": [whole.ravel().tolist()], "part": [part.ravel().tolist()]})
+
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = numbered.repartitionByRange(ranges, "_i").sortWithinPartitions("_i").mapInPandas(multiply, "start long, whole array<double>, part array<double>").collect()  # a row for each range
+    whole = part = np.eye(d + 1)
+    for r in sorted(made, key=lambda r: r["start"]):
+        whole, part = np.array(r["whole"]).reshape(d + 1, d + 1) @ whole, np.array(r["part"]).reshape(d + 1, d + 1) @ part
+    turns = 1 if n is None else n // count
+    return (part @ np.linalg.matrix_power(whole, turns))[:d, d]
+
+
+def blocks(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """``block``: the consecutive run of ``size`` rows, in the given order, that a row stands in."""
+    return segments.number_rows(df, [], order, "_place").withColumn("block", F.floor(F.col("_place") / size)).drop("_place")
 
 
 def compare_models(df: DataFrame, x: list[str], y: str, weights: dict[str, list[float]]) -> DataFrame:

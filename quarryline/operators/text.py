@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.columns import tokens, tokens_ws
-from quarryline.operators.relational import lookup, top_bottom
+from quarryline.operators.relational import attach_group_count, lookup, percent_overlap, top_bottom
+
+#: Items of a feature that are paired in one place; the items of a more frequent one are paired block by block.
+PAIRED = 1_000
 
 
 def word_count(df: DataFrame, text: str, lower: bool = True) -> DataFrame:
@@ -38,7 +41,17 @@ def word_pairs(grams: DataFrame) -> DataFrame:
 
 
 def neighbor_counts(grams: DataFrame) -> DataFrame:
-    return word_pairs(grams).groupBy(F.col("w1").alias("word")).agg(F.count("*").alias("n"))
+    """Different words beside each word: every pair is kept once, in one order, and counts for both."""
+    words = F.array_sort(F.array_distinct(tokens_ws(F.col("ngram"))))
+    one = grams.select(words.alias("w")).select("w", F.posexplode("w").alias("k", "w1"))
+    pairs = one.select("w1", F.explode(F.slice("w", F.col("k") + 2, F.size("w"))).alias("w2")).distinct()
+    return pairs.select(F.explode(F.array("w1", "w2")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def ranking_overlap(grams: DataFrame, n: int) -> DataFrame:
+    """How many of the n most frequent words are among the n with most neighbours, and the percentage."""
+    top = lambda df: df.orderBy(F.desc("n"), "word").limit(n)
+    return percent_overlap(top(ngram_word_count(grams)), top(neighbor_counts(grams)), "word")
 
 
 def get_vocab(grams: DataFrame, n_total: int, n_basis: int, stopwords: DataFrame) -> DataFrame:
@@ -59,16 +72,36 @@ def build_stripes(grams: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def similarity(items: DataFrame) -> DataFrame:
-    """Pairs a < b of items that share a feature (long form, distinct): counts and four scores."""
-    sized = items.withColumn("size", F.count("*").over(Window.partitionBy("item")))
-    left, right = (sized.select(F.col("feature"), F.col("item").alias(x), F.col("size").alias(f"n_{x}")) for x in "ab")
-    p = left.join(right, "feature").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    """Pairs a < b of items that share a feature (long form, distinct; no nulls): counts and four scores.
+
+    The items of a feature are cut into blocks of about PAIRED by their hash, and blocks are paired with blocks: the pairs
+    of a frequent feature are made in many tasks, each of PAIRED squared at most, and counted there before the shuffle.
+    """
+    sized = attach_group_count(items.select("item", "feature"), ["item"], "size")
+    sized = attach_group_count(sized, ["feature"], "_m").withColumn("_blocks", F.ceil(F.col("_m") / PAIRED))
+    sized = sized.withColumn("_own", F.pmod(F.xxhash64("item"), F.col("_blocks")))
+    cells = F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)
+    # A block is the first of a cell with itself and those after it, the second with itself and those before.
+    first = sized.select("feature", F.col("item").alias("a"), F.col("size").alias("n_a"), F.col("_own").alias("i"), F.explode(F.filter(cells, lambda c: c >= F.col("_own"))).alias("j"))
+    second = sized.select("feature", F.col("item").alias("b"), F.col("size").alias("n_b"), F.explode(F.filter(cells, lambda c: c <= F.col("_own"))).alias("i"), F.col("_own").alias("j"))
+    met = first.join(second, ["feature", "i", "j"]).where("i < j OR a < b")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+    p = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
     c, n1, n2 = F.col("common"), F.col("n_a"), F.col("n_b")
     scores = {"cosine": c / F.sqrt(n1 * n2), "jaccard": c / (n1 + n2 - c), "overlap": c / F.least(n1, n2), "dice": 2 * c / (n1 + n2)}
     p = p.withColumns({"mean_score": F.round(sum(scores.values()) / 4, 9)} | {k: F.round(v, 9) for k, v in scores.items()})
     return p.select("a", "b", "common", *scores, "mean_score")
 
 
+def similarity_extremes(items: DataFrame, n: int, score: str = "cosine") -> DataFrame:
+    """The n most and the n least similar pairs by a score (ties by the items), with their rank from 1."""
+    pairs = similarity(items).select("a", "b", score)
+    best = {"top": [F.desc(score), F.asc("a"), F.asc("b")], "bottom": [F.asc(score), F.asc("a"), F.asc("b")]}
+    # Each part has n rows when it is numbered.
+    parts = [pairs.orderBy(*order).limit(n).withColumns({"side": F.lit(side), "rn": F.row_number().over(Window.orderBy(*order))}) for side, order in best.items()]
+    return parts[0].unionByName(parts[1])
+
+
 def document_items(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("item"), F.explode(F.array_distinct(tokens_ws(F.col(text)))).alias("feature"))
 
