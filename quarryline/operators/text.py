@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.columns import tokens, tokens_ws
 from quarryline.operators.relational import attach_group_count, lookup, percent_overlap, top_bottom
+from quarryline.sources.files import saved
 
 #: Items of a feature that are paired in one place; the items of a more frequent one are paired block by block.
 PAIRED = 1_000
@@ -20,7 +21,8 @@ def word_count(df: DataFrame, text: str, lower: bool = True) -> DataFrame:
 def ngrams(df: DataFrame, text: str, n: int = 5) -> DataFrame:
     """Every window of n words of a text, as (ngram, cnt): counted over the table."""
     w = tokens(F.col(text))
-    rows = df.select(w.alias("w")).where(F.size("w") >= n).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("ngram"))
+    window = lambda i: F.concat(F.get("w", i), *[x for k in range(1, n) for x in (F.lit(" "), F.get("w", i + k))])
+    rows = df.select(w.alias("w")).where(F.size("w") >= n).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - n), window)).alias("ngram"))
     return rows.groupBy("ngram").agg(F.count("*").alias("cnt"))
 
 
@@ -29,7 +31,7 @@ def ngram_word_count(grams: DataFrame) -> DataFrame:
 
 
 def vocabulary_summary(grams: DataFrame, n: int = 10) -> DataFrame:
-    counts = ngram_word_count(grams)
+    counts = saved(ngram_word_count(grams), "word-counts")  # read three times
     return top_bottom(counts, "n", "word", n).crossJoin(counts.agg(F.count("*").alias("vocabulary")))
 
 
