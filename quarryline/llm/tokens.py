@@ -40,7 +40,7 @@ from quarryline.llm.words import SOLID, Table, distinct_words, give_back, scan,
 #: A segment is closed at the first document end at or after this many ids.
 SEGMENT_TOKENS = 1 << 18
 #: Entries of a worker's table of encoded pieces (some 200 bytes each) at which it is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _BLOCK_BITS = 256
 _DTYPE = {8: np.uint8, 16: np.uint16}
 SEGMENTS = "part int, seq int, start_in_part long, total long, doc_ids array<long>, n_tokens array<long>, payload binary"
@@ -178,22 +178,25 @@ class Encoder:
     def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """The ids of different pieces, as little-endian bytes."""
         self.words = {}
-        letters, rest, made = set(), set(), []
+        letters, rest, made, known = set(), set(), [], self.table
         for piece in pieces:
-            text = piece.decode()
-            core = text.rstrip(".,;:!?|")
-            if self._are_letters(core):
-                tail = text[len(core) :]
-                letters.add(core)
+            core = piece.rstrip(b".,;:!?|")
+            if (core.isalpha() if core.isascii() else self._are_letters(core.decode())):
+                tail = piece[len(core) :]
                 if tail:
+                    made.append((piece, core, tail))
                     rest.add(tail)
-                    made.append((piece, core.encode(), tail.encode()))
+                if core not in known.row:
+                    letters.add(core)
+                elif core not in self.words:
+                    at = known.row[core]
+                    self.words[core] = known.ids[known.start[at] : known.start[at] + known.count[at]].tobytes()
             else:
-                rest.add(text)
-        self._letters(sorted(letters))
+                rest.add(piece)
+        self._letters([x.decode() for x in sorted(letters)])
         whole = sorted(rest)
-        for x, ids in zip(whole, self._encode(whole)):
-            self.words[x.encode()] = np.array(ids, "<u4").tobytes()
+        for x, ids in zip(whole, self._encode([x.decode() for x in whole])):
+            self.words[x] = np.array(ids, "<u4").tobytes()
         for piece, core, tail in made:
             self.words[piece] = self.words[core] + self.words[tail]
         return self.words
@@ -212,12 +215,13 @@ class Encoder:
         each = pieces.dictionary.to_pylist()
         if len(self.table.row) > CACHE_WORDS:
             self.table = Table()
-        lacking = [p for p in each if p not in self.table.row]
-        if lacking:
-            ids = self._learn(lacking)
-            raw = [ids[p] for p in lacking]
+        if lacking := [p for p in each if p not in self.table.row]:
+            made = self._learn(lacking)
+            # The letters of pieces with punctuation are kept too: they come with other punctuation.
+            new = [p for p in made if p not in self.table.row]
+            raw = [made[p] for p in new]
             count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-            self.table.add(lacking, np.cumsum(count) - count, count, np.frombuffer(b"".join(raw), "<i4"))
+            self.table.add(new, np.cumsum(count) - count, count, np.frombuffer(b"".join(raw), "<i4"))
         values, ends = self.table.take(each, pieces.indices.to_numpy())
         return values.view("<u4"), np.diff(ends[w.first])
 
