@@ -41,6 +41,8 @@ from quarryline.llm.words import SOLID, Table, distinct_words, give_back, scan,
 SEGMENT_TOKENS = 1 << 18
 #: Entries of a worker's table of encoded pieces (some 200 bytes each) at which it is emptied.
 CACHE_WORDS = 800_000
+#: Bytes of text whose different pieces are looked up together.
+ENCODED_BYTES = 4 << 20
 _BLOCK_BITS = 256
 _DTYPE = {8: np.uint8, 16: np.uint16}
 SEGMENTS = "part int, seq int, start_in_part long, total long, doc_ids array<long>, n_tokens array<long>, payload binary"
@@ -256,7 +258,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             )
 
         for batch in batches:
-            for chunk in text_chunks(batch):
+            for chunk in text_chunks(batch, most=ENCODED_BYTES):
                 values, count = encoder.encode(chunk.column(1))
                 if end_id is not None:
                     values, count = np.insert(values, np.cumsum(count), end_id), count + 1
