@@ -7,8 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, classification, feature, regression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -240,7 +239,7 @@ def mape(df: DataFrame, y: str, pred: str) -> DataFrame:
 def glm(df: DataFrame, y: str, x: list[str], family: str, weight: str | None = None) -> list[tuple]:
     """(term, coefficient, std error) and the deviance."""
     rows = feature.VectorAssembler(inputCols=x, outputCol="features", handleInvalid="skip").transform(df)
-    g = regression.GeneralizedLinearRegression(family=family, labelCol=y, featuresCol="features", maxIter=25)
+    g = regression.GeneralizedLinearRegression(family=family, labelCol=y, featuresCol="features", maxIter=25, tol=1e-12)
     m = (g.setWeightCol(weight) if weight else g).fit(rows)
     se = m.summary.coefficientStandardErrors
     terms = [*zip(x, m.coefficients.toArray().tolist(), se), ("intercept", m.intercept, se[-1])]
@@ -287,13 +286,6 @@ def multinomial_loglik(df: DataFrame, x: list[str], label: str, coefs: list[list
     return df.dropna(subset=[*x, label]).agg(F.sum(own - total).alias("loglik"))
 
 
-def poisson_by(df: DataFrame, y: str, x: list[str], by: str) -> list[tuple]:
-    """(group, term, estimate, std error, percent change) of a Poisson fit for each value of a column of few values."""
-    groups = [r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
-    fits = ((g, glm(df.where(F.col(by) == F.lit(g)), y, x, "poisson")) for g in groups)
-    return [(g, t, b, se, float(100 * np.expm1(b)) if se is not None else None) for g, terms in fits for t, b, se in terms]
-
-
 def odds_ratios(terms: list[tuple], c: float = 1.0, z: float = 1.959963984540054) -> list[tuple]:
     return [(t, *(float(np.exp(c * (b + k * z * s))) for k in (0, -1, 1))) for t, b, s in terms if s is not None]
 
@@ -380,39 +372,5 @@ def feature_importance(train: DataFrame, label: str, num: list[str], cat: list[s
     return sorted(zip([*num, *cat], map(float, found)), key=lambda r: (-r[1], r[0]))
 
 
-def grid_search_linear(df: DataFrame, y: str, regs: list[float], mixes: list[float], folds: int = 3) -> list[tuple[float, float, float]]:
-    """(regParam, elasticNetParam, cross-validated R2) of every point of the grid; df has ``features``."""
-    lr = regression.LinearRegression(labelCol=y, standardization=False)
-    grid = ParamGridBuilder().addGrid(lr.regParam, regs).addGrid(lr.elasticNetParam, mixes).build()
-    fitted = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y, metricName="r2"), numFolds=folds, seed=1).fit(df)
-    return [(float(g[lr.regParam]), float(g[lr.elasticNetParam]), float(m)) for g, m in zip(grid, fitted.avgMetrics)]
-
-
 def roc_auc(df: DataFrame, label: str) -> float:
     return BinaryClassificationEvaluator(labelCol=label).evaluate(df)
-
-
-def knn_regress(train: DataFrame, query: DataFrame, key: str, vector: str, y: str, ks: list[int], block: int = 2_000) -> DataFrame:
-    """Per query row and k: the mean y of its k nearest train rows.
-
-    Train vectors are one side per block of rows: a block is a bounded matrix in a task, the best of all
-    blocks are merged by rank. Queries are a stated set that meets every block.
-    """
-    most = max(ks)
-    asked = query.select(F.col(key).alias("q"), F.col(vector).alias("qv")).toPandas()  # the stated query set
-    shared = train.sparkSession.sparkContext.broadcast((asked["q"].to_numpy(), np.stack(asked["qv"].to_numpy()).astype(float)))
-
-    def near(frames):
-        ids, m = shared.value
-        for df in frames:
-            for i in range(0, len(df), block):
-                part = df.iloc[i : i + block]
-                t = np.stack(part["v"].to_numpy()).astype(float)
-                d = ((m**2).sum(1)[:, None] - 2 * m @ t.T + (t**2).sum(1)[None, :]).round(9)
-                keep = min(most, t.shape[0])
-                best = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-                yield pd.DataFrame({"q": np.repeat(ids, keep), "t": part["id"].to_numpy()[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel(), "y": part["y"].to_numpy()[best].ravel()})
-
-    found = train.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(y).cast("double").alias("y")).mapInPandas(near, "q long, t long, d double, y double")
-    ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))).where(F.col("rn") <= most)
-    return ranked.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rn <= k").groupBy("q", "k").agg(F.avg("y").alias("pred"))

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators import segments
 from quarryline.operators.models import gram_sums
+from quarryline.sources.files import saved
 
 
 def hourly(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
@@ -27,18 +29,23 @@ def trend_fit(series: DataFrame) -> DataFrame:
     return r.groupBy("key").agg(F.round(F.first("b"), 6).alias("slope"), F.round(F.first("a"), 6).alias("intercept"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 6).alias("rmse"))
 
 
-def trend_season_fit(series: DataFrame, degree: int = 1, season: Column | None = None, seasons: int = 0, event: Column | None = None, log: bool = False) -> DataFrame:
-    """Per key, least squares on powers of t / 100, dummies of seasons 2 to ``seasons`` and an event flag.
-
-    Returns (key, coefs, n, rmse, aic, bic), intercept first. Spark sums each key's products; the small systems
-    are solved where the sums are. A season that a key lacks gets the least-norm coefficient, 0.
-    """
+def _trend_columns(degree: int, season: Column | None, seasons: int, event: Column | None, log: bool) -> tuple[dict[str, Column], Column]:
     x = {f"_p{k}": F.pow(F.col("t") / 100.0, k) for k in range(1, degree + 1)}
     if season is not None:
         x |= {f"_s{k}": (season == k).cast("double") for k in range(2, seasons + 1)}
     if event is not None:
         x["_e"] = event.cast("double")
     y = F.when(F.col("value") > 0, F.log("value")) if log else F.col("value").cast("double")
+    return x, y
+
+
+def trend_season_fit(series: DataFrame, degree: int = 1, season: Column | None = None, seasons: int = 0, event: Column | None = None, log: bool = False) -> DataFrame:
+    """Per key, least squares on powers of t / 100, dummies of seasons 2 to ``seasons`` and an event flag.
+
+    Returns (key, coefs, n, rmse, aic, bic), intercept first. Spark sums each key's products; the small systems
+    are solved where the sums are. A season that a key lacks gets the least-norm coefficient, 0.
+    """
+    x, y = _trend_columns(degree, season, seasons, event, log)
     sums, d = gram_sums(series.select("key", y.alias("_y"), *[c.alias(k) for k, c in x.items()]), list(x), "_y", ["key"]), len(x) + 2
 
     def solve(frames):
@@ -57,6 +64,17 @@ def trend_season_fit(series: DataFrame, degree: int = 1, season: Column | None =
     return sums.mapInPandas(solve, "key string, coefs array<double>, n long, rmse double, aic double, bic double")
 
 
+def trend_residuals(series: DataFrame, degree: int = 1, season: Column | None = None, seasons: int = 0, event: Column | None = None, log: bool = False) -> DataFrame:
+    """(key, day, t, value) with value the residual of ``trend_season_fit``: a series for ``acf`` and ``ljung_box``.
+
+    A value that has no logarithm has no residual. There is one fit for each key, so the fits are the small side of the join.
+    """
+    x, y = _trend_columns(degree, season, seasons, event, log)
+    fits = saved(trend_season_fit(series, degree, season, seasons, event, log).select("key", "coefs"), "trend-fits")
+    fitted = sum((F.col("coefs")[i] * c for i, c in enumerate([F.lit(1.0), *x.values()])), F.lit(0.0))
+    return segments.join_side(series, fits, ["key"]).select("key", "day", "t", (y - fitted).alias("value"))
+
+
 def ccf(series: DataFrame, a: str, b: str, lags: int) -> DataFrame:
     """(lag, r): correlation of a's value ``lag`` days after b's, over the days that both have; biased as in ``acf``."""
     side = lambda k, name: series.where(F.col("key") == k).select("day", F.col("value").alias(name))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import columns as C
-from quarryline.operators import graph, models, relational as R, segments, series as Y, text as T
+from quarryline.operators import fits, graph, models, relational as R, segments, series as Y, text as T
+from quarryline.plans import solve
 from quarryline.sources import files
 
 #: name: (function of (spark, sf_dir), DuckDB SQL or None)
@@ -165,6 +166,16 @@ for _policy, _sql in (("ignore", "avg(v)"), ("propagate", "CASE WHEN count(v) =
     query(f"a11_resample_{_policy}", f"SELECT date_trunc('month', o_orderdate)::DATE AS period, round({_sql}, 6) AS mean_value FROM (SELECT o_orderdate, CASE WHEN o_orderkey % 97 <> 0 THEN o_totalprice END AS v FROM orders) GROUP BY 1")(lambda s, d, p=_policy: R.resample_mean(t(s, d, "orders").withColumn("v", F.when(F.col("o_orderkey") % 97 != 0, F.col("o_totalprice"))), "o_orderdate", "v", "month", p))
 query("a12_describe", "SELECT 'c_acctbal' AS \"column\", count(c_acctbal) AS n, round(avg(c_acctbal), 6) AS mean_value, round(stddev_samp(c_acctbal), 6) AS sd, min(c_acctbal) AS lo, round(quantile_cont(c_acctbal, 0.25), 6) AS q1, round(quantile_cont(c_acctbal, 0.5), 6) AS median, round(quantile_cont(c_acctbal, 0.75), 6) AS q3, max(c_acctbal) AS hi FROM customer")(lambda s, d: R.describe(t(s, d, "customer"), ["c_acctbal"]))
 query("a13_distinct_count", "SELECT count(*) AS n, count(DISTINCT l_partkey) AS parts FROM lineitem")(lambda s, d: t(s, d, "lineitem").agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("parts")))
+
+
+@query("a13_distinct_sketch", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS sketch_near FROM lineitem GROUP BY 1")
+def _(s, d):
+    li = t(s, d, "lineitem")
+    merged = fits.merged_distinct(fits.distinct_sketch(li, ["l_returnflag", "l_linenumber"], "l_partkey"), ["l_returnflag"])
+    exact = li.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"))
+    return exact.join(merged, "l_returnflag").select("l_returnflag", "parts", (F.abs(F.col("approx") - F.col("parts")) <= 0.08 * F.col("parts")).alias("sketch_near"))
+
+
 query("a14_class_balance", f"SELECT count(*) FILTER (late = 1) AS positives, round(100 * avg(late), 6) AS percent_positive, round(1 - avg(late), 9) AS balancing_ratio FROM ({LATE})")(lambda s, d: R.class_balance(late(s, d), "late"))
 query("a16_merge_counts", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1")(lambda s, d: t(s, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n")).groupBy("l_partkey").agg(F.sum("n").alias("n")))
 query("a17_mean_variance", "SELECT round(avg(l_quantity), 6) AS mean_value, round(var_pop(l_quantity), 6) AS variance FROM lineitem")(lambda s, d: t(s, d, "lineitem").agg(F.round(F.avg("l_quantity"), 6).alias("mean_value"), F.round(F.var_pop("l_quantity"), 6).alias("variance")))
@@ -343,6 +354,17 @@ query("r10_mape", "SELECT round(avg(abs((l_extendedprice - (100 + 1000 * l_quant
 PANEL = "SELECT c_nationkey AS entity, year(o_orderdate)::INTEGER AS yr, avg(o_totalprice) / 1000 AS price, avg(c_acctbal) / 1000 AS bal, count(*)::DOUBLE AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
 panel = lambda s, d: t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("entity"), F.year("o_orderdate").alias("yr")).agg((F.avg("o_totalprice") / 1000).alias("price"), (F.avg("c_acctbal") / 1000).alias("bal"), F.count("*").cast("double").alias("n"))
 terms = lambda s, r: rows(s, [tuple(x) for x in r], "term string, estimate double, se double" + (", t double, p double" if len(r[0]) == 5 else ""))
+ORDERS2 = "SELECT (o_orderstatus = 'F')::INTEGER AS y, o_totalprice / 1e5 AS p, pow(o_totalprice / 1e5, 2) AS p2 FROM orders"
+STEPS = "SELECT floor(o_totalprice / 20000) AS p, avg((o_orderstatus = 'F')::INTEGER) AS y, count(*) AS w FROM orders GROUP BY 1"
+fitted = lambda df: df.select(*[c for c in df.columns if c not in ("estimate", "se")], F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"))
+
+
+def terms_sql(clauses: str, x: list[str], group: str = "") -> str:
+    """Rows (group, term, estimate, se) of ``fit``."""
+    named = [("intercept", "b0", "sqrt(v0)"), *[(c, f"b{i + 1}", f"sqrt(v{i + 1})") for i, c in enumerate(x)], ("deviance", "dev", "NULL")]
+    return f"WITH {clauses} " + " UNION ALL ".join(f"SELECT {f'g AS {group}, ' if group else ''}'{n}' AS term, round({b}, 6)::DOUBLE AS estimate, round({v}, 6)::DOUBLE AS se FROM fit" for n, b, v in named)
+
+
 query("e1_panel_balance", f"SELECT entity, count(*) AS periods FROM ({PANEL}) GROUP BY 1")(lambda s, d: panel(s, d).groupBy("entity").agg(F.count("*").alias("periods")))
 
 
@@ -366,9 +388,10 @@ def _(s, d):
 
 query("e5_compare_periods", f"SELECT entity, round(max(CASE WHEN yr = 1996 THEN price END), 6) AS a, round(max(CASE WHEN yr = 1997 THEN price END), 6) AS b FROM ({PANEL}) GROUP BY 1")(lambda s, d: panel(s, d).groupBy("entity").agg(*[F.round(F.max(F.when(F.col("yr") == y, F.col("price"))), 6).alias(c) for y, c in ((1996, "a"), (1997, "b"))]))
 binary = lambda s, d: t(s, d, "orders").select((F.col("o_orderstatus") == "F").cast("double").alias("y"), (F.col("o_totalprice") / 1e5).alias("p"), (F.pow(F.col("o_totalprice") / 1e5, 2)).alias("p2"))
-query("e6_binomial_glm")(lambda s, d: terms(s, models.glm(t(s, d, "orders").groupBy(F.floor(F.col("o_totalprice") / 20000).cast("double").alias("p")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("y"), F.count("*").cast("double").alias("w")), "y", ["p"], "binomial", "w")))
-query("e7_logistic_glm")(lambda s, d: terms(s, models.glm(binary(s, d), "y", ["p", "p2"], "binomial")))
-query("e8_odds_ratios")(lambda s, d: rows(s, models.odds_ratios(models.glm(binary(s, d), "y", ["p"], "binomial"), 0.5), "term string, ratio double, lo double, hi double"))
+query("e6_binomial_glm", terms_sql(solve.glm(STEPS, "y", ["p"], "binomial", weight="w"), ["p"]))(lambda s, d: fitted(terms(s, models.glm(t(s, d, "orders").groupBy(F.floor(F.col("o_totalprice") / 20000).cast("double").alias("p")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("y"), F.count("*").cast("double").alias("w")), "y", ["p"], "binomial", "w"))))
+query("e7_logistic_glm", terms_sql(solve.glm(ORDERS2, "y", ["p", "p2"], "binomial"), ["p", "p2"]))(lambda s, d: fitted(terms(s, models.glm(binary(s, d), "y", ["p", "p2"], "binomial"))))
+query("e7_logistic_by_group", terms_sql(solve.glm("SELECT o_orderpriority, (o_orderstatus = 'F')::INTEGER AS y, o_totalprice / 1e5 AS p FROM orders", "y", ["p"], "binomial", by="o_orderpriority"), ["p"], "o_orderpriority"))(lambda s, d: fitted(fits.fit_glm(t(s, d, "orders").select("o_orderpriority", (F.col("o_orderstatus") == "F").cast("double").alias("y"), (F.col("o_totalprice") / 1e5).alias("p")), "y", ["p"], "binomial", ["o_orderpriority"])))
+query("e8_odds_ratios", f"WITH {solve.glm(ORDERS2, 'y', ['p'], 'binomial')}, o AS (SELECT 'intercept' AS term, b0 AS b, sqrt(v0) AS se FROM fit UNION ALL SELECT 'p', b1, sqrt(v1) FROM fit) SELECT term, round(exp(0.5 * b), 6) AS ratio, round(exp(0.5 * (b - 1.959963984540054 * se)), 6) AS lo, round(exp(0.5 * (b + 1.959963984540054 * se)), 6) AS hi FROM o")(lambda s, d: rows(s, models.odds_ratios(models.glm(binary(s, d), "y", ["p"], "binomial"), 0.5), "term string, ratio double, lo double, hi double").select("term", *[F.round(c, 6).alias(c) for c in ("ratio", "lo", "hi")]))
 
 
 @query("e9_multinomial")
@@ -379,7 +402,7 @@ def _(s, d):
     return rows(s, [(k, *map(float, m.coefficientMatrix.toArray()[k]), float(m.interceptVector[k])) for k in range(m.numClasses)], "class int, b1 double, b2 double, b3 double, intercept double")
 
 
-query("e10_poisson_glm")(lambda s, d: terms(s, models.glm(panel(s, d), "n", ["price", "bal"], "poisson")))
+query("e10_poisson_glm", terms_sql(solve.glm(PANEL, "n", ["price", "bal"], "poisson"), ["price", "bal"]))(lambda s, d: fitted(terms(s, models.glm(panel(s, d), "n", ["price", "bal"], "poisson"))))
 COUNTS = "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1"
 query("e11_poisson_fit_all", f"WITH c AS ({COUNTS}), m AS (SELECT avg(n) AS m, count(*) AS total FROM c) SELECT n AS x, count(*) AS n, round(count(*) / any_value(total), 9) AS observed, round(exp(n * ln(any_value(m)) - any_value(m) - lgamma(n + 1)), 9) AS expected FROM c, m GROUP BY c.n")(lambda s, d: models.poisson_fit_check(t(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("c")), "c"))
 query("e12_proportion_ci", f"WITH k AS (SELECT l_suppkey, sum(late) AS w, count(*) AS n, 1.959963984540054 AS z FROM ({LATE}) GROUP BY 1), q AS (SELECT *, w / n AS r FROM k) SELECT l_suppkey, n, round(r, 9) AS rate, round(r - z * sqrt(r * (1 - r) / n), 9) AS wald_lo, round(r + z * sqrt(r * (1 - r) / n), 9) AS wald_hi, round((w + z * z / 2) / (n + z * z) - z * sqrt(n) / (n + z * z) * sqrt(r * (1 - r) + z * z / (4 * n)), 9) AS wilson_lo, round((w + z * z / 2) / (n + z * z) + z * sqrt(n) / (n + z * z) * sqrt(r * (1 - r) + z * z / (4 * n)), 9) AS wilson_hi FROM q")(lambda s, d: models.proportion_ci(late(s, d), ["l_suppkey"], "late"))
@@ -452,16 +475,19 @@ def _(s, d):
     return rows(s, [(k + 1, float(x)) for k, x in enumerate(v)], "k int, cumulative double")
 
 
+_hot = ["l_returnflag", "l_linestatus", "l_linenumber"]
+_pairs = " UNION ALL ".join(f"SELECT '{a}' AS a_column, {a}::VARCHAR AS a, '{b}' AS b_column, {b}::VARCHAR AS b, count(*) AS n FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}" for i, a in enumerate(_hot) for b in _hot[i:])
+query("m11_one_hot_counts", _pairs)(lambda s, d: fits.one_hot_counts(t(s, d, "lineitem"), _hot))
+query("m11_one_hot_variance")(lambda s, d: rows(s, fits.one_hot_variance(t(s, d, "lineitem"), _hot), "k int, cumulative double"))
+
+
 @query("m12_grid_search")
 def _(s, d):
-    f = models.feature.VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(flights(s, d))
-    train, dev, out = f.where("split = 0").cache(), f.where("split = 1"), []
-    n = train.count()
+    g = models.gram(flights(s, d), _x, _y, ["split"])
+    train, dev, out = g[(0,)], g[(1,)], []
     for kind, alpha in (("lasso", 0.1), ("lasso", 1.0), ("ridge", 1.0), ("ridge", 10.0)):
-        m = models.regression.LinearRegression(labelCol=_y, standardization=False, elasticNetParam=float(kind == "lasso"), regParam=alpha / (n if kind == "ridge" else 1)).fit(train)
-        r = models.regression_metrics(m.transform(dev), _y, "prediction").first()
-        out.append((kind, alpha, r["mse"], r["r2"]))
-    train.unpersist()
+        w = fits.elastic_net(train, alpha / (train[0, 0] if kind == "ridge" else 1), float(kind == "lasso"))
+        out.append((kind, alpha, *fits.held_out(dev, w)))
     return rows(s, out, "model string, alpha double, mse double, r2 double")
 
 
@@ -472,7 +498,8 @@ def _(s, d):
     return models.regression_metrics(m.transform(f.where("split = 1")), _y, "prediction")
 
 
-query("m14_knn")(lambda s, d: models.knn_regress(t(s, d, "embeddings").where("vec_id % 20 != 0"), t(s, d, "embeddings").where("vec_id % 20 = 0"), "vec_id", "embedding", "label", list(range(1, 11))))
+_near = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE embedding IS NOT NULL), r AS (SELECT a.vec_id AS q, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(abs(list_inner_product(a.v, a.v) - 2 * list_inner_product(a.v, b.v) + list_inner_product(b.v, b.v)), 9), b.vec_id) AS rn FROM e a JOIN e b ON a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0), knn AS (SELECT q, k::INTEGER AS k, avg(label) AS pred FROM r, (SELECT unnest(range(1, 11)) AS k) WHERE rn <= k GROUP BY 1, 2)"
+query("m14_knn", f"{_near} SELECT q, k, round(pred, 9) AS pred FROM knn")(lambda s, d: fits.knn_regress(t(s, d, "embeddings").where("vec_id % 20 != 0"), t(s, d, "embeddings").where("vec_id % 20 = 0"), "vec_id", "embedding", "label", list(range(1, 11))).select("q", "k", F.round("pred", 9).alias("pred")))
 query("m15_regression_metrics", "SELECT round(avg(pow(l_extendedprice - (100 + 1000 * l_quantity), 2)), 6) AS mse, round(avg(abs(l_extendedprice - (100 + 1000 * l_quantity))), 6) AS mae, round(1 - sum(pow(l_extendedprice - (100 + 1000 * l_quantity), 2)) / (var_pop(l_extendedprice) * count(*)), 9) AS r2 FROM lineitem")(lambda s, d: models.regression_metrics(t(s, d, "lineitem").withColumn("pred", models.predict(["l_quantity"], [100, 1000])), _y, "pred"))
 
 # ---- wider forms of the operators above
@@ -513,10 +540,14 @@ def _(s, d):
     return grid.select(_x[0], *[c.alias(f"p{k}") for k, c in enumerate(models.multinomial_probabilities(_x, coefs))])
 
 
-query("e10_poisson_by_group")(lambda s, d: rows(s, models.poisson_by(panel(s, d).withColumn("trait", F.when(F.col("bal") > 4.5, "High").otherwise("Low")), "n", ["price"], "trait"), "trait string, term string, estimate double, se double, percent_change double"))
+_trait = "CASE WHEN bal > 4.5 THEN 'High' ELSE 'Low' END"
+query("e10_poisson_by_group", f"SELECT *, CASE WHEN se IS NOT NULL THEN round(100 * (exp(estimate) - 1), 4) END AS percent_change FROM ({terms_sql(solve.glm(PANEL, 'n', ['price'], 'poisson', by=_trait), ['price'], 'trait')})")(lambda s, d: fitted(fits.fit_glm(panel(s, d).withColumn("trait", F.expr(_trait)), "n", ["price"], "poisson", ["trait"])).withColumn("percent_change", F.when(F.col("se").isNotNull(), F.round(100 * F.expm1("estimate"), 4))))
 query("e11_poisson_moments", f"SELECT round(avg(n), 9) AS mean_n, round(var_samp(n), 9) AS var_n, round(avg(n) - 1.959963984540054 * sqrt(avg(n) / count(*)), 9) AS lo, round(avg(n) + 1.959963984540054 * sqrt(avg(n) / count(*)), 9) AS hi FROM ({COUNTS})")(lambda s, d: models.poisson_moments(t(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("c")), "c"))
 query("y2_trend_season")(lambda s, d: Y.trend_season_fit(daily(s, d), 3, F.dayofweek("day"), 7, F.col("day").between("2024-01-10", "2024-01-12")))
 query("y2_trend_log")(lambda s, d: Y.trend_season_fit(daily(s, d), 2, log=True))
+_line = f"WITH s AS ({DAILY}), f AS (SELECT key, regr_slope(value, t) AS b, regr_intercept(value, t) AS a FROM s GROUP BY 1), e AS (SELECT key, day, t, value - a - b * t AS value FROM s JOIN f USING (key))"
+query("y2_residuals", f"{_line} SELECT key, day, t, round(value, 6) AS residual FROM e")(lambda s, d: Y.trend_residuals(daily(s, d)).select("key", "day", "t", F.round("value", 6).alias("residual")))
+query("y5_ljung_box_residuals", f"{_line}, z AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM e), r AS (SELECT a.key, lag, any_value(a.n) AS n, sum(a.value * b.value) / (SELECT sum(value * value) FROM z c WHERE c.key = a.key) AS r FROM z a JOIN (SELECT unnest(range(1, 6)) AS lag) l ON true JOIN z b ON a.key = b.key AND b.t = a.t + lag GROUP BY 1, 2) SELECT key, round(any_value(n) * (any_value(n) + 2) * sum(r * r / (n - lag)), 4) AS q FROM r GROUP BY 1")(lambda s, d: Y.ljung_box(Y.trend_residuals(daily(s, d)), 5))
 query("y4_ccf", f"WITH s AS ({DAILY}), p AS (SELECT a.day, a.value AS x, b.value AS y FROM s a JOIN s b ON a.day = b.day WHERE a.key = 'click' AND b.key = 'view'), m AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) * stddev_pop(x) * stddev_pop(y) AS c FROM p) SELECT lag::INTEGER AS lag, round(sum((a.x - mx) * (b.y - my)) / any_value(c), 6) AS r FROM p a, p b, m, (SELECT unnest(range(-5, 6)) AS lag) l WHERE a.day = b.day + lag::INTEGER GROUP BY lag")(lambda s, d: Y.ccf(daily(s, d), "click", "view", 5).select("lag", F.round("r", 6).alias("r")))
 
 
@@ -546,12 +577,16 @@ def _(s, d):
     return made.select("l_orderkey", "l_linenumber", *[F.round(F.col("f")[k], 6).alias(f"f{k}") for k in range(8)])
 
 
-query("m12_cross_validated")(lambda s, d: rows(s, models.grid_search_linear(models.feature.VectorAssembler(inputCols=_x, outputCol="features").transform(t(s, d, "lineitem")), _y, [0.1, 1.0, 10.0], [0.0, 1.0]), "reg double, mix double, r2 double"))
+_fold = lambda k, n: f"(('0x' || substr(md5({k}::VARCHAR), 1, 8))::BIGINT % {n})::INTEGER"
+folded = lambda s, d: t(s, d, "lineitem").withColumn("fold", C.hash_bucket(F.col("l_orderkey"), 3))
+_by_fold = lambda s, d, mixes: rows(s, fits.grid_by_fold(folded(s, d), _x, _y, "fold", [0.1, 1.0, 10.0], mixes), "fold int, reg double, mix double, mse double, r2 double")
+query("m12_cross_validated")(lambda s, d: _by_fold(s, d, [0.0, 0.5, 1.0]).groupBy("reg", "mix").agg(F.avg("r2").alias("r2")))
+query("m12_ridge_folds", f"WITH {solve.ridge('SELECT * FROM lineitem', _y, _x, _fold('l_orderkey', 3), [0.1, 1.0, 10.0])} SELECT fold, reg, round(mse, 1) AS mse, round(r2, 9) AS r2 FROM scored")(lambda s, d: _by_fold(s, d, [0.0]).select("fold", "reg", F.round("mse", 1).alias("mse"), F.round("r2", 9).alias("r2")))
 
 
-@query("m14_knn_scores")
+@query("m14_knn_scores", f"{_near} SELECT k, round(avg(pow(label - pred, 2)), 6) AS mse, round(1 - avg(pow(label - pred, 2)) / var_pop(label), 6) AS r2 FROM knn JOIN embeddings ON q = vec_id GROUP BY k")
 def _(s, d):
     truth = t(s, d, "embeddings").select(F.col("vec_id").alias("q"), F.col("label").cast("double").alias("y"))
     scored = CATALOG["m14_knn"][0](s, d).join(truth, "q")
     e = F.col("y") - F.col("pred")
-    return scored.groupBy("k").agg(F.avg(e * e).alias("mse"), F.try_divide(F.var_pop("y") - F.avg(e * e), F.var_pop("y")).alias("r2"))
+    return scored.groupBy("k").agg(F.round(F.avg(e * e), 6).alias("mse"), F.round(F.try_divide(F.var_pop("y") - F.avg(e * e), F.var_pop("y")), 6).alias("r2"))
