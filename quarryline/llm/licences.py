@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,15 @@ from quarryline.llm.words import ALNUM, Members, hash_window, hash_words, scan,
 #: Base phrases and their labels: each place where the words stand consecutively counts.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+
+
+def _spelled(kind: str, apart: bool) -> list[str]:
+    """The words of a Creative Commons kind beyond attribution, each in one word or in two."""
+    names = {"sa": "!share alike", "nc": "!non commercial", "nd": "!no derivatives"}
+    words = [names[k] for k in kind.split("-") if k != "by"]
+    return words if apart else [w.replace(" ", "") for w in words]
+
+
 #: Public licence texts and notices: label without a version, version, words. A chain that leaves out a
 #: word marked ``!`` gives no label; one that leaves out a word marked ``*`` gives the label without the version.
 TEMPLATES = [
@@ -49,24 +59,46 @@ TEMPLATES = [
     ("gpl", "3.0", "licensed under the gnu !general public license version *3"),
     ("lgpl", "3.0", "licensed under the gnu !lesser general public license version *3"),
     ("mpl", "2.0", "this source code form is subject to the terms of the !mozilla public license v *2 *0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl", "2.0", "!mozilla public license version *2 *0"),
+    ("isc", "", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     *[
         (f"cc-{kind}", version, f"licensed under cc {' '.join('!' + k if k != 'by' else k for k in kind.split('-'))} *{version[0]} *{version[2]}")
         for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
         for version in ("2.0", "2.5", "3.0", "4.0")
     ],
     *[
-        (f"cc-{kind}", version, f"licensed under a creative commons attribution {words}*{version[0]} *{version[2]} international license".replace("  ", " "))
-        for kind, words in (("by", ""), ("by-sa", "!sharealike "), ("by-nc", "!noncommercial "), ("by-nc-sa", "!noncommercial !sharealike "))
-        for version in ("3.0", "4.0")
+        (f"cc-{kind}", version, " ".join(["licensed under a creative commons attribution", *_spelled(kind, apart), f"*{version[0]} *{version[2]}", "international" if version == "4.0" else "unported", "license"]))
+        for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
+        for apart in ((False, True) if kind != "by" else (False,))
+        for version in ("2.0", "2.5", "3.0", "4.0")
+    ],
+    *[
+        (label, version, f"spdx license identifier {words}")
+        for label, version, words in (
+            ("mit", "", "!mit"), ("isc", "", "!isc"), ("zlib", "", "!zlib"), ("unlicense", "", "!unlicense"),
+            ("apache", "2.0", "!apache *2 *0"), ("bsd", "", "!bsd 2 clause"), ("bsd", "", "!bsd 3 clause"), ("mpl", "2.0", "!mpl *2 *0"),
+            ("gpl", "2.0", "!gpl *2 *0"), ("gpl", "3.0", "!gpl *3 *0"), ("lgpl", "2.1", "!lgpl *2 *1"), ("lgpl", "3.0", "!lgpl *3 *0"),
+            ("agpl", "3.0", "!agpl *3 *0"), ("cc0", "1.0", "!cc0 *1 *0"),
+        )
+    ],
+    *[
+        (f"cc-{kind}", version, f"spdx license identifier cc {' '.join('!' + k if k != 'by' else k for k in kind.split('-'))} *{version[0]} *{version[2]}")
+        for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
+        for version in ("2.0", "2.5", "3.0", "4.0")
     ],
     ("cc0", "1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("unlicense", "", "this is free and unencumbered software released into the public domain"),
 ]
 
-#: Shortest match, in words, that a chain takes up; most words between two matches of a chain;
-#: share of a template's words that a chain covers for its label.
-MIN_MATCH, MAX_GAP, MIN_COVERAGE = 2, 12, 0.6
+#: Shortest match, in words, that a chain takes up, and in templates of more than LONG words; most words
+#: between two matches of a chain; share of a template's words that a chain covers for its label.
+MIN_MATCH, LONG_MATCH, LONG, MAX_GAP, MIN_COVERAGE = 2, 4, 20, 12, 0.6
+
+
+#: Most words of the texts that one automaton is built of: every Python worker holds it.
+MOST_WORDS = 200_000
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 class SuffixAutomaton:
@@ -133,14 +165,17 @@ class SuffixAutomaton:
 
 
 class Scanner:
-    def __init__(self):
+    def __init__(self, templates=None):
+        self.templates = TEMPLATES if templates is None else templates
         phrases = [p.split() for p in BASE]
-        marked = [t.split() for _, _, t in TEMPLATES]
+        marked = [t.split() for _, _, t in self.templates]
         texts = [[w.lstrip("!*") for w in t] for t in marked] + phrases
         self.automaton = a = SuffixAutomaton(texts)
         self.sizes = [len(t) for t in marked]
         #: Places that a label needs, and that its version needs besides.
         self.needed = [[frozenset(i for i, w in enumerate(t) if w[0] == sign) for sign in "!*"] for t in marked]
+        self.marks = [sorted(always | version) for always, version in self.needed]
+        self.least = [LONG_MATCH if len(t) > LONG else MIN_MATCH for t in marked]
         pairs = {tuple(t[i : i + 2]) for t in texts for i in range(len(t) - 1)}
         self.pairs = Members([hash_window([x.encode() for x in p]) for p in pairs])
         words = sorted({w for t in texts for w in t})
@@ -179,7 +214,7 @@ class Scanner:
         return base, matches
 
     def _label(self, k: int, covered: frozenset) -> str | None:
-        family, version, _ = TEMPLATES[k]
+        family, version, _ = self.templates[k]
         always, for_version = self.needed[k]
         if not always <= covered:
             return None
@@ -193,14 +228,14 @@ class Scanner:
         then the one that covers more of its template, then the one with a version.
         """
         best = []  # words matched, words between matches, coverage, has a version, first word, end, label
-        recent = []  # template, its end, end in text, matched, first word, covered places
+        recent = []  # template, its end, end in text, matched, first word, marked places covered
         for start, size, ends in matches:
             recent = [r for r in recent if start - r[2] <= MAX_GAP]
             new = []
             for k, end in ends:
-                if k >= len(self.sizes):
+                if k >= len(self.sizes) or size < self.least[k]:
                     continue
-                own = frozenset(range(end - size, end))
+                own = frozenset(i for i in self.marks[k] if end - size <= i < end)
                 matched, first, covered = size, start, own
                 for rk, rend, rtext, rmatched, rfirst, rcovered in recent:
                     if rk == k and rend <= end - size and rtext <= start and rmatched + size > matched:
@@ -210,7 +245,7 @@ class Scanner:
             for k, _, end, matched, first, covered in new:
                 label = self._label(k, covered) if matched >= MIN_COVERAGE * self.sizes[k] else None
                 if label:
-                    best.append((matched, end - first - matched, matched / self.sizes[k], label != TEMPLATES[k][0], first, end, label))
+                    best.append((matched, end - first - matched, matched / self.sizes[k], label != self.templates[k][0], first, end, label))
         taken: list[tuple[int, int]] = []
         spans = []
         for _, _, coverage, _, first, end, label in sorted(best, key=lambda b: (-b[0], b[1], -b[2], not b[3], b[4], b[6])):
@@ -221,16 +256,34 @@ class Scanner:
         return sorted(spans)
 
 
-@functools.lru_cache(1)
-def _scanner() -> Scanner:
-    return Scanner()
+@functools.lru_cache(2)
+def _scanner(templates: tuple | None = None) -> Scanner:
+    return Scanner(templates)
+
 
+def templates_of(texts: DataFrame) -> list[tuple[str, str, str]]:
+    """Templates from a table of whole licence texts (label, version, text), one row each; null versions are none.
 
-def scan_licences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``lic_words``, ``lic_base`` (array of start, label) and ``lic_spans`` (array of start, end, label, coverage)."""
+    Words are lower-cased and cut as in documents; texts without words are left out. The table is the list of
+    licences, so its size does not follow the corpus: more than MOST_WORDS words raise an error.
+    """
+    rows = texts.select("label", F.coalesce("version", F.lit("")).alias("version"), "text").where("label is not null and text is not null")
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if total > 16 * MOST_WORDS:
+        raise ValueError(f"{total} characters of licence texts; at most {16 * MOST_WORDS} make one automaton")
+    cut = ((r["label"], r["version"], " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r["text"].translate(_LOWER)))) for r in rows.orderBy("label", "version", "text").collect())
+    return [t for t in cut if t[2]]
+
+
+def scan_licences(docs: DataFrame, text: str = "text", templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """docs with ``lic_words``, ``lic_base`` (array of start, label) and ``lic_spans`` (array of start, end, label, coverage).
+
+    ``templates`` (label, version, words) take the place of TEMPLATES; ``TEMPLATES + templates_of(texts)`` adds whole texts.
+    """
+    chosen = None if templates is None else tuple(templates)
 
     def make(chunk):
-        scanner, w = _scanner(), scan(chunk.column(text), ALNUM)
+        scanner, w = _scanner(chosen), scan(chunk.column(text), ALNUM)
         count = w.count()
         h, valid = windows(w, 2)
         at, _ = scanner.pairs.find(h)
