@@ -28,6 +28,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEYS_PER_BLOCK = 16
 #: A block of the filter (its number and four words) and the size up to which the filter is broadcast: some 20 million keys.
 BLOCK_BYTES, FILTER_BYTES = 48, 64 << 20
+#: Size up to which the different urls with a hit are broadcast.
+HIT_BYTES = 4 << 20
 ADDED = ["host", "path", "rule", "verdict"]
 
 
@@ -64,13 +66,13 @@ def blocked_bloom(keys: DataFrame, column: str, blocks: int) -> DataFrame:
     return keys.select(block.alias("block"), *[b.alias(f"b{j}") for j, b in enumerate(bits)]).groupBy("block").agg(*[F.bit_or(f"b{j}").alias(f"w{j}") for j in range(4)])
 
 
-def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", filter_bytes: int = FILTER_BYTES, list_rows: int = BROADCAST_ROWS, hit_rows: int = BROADCAST_ROWS) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", filter_bytes: int = FILTER_BYTES, list_rows: int = BROADCAST_ROWS, hit_bytes: int = HIT_BYTES) -> DataFrame:
     """urls with ``host``, ``path``, ``rule`` and ``verdict``.
 
     rules: host, path, verdict, named (false: its verdict counts, but it gives no ``rule``, and any
     named rule goes before it; its host and path are in canonical form). The list is broadcast up to ``list_rows``
     rows; the filter, a few bytes a key, up to ``filter_bytes``, so that with longer lists only the possible hits are
-    shuffled. Different urls with a hit go back to their rows by broadcast up to ``hit_rows``, by a salted shuffle beyond.
+    shuffled. Different urls with a hit go back to their rows by broadcast up to ``hit_bytes``, by a salted shuffle beyond.
     """
     n = rules.count()
     small = (lambda df: F.broadcast(df)) if n <= list_rows else (lambda df: df.hint("merge"))
@@ -94,7 +96,8 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     best = hits.groupBy("host", "path").agg(F.max(F.struct("named", F.length("key").alias("n"), "key", "verdict")).alias("_best"))
     best = materialise(best, "url-hits")
     # One url, or none at all, may stand in most rows: rows are dealt by their number, not by url alone.
-    joined = join_groups(parsed, best, ["host", "path"], F.monotonically_increasing_id(), most=hit_rows)
+    size = best.agg(F.sum(F.octet_length("host") + F.octet_length("path") + F.octet_length("_best.key") + 64)).first()[0] or 0
+    joined = join_groups(parsed, best, ["host", "path"], F.monotonically_increasing_id(), most=BROADCAST_ROWS if size <= hit_bytes else 0)
     return joined.select(*[c for c in urls.columns if c not in ADDED], "host", "path", F.when(F.col("_best.named"), F.col("_best.key")).alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
 

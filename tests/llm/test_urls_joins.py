@@ -25,11 +25,11 @@ def plain(url):
     return host, path, key if named else None, verdict
 
 
-@pytest.mark.parametrize("filter_bytes, list_rows, hit_rows", [(1 << 20, 100, 100), (1 << 20, 0, 100), (0, 0, 0), (1 << 20, 100, 0)])
-def test_every_join(spark, filter_bytes, list_rows, hit_rows):
+@pytest.mark.parametrize("filter_bytes, list_rows, hit_bytes", [(1 << 20, 100, 1 << 20), (1 << 20, 0, 1 << 20), (0, 0, 0), (1 << 20, 100, 0)])
+def test_every_join(spark, filter_bytes, list_rows, hit_bytes):
     pages = spark.createDataFrame([(k, u, "mine", "other", 7, "own") for k, u in enumerate(URLS)], "page_id long, url string, host string, rule string, verdict int, best string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string, named boolean")
-    got = urls.judge(pages, rules, filter_bytes=filter_bytes, list_rows=list_rows, hit_rows=hit_rows)
+    got = urls.judge(pages, rules, filter_bytes=filter_bytes, list_rows=list_rows, hit_bytes=hit_bytes)
     assert got.columns == ["page_id", "url", "best", "host", "path", "rule", "verdict"]
     rows = sorted(got.select("page_id", "host", "path", "rule", "verdict").collect())
     assert [tuple(r) for r in rows] == [(k, *plain(u)) for k, u in enumerate(URLS)]
@@ -47,7 +47,7 @@ def test_one_url_in_most_rows_is_dealt(spark):
     """Beyond the broadcast, rows of one url, and rows without one, meet their verdict in 16 tasks and not in one."""
     pages = spark.range(4000).selectExpr("id AS page_id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'http://spam.org/' ELSE concat('http://h', id, '.com/') END AS url")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string, named boolean")
-    got = urls.judge(pages, rules, hit_rows=0)
+    got = urls.judge(pages, rules, hit_bytes=0)
     assert "_salt" in got._jdf.queryExecution().executedPlan().toString()
     assert {(r["url"] is None, r["verdict"]): r["count"] for r in got.where("page_id % 3 < 2").groupBy("url", "verdict").count().collect()} == {(True, "allow"): 1334, (False, "block"): 1333}
 
