@@ -8,8 +8,10 @@ are fewer than MIN_ROWS, of all rows of the table. Every estimate
 has three deterministic starts: medians and median deviations, the covariance of the signs of
 standardised rows, and the plain mean and covariance. Each takes concentration steps: the ``H``
 share of rows nearest by the last estimate gives the next mean and covariance, so the determinant
-falls. After FIRST_STEPS the start of the least determinant goes on until its logarithm moves by
-less than CONVERGED, or for MOST_STEPS. Rows are summed inside Spark with partial aggregation, one
+falls. After FIRST_STEPS the start of the least determinant goes on until its logarithm falls by
+less than CONVERGED; a group that has settled leaves the later steps. Each other group falls by as much in
+every step and the determinant has a floor, so the steps end. Quantiles are Spark's approximate ones,
+whose rank is off by one in a thousand at most. Rows are summed inside Spark with partial aggregation, one
 matrix row per group is factored on the executors.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and
@@ -31,9 +33,9 @@ from quarryline.llm.textstats import with_stats
 
 #: Statistics that are compared (places in textstats.FEATURES); repeats have a base rule of their own.
 USED = [0, 1, 2, 3, 8]
-#: Share of a group's rows in the estimate, steps of every start and at most, the change of the
-#: determinant's logarithm that ends them, rows that a group needs.
-H, FIRST_STEPS, MOST_STEPS, CONVERGED, MIN_ROWS = 0.75, 2, 15, 1e-3, 200
+#: Share of a group's rows in the estimate, steps of every start, the fall of the determinant's
+#: logarithm that is too small to go on, rows that a group needs.
+H, FIRST_STEPS, CONVERGED, MIN_ROWS = 0.75, 2, 1e-3, 200
 #: Least standard deviation of a statistic, so that constant ones stay finite; squared distance, in
 #: units of the median of its group (36: six times the median distance), beyond which a document is rejected.
 FLOOR, CUTOFF = 0.25, 36.0
@@ -150,19 +152,26 @@ def _outliers(stats: DataFrame, keep) -> DataFrame:
     signs = signs.join(middle.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g")).drop("_g")
     plain = sums_of(attach(used, middle).where("med is not null").withColumn("start", F.lit(2)), x).withColumns({"med": none, "scale": none})
     params = materialise(_factor(constant.unionByName(signs).unionByName(plain)), "mcd-start")
-    for step in range(MOST_STEPS):
+    settled, step = [], 0
+    while not params.isEmpty():
         near = estimates(used, params).withColumn("mcd_d2", _distance(p))
         limit = materialise(near.groupBy("grp", "start").agg(F.percentile_approx("mcd_d2", H, 1000).alias("limit")), "mcd-limit")
         kept = join_groups(near, limit, ["grp", "start"], F.col("doc_id")).where("mcd_d2 <= limit")
         new = materialise(_factor(sums_of(kept, x).withColumns({"med": none, "scale": none})), f"mcd-step{step}")
-        if step + 1 == FIRST_STEPS:
+        step += 1
+        if step == FIRST_STEPS:
             order = F.struct("logdet", "start")
             least = new.groupBy("grp").agg(F.min_by(F.struct(*new.columns[1:]), order).alias("b"))
             new = materialise(least.select("grp", "b.*"), "mcd-best")
-        moved = new.alias("a").join(params.alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.start") == F.col("b.start"))).agg(F.max(F.abs(F.col("a.logdet") - F.col("b.logdet")))).first()[0]
+        if step >= FIRST_STEPS:
+            before = params.select(F.col("grp").alias("_g"), F.col("start").alias("_s"), F.struct(*params.columns).alias("old"))
+            pairs = new.select("grp", "start", F.struct(*params.columns).alias("new")).join(before, (F.col("grp") == F.col("_g")) & (F.col("start") == F.col("_s")))
+            fall = F.col("old.logdet") - F.col("new.logdet")
+            pairs = materialise(pairs.select(F.when(fall >= 0, F.col("new")).otherwise(F.col("old")).alias("m"), (fall < CONVERGED).alias("ended")), "mcd-pairs")
+            settled.append(pairs.where("ended").select("m.*"))
+            new = pairs.where("not ended").select("m.*")
         params = new
-        if step + 1 >= FIRST_STEPS and (moved is None or moved < CONVERGED):
-            break
+    params = materialise(functools.reduce(DataFrame.unionByName, settled, params), "mcd-settled")
     params = params.drop("start", "logdet")
     near = attach(used, params).where("mcd_w is not null").withColumn("mcd_d2", _distance(p))
     unit = near.groupBy("grp").agg(F.percentile_approx("mcd_d2", 0.5, 1000).alias("mcd_unit"))
