@@ -314,24 +314,29 @@ def _pick_texts(docs: DataFrame, nodes: DataFrame, cells: DataFrame) -> DataFram
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of a link (a, b) is connected with."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "near-links")
-    n = edges.count()
+    """(node, component): the smallest node that each node of a link (a, b) is connected with.
+
+    ``links`` is read several times. Of each round its links alone are written; what leads to them is persisted until then.
+    """
+    edges, written = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"), False
     while True:
-        both = edges.union(edges.select("b", "a"))
-        least = materialise(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size"), "near-least")
-        large = join_shares(both.where("b > a").withColumnRenamed("a", "u"), least, "u", 2 * n, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "near-large")
-        down = materialise(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("size")), "near-down")
+        n = edges.count()
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
+        lower = F.when(F.col("v") < F.col("u"), F.col("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.max(lower).alias("most"), F.max("v").alias("last"), F.count("*").alias("size")).persist()
+        # Components are stars around their smallest nodes where no node has two smaller ones, or a smaller and a larger one.
+        if least.where("m < u and (m < most or last > u)").count() == 0:
+            least.unpersist()
+            return (edges if written else edges.distinct()).select(F.col("a").alias("node"), F.col("b").alias("component"))
+        large = join_shares(both.where("v > u"), least.select("u", "m", "size"), "u", 2 * n, "inner").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct().persist()
+        down = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("size")).persist()
         small = join_shares(large.withColumnRenamed("a", "u"), down, "u", n, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("u", "m")).where("a != b").distinct()
         small = materialise(small, "near-links")
-        now = small.count()
-        # Both are sets of as many links: they are equal where none is new.
-        done = now == n and small.join(edges.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti").isEmpty()
-        discard(edges, least, large, down)
-        edges, n = small, now
-        if done:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        for table in (down, large, least):
+            table.unpersist()
+        if written:
+            discard(edges)
+        edges, written = small, True
 
 
 def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -381,7 +386,7 @@ def _link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
         elif not linked.isEmpty():
             component = components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked))
         count += 1
-    discard(cells, heads, texts)
+    discard(cells, texts)
     ids = nodes.join(component, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
     own = materialise(ids.select("key", "component").join(least, "component").select(F.col("key").alias("_key"), F.col("component").alias("node"), "component_id"), "near-components")
@@ -396,12 +401,13 @@ def _next_pairs(cells, heads, tested, component, used, num, den, most, count):
     """
     of = component.select(F.col("node"), "component")
     of_pivot = of.withColumnsRenamed({"node": "_p", "component": "pc"})
-    lead = heads.where("size > 2").join(of_pivot, F.col("pivot") == F.col("_p"), "left").select("cell", "size", F.coalesce("pc", "pivot").alias("pc"))
-    lead = materialise(lead, f"near-lead{count}")
+    lead = heads.where("size > 2").join(of_pivot, F.col("pivot") == F.col("_p"), "left").select("cell", "size", F.coalesce("pc", "pivot").alias("pc")).persist()
     rows = cells.count()
     r = join_shares(cells.where("size > 2 and key != pivot").select("cell", "pivot", "key", "n", "pos", "home"), lead, "cell", rows, "inner")
     r = r.join(of.withColumnsRenamed({"node": "_k", "component": "c"}), F.col("key") == F.col("_k"), "left").withColumn("c", F.coalesce("c", "key")).drop("_k")
-    r = materialise(r, f"near-open{count}")
+    distance = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
+    r = materialise(r.join(distance, (F.col("pivot") == F.col("_a")) & (F.col("key") == F.col("_b")), "left").drop("_a", "_b"), f"near-open{count}")
+    lead.unpersist()
     outside = r.where("c != pc")
     if used is not None:
         outside = outside.join(used.select(F.col("cell").alias("_r"), F.col("y").alias("_y")), (F.col("cell") == F.col("_r")) & (F.col("key") == F.col("_y")), "left_anti")
@@ -409,15 +415,11 @@ def _next_pairs(cells, heads, tested, component, used, num, den, most, count):
     ranked = materialise(outside.withColumn("k", rank).where(F.col("k") <= most + 1), f"near-pivots{count}")
     more = not ranked.where(F.col("k") > most).isEmpty()
     # A cell without open members outside its pivot's component is settled, as components only grow.
-    heads = materialise(heads.join(ranked.select("cell").distinct(), "cell", "left_semi"), f"near-heads{count}")
-    chosen = ranked.where(F.col("k") <= most)
-    distance = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
-    at = lambda df, name: df.join(distance.withColumnRenamed("d", name), (F.col("pivot") == F.col("_a")) & (F.col("key") == F.col("_b")), "left").drop("_a", "_b")
-    pivots = at(chosen, "dy").select("cell", "size", F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"), F.col("c").alias("y_c"), F.col("home").alias("y_home"), "dy")
-    pivots = materialise(pivots, f"near-chosen{count}")
+    heads = ranked.where("k = 1").select("cell", "size", "pivot")
+    pivots = ranked.where(F.col("k") <= most).select("cell", "size", F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"), F.col("c").alias("y_c"), F.col("home").alias("y_home"), F.col("d").alias("dy"))
     now = pivots.select("cell", "y")
     used = now if used is None else used.unionByName(now)
-    members = at(r, "dx").drop("size", "pc", "pivot")
+    members = r.withColumnRenamed("d", "dx").drop("size", "pc", "pivot")
     both = join_shares(members, pivots, "cell", rows, "inner")
     inside = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 1 - num / den + 1e-9, F.lit(True))
     pairs = both.where((F.col("c") != F.col("y_c")) & (F.col("home") | F.col("y_home")) & inside).where(_may_meet("n", "y_n", "pos", "y_pos", num, den))
