@@ -48,10 +48,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return back(mixed.drop(*mixing.MIXED)).select(*docs.columns)
 
 
+#: Encoded pieces that a worker keeps: its executor still holds what the stages before have grown to.
+CACHED = 200_000
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in a file of directly addressable codes; the digest of what is read back."""
     path = scratch(spark, "tokens")
-    tokens.write_tokens(docs, path, tokens.tokenizer_path())
+    tokens.write_tokens(docs, path, tokens.tokenizer_path(), cached=CACHED)
     return tokens.digests(spark, path)
 
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import struct
 import sys
 import zlib
@@ -39,8 +40,10 @@ from quarryline.llm.words import SOLID, Table, distinct_words, give_back, scan,
 
 #: A segment is closed at the first document end at or after this many ids.
 SEGMENT_TOKENS = 1 << 18
-#: Entries of a worker's table of encoded pieces (some 200 bytes each) at which it is emptied.
+#: Entries of a worker's table of encoded pieces (some 200 bytes each) at which it is reduced to those met again.
 CACHE_WORDS = 800_000
+#: Pieces that the library encodes in one call: each of its results takes more memory than the ids.
+PIECES = 2_000
 #: Bytes of text whose different pieces are looked up together.
 ENCODED_BYTES = 4 << 20
 _BLOCK_BITS = 256
@@ -135,6 +138,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads take memory each
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -144,7 +148,7 @@ class Encoder:
         lower = any(x["type"] == "Lowercase" for x in (spec["normalizer"] or {}).get("normalizers", []))
         self.by_word = bool(self.suffix) and split.get("invert") is True and r"[\p{L}]+" in (split.get("pattern") or {}).get("Regex", "") and lower
         self.words: dict[bytes, bytes] = {}
-        self.table = Table()
+        self.table, self.cached = Table(), CACHE_WORDS
         if self.by_word:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -197,8 +201,10 @@ class Encoder:
                 rest.add(piece)
         self._letters([x.decode() for x in sorted(letters)])
         whole = sorted(rest)
-        for x, ids in zip(whole, self._encode([x.decode() for x in whole])):
-            self.words[x] = np.array(ids, "<u4").tobytes()
+        for i in range(0, len(whole), PIECES):
+            part = whole[i : i + PIECES]
+            for x, ids in zip(part, self._encode([x.decode() for x in part])):
+                self.words[x] = np.array(ids, "<u4").tobytes()
         for piece, core, tail in made:
             self.words[piece] = self.words[core] + self.words[tail]
         return self.words
@@ -215,8 +221,10 @@ class Encoder:
         w = scan(texts, SOLID, hashes=False)
         pieces = distinct_words(w)
         each = pieces.dictionary.to_pylist()
-        if len(self.table.row) > CACHE_WORDS:
-            self.table = Table()
+        if len(self.table.row) > self.cached:
+            self.table = self.table.repeated()
+            if len(self.table.row) > self.cached // 2:
+                self.table = Table()
         if lacking := [p for p in each if p not in self.table.row]:
             made = self._learn(lacking)
             # The letters of pieces with punctuation are kept too: they come with other punctuation.
@@ -233,10 +241,11 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, chunk_bits: int = 8, segment_tokens: int = SEGMENT_TOKENS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, chunk_bits: int = 8, segment_tokens: int = SEGMENT_TOKENS, cached: int = CACHE_WORDS) -> None:
     """Encodes ``text`` of every row and writes the segments to path in ascending doc_id order.
 
-    ``tokenizer`` is the path of a file for the tokenizers library on every machine.
+    ``tokenizer`` is the path of a file for the tokenizers library on every machine. ``cached`` bounds
+    each worker's table of encoded pieces between chunks: fewer take less memory and more time, and give the same ids.
     """
     bound_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -247,6 +256,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         from pyspark import TaskContext
 
         encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
+        encoder.cached = cached
         seq = before = held = 0
         doc_ids, sizes, ids = [], [], []
 
@@ -260,6 +270,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         for batch in batches:
             for chunk in text_chunks(batch, most=ENCODED_BYTES):
                 values, count = encoder.encode(chunk.column(1))
+                give_back()
                 if end_id is not None:
                     values, count = np.insert(values, np.cumsum(count), end_id), count + 1
                 at = 0

@@ -220,11 +220,12 @@ class Table:
     def __init__(self):
         self.row: dict = {}
         self.start, self.count, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.taken = np.zeros(1024, np.int64)
 
     def add(self, keys: list, start: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.row)
         while n + len(keys) > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+            self.start, self.count, self.taken = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.taken))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.start[n : n + len(keys)], self.count[n : n + len(keys)] = self.used + start, count
@@ -235,8 +236,16 @@ class Table:
     def take(self, keys: list, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all keys (of keys[which]), one after the other, and where each key's begin and the last end."""
         row = np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))
+        self.taken[row] += 1
         row = row if which is None else row[which]
         n = self.count[row]
         ends = np.zeros(len(row) + 1, np.int64)
         np.cumsum(n, out=ends[1:])
         return self.ids[np.repeat(self.start[row] - ends[:-1], n) + np.arange(int(ends[-1]))], ends
+
+    def repeated(self) -> Table:
+        """A new table of the keys that more than one call has taken."""
+        keys = [k for k, n in zip(self.row, self.taken.tolist()) if n > 1]
+        out, (ids, ends) = Table(), self.take(keys)
+        out.add(keys, ends[:-1], np.diff(ends), ids)
+        return out
