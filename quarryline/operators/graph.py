@@ -59,6 +59,8 @@ def init_graph(edges: DataFrame) -> DataFrame:
 
 #: Nodes of a block, and edges of a packed row.
 NODES, EDGES = 50_000, 500_000
+#: Size up to which ranks are broadcast, so that packed edges stay where they are.
+RANK_BYTES = 16 << 20
 
 
 class PackedGraph:
@@ -67,7 +69,8 @@ class PackedGraph:
     A node stands at a place of a block, by the hash of its id. The edges of a block of sources are packed into rows of
     about EDGES (sources and targets as places, and probabilities, in the order of targets): the row of a hub with more
     edges than that is cut by the targets' hash, and a hub that many edges reach is summed in each row first. An iteration
-    joins rows of edges with their block's ranks, and deals one array of sums for each row and target block.
+    joins rows of edges with their block's ranks, and deals one array of sums for each row and target block. Ranks are
+    broadcast up to RANK_BYTES, by the number of nodes: equal ranks make files that say little about their size.
     """
 
     def __init__(self, edges: DataFrame):
@@ -90,6 +93,10 @@ class PackedGraph:
         rows = cut.groupBy("src_block", "piece").agg(F.array_sort(F.collect_list(F.struct("dst_block", "dst_place", "src_place", "p"))).alias("e"))
         self.edges = saved(rows.select(F.col("src_block").alias("block"), *[F.col(f"e.{c}").alias(c) for c in ("dst_block", "dst_place", "src_place", "p")]), "edge-rows")
 
+    def _sent(self, arrays: DataFrame) -> DataFrame:
+        """Arrays with a number for each node: broadcast while they are small, else sorted and merged."""
+        return F.broadcast(arrays) if 8 * self.n <= RANK_BYTES else arrays.hint("merge")
+
     def start(self, rank: float) -> DataFrame:
         return saved(self.nodes.select("block", F.transform("ids", lambda _: F.lit(rank)).alias("ranks")), "ranks")
 
@@ -122,14 +129,14 @@ class PackedGraph:
             if now is not None:
                 yield _block(now, got)
 
-        rows = self.edges.join(ranks, "block").select("dst_block", "dst_place", "src_place", "p", "ranks")
+        rows = self.edges.join(self._sent(ranks), "block").select("dst_block", "dst_place", "src_place", "p", "ranks")
         parts = rows.mapInArrow(spread, "block int, places array<int>, sums array<double>")
         return parts.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(add, "block int, got array<double>")
 
     def step(self, ranks: DataFrame, new) -> DataFrame:
         """The next ranks: ``new`` of what each node gets (a column, 0 without edges)."""
         got = self.gather(ranks).withColumnRenamed("block", "_b")
-        both = self.nodes.join(got, F.col("block") == F.col("_b"), "left")
+        both = self.nodes.join(got.hint("merge"), F.col("block") == F.col("_b"), "left")
         each = F.transform("ids", lambda _, k: new(F.coalesce(F.get("got", k), F.lit(0.0))))
         return saved(both.select("block", each.alias("ranks")), "ranks")
 
@@ -137,11 +144,11 @@ class PackedGraph:
         """The ranks' total, and that of dangling nodes."""
         add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
         lost = F.zip_with("ranks", "dangling", lambda x, is_: F.when(is_, x).otherwise(0.0))
-        r = ranks.join(self.nodes, "block").agg(F.sum(add("ranks")).alias("all"), F.sum(add(lost)).alias("lost")).first()
+        r = self.nodes.join(self._sent(ranks), "block").agg(F.sum(add("ranks")).alias("all"), F.sum(add(lost)).alias("lost")).first()
         return r["all"] or 0.0, r["lost"] or 0.0
 
     def unpack(self, ranks: DataFrame) -> DataFrame:
-        return ranks.join(self.nodes.select("block", "ids"), "block").select(F.explode(F.arrays_zip("ids", "ranks")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.ranks").alias("rank"))
+        return self.nodes.select("block", "ids").join(self._sent(ranks), "block").select(F.explode(F.arrays_zip("ids", "ranks")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.ranks").alias("rank"))
 
 
 def _block(block: int, got: np.ndarray) -> pa.RecordBatch:

@@ -32,7 +32,8 @@ def join_side(df: DataFrame, side: DataFrame, keys: list[str], how: str = "inner
     """Joins rows with the few rows of their key (null equals null), whatever share of the rows a key holds.
 
     ``side`` has been written, so that its count is cheap: up to BROADCAST_ROWS it is broadcast. Beyond, its rows are
-    repeated for SALTS salts, and the rows are dealt by key and salt.
+    repeated for SALTS salts, and the rows are dealt by key and salt, whatever size Spark takes ``side`` for: its guess is
+    that of compressed files, without the repeated rows.
     """
     own = side.withColumnsRenamed({k: f"_s_{k}" for k in keys})
     gone = [f"_s_{k}" for k in keys]
@@ -40,7 +41,7 @@ def join_side(df: DataFrame, side: DataFrame, keys: list[str], how: str = "inner
         return df.join(F.broadcast(own), _same(df, own, keys), how).drop(*gone)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
     own = own.withColumn("_s_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(own, _same(salted, own, keys) & (salted["_salt"] == own["_s_salt"]), how).drop(*gone, "_salt", "_s_salt")
+    return salted.join(own.hint("merge"), _same(salted, own, keys) & (salted["_salt"] == own["_s_salt"]), how).drop(*gone, "_salt", "_s_salt")
 
 
 def attach_counts(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -58,7 +59,7 @@ def attach_counts(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     marks = F.broadcast(heavy)
     apart = df.join(marks, _same(df, heavy, keys))
     others = df.join(marks, _same(df, heavy, keys), "left_anti")
-    others = others.join(rest, _same(others, rest, keys))
+    others = others.join(rest.hint("merge"), _same(others, rest, keys))
     return others.unionByName(apart).drop(*[f"_s_{k}" for k in keys]).withColumnRenamed("_n", name)
 
 
