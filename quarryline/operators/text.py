@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.columns import tokens, tokens_ws
-from quarryline.operators.relational import attach_group_count, lookup, percent_overlap, top_bottom
+from quarryline.operators.relational import BROADCAST_ROWS, attach_group_count, lookup, percent_overlap, top_bottom
 from quarryline.sources.files import saved
 
 #: Items of a feature that are paired in one place; the items of a more frequent one are paired block by block.
 PAIRED = 1_000
+#: Bytes of text that are cut into words at once, and the most pairs and words that a worker keeps before it hands them on.
+CHUNK_BYTES, KEPT_PAIRS, KEPT_WORDS = 8 << 20, 4_000_000, 1_000_000
+#: Sides of the grid of cells that pairs are dealt to.
+GRID = 32
 
 
 def word_count(df: DataFrame, text: str, lower: bool = True) -> DataFrame:
@@ -26,6 +36,162 @@ def ngrams(df: DataFrame, text: str, n: int = 5) -> DataFrame:
     return rows.groupBy("ngram").agg(F.count("*").alias("cnt"))
 
 
+# ---- counts over the n-grams of texts, from the texts themselves: no table of n-grams is made
+def _cut_words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words (runs of a to z) of the texts with n words or more: different words, each word's number among them, its text, its place there."""
+    for batch in batches:
+        texts = batch.column(0).cast(pa.large_string())
+        at = 0
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, "right")) - 1)
+            own, at = ends[at : to + 1], to
+            if own[0] == own[-1]:
+                continue
+            raw = np.frombuffer(texts.buffers()[2], np.uint8)[own[0] : own[-1]]
+            letter = (raw - np.uint8(97)) < 26
+            first = letter.copy()
+            first[1:] &= ~letter[:-1]
+            begins = (own[:-1] - own[0])[own[:-1] < own[-1]]
+            first[begins] = letter[begins]  # a text may end and the next begin with a letter
+            starts = np.flatnonzero(first[letter])
+            if not len(starts):
+                continue
+            letters = raw[letter]
+            coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.r_[starts, len(letters)]), pa.py_buffer(letters)]).dictionary_encode()
+            text = np.searchsorted(own[1:] - own[0], np.flatnonzero(first), "right")
+            size = np.bincount(text)
+            place = np.arange(len(text)) - (np.cumsum(size) - size)[text]
+            long = size[text] >= n
+            yield coded.dictionary, coded.indices.to_numpy()[long], text[long], place[long], size[text[long]]
+
+
+def text_word_count(df: DataFrame, text: str, n: int = 5) -> DataFrame:
+    """``ngram_word_count(ngrams(df, text, n))``: a word counts once for each window of n words that its place is in."""
+
+    def count(batches):
+        for words, code, _, place, size in _cut_words(batches, n):
+            windows = np.minimum(place, size - n) - np.maximum(place - n + 1, 0) + 1
+            times = np.bincount(code, windows, len(words)).astype(np.int64)
+            found = np.flatnonzero(times)
+            for k in range(0, len(found), 100_000):
+                part = found[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(part)).cast(pa.string()), pa.array(times[part])], ["word", "n"])
+
+    rows = df.select(F.lower(text).alias("text")).dropna()
+    return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """``np.unique`` by sorting: numpy's own way hashes, which takes several times as long here."""
+    x.sort()
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def _met_pairs(batches, n: int, listed: frozenset | None = None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Words, and pairs of different ones (w1 before w2, as numbers among them) less than n apart: each once, up to some KEPT_PAIRS at a time."""
+    ids, met = {}, np.zeros(0, np.int64)
+    for words, code, doc, place, _ in _cut_words(batches, n):
+        own = np.array([ids.setdefault(w, len(ids)) if listed is None or w in listed else -1 for w in words.to_pylist()], np.int64)[code]
+        if listed is not None:
+            kept = own >= 0
+            own, doc, place = own[kept], doc[kept], place[kept]
+        new = [met]
+        for k in range(1, n):
+            a, b = own[:-k], own[k:]
+            near = (doc[:-k] == doc[k:]) & (place[k:] - place[:-k] < n) & (a != b)
+            new.append(np.minimum(a, b)[near] << 32 | np.maximum(a, b)[near])
+        met = _distinct(np.concatenate(new))
+        if len(met) > KEPT_PAIRS or len(ids) > KEPT_WORDS:
+            yield _in_order(ids, met)
+            ids, met = {}, np.zeros(0, np.int64)
+    yield _in_order(ids, met)
+
+
+def _in_order(ids: dict[str, int], pairs: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    words = pa.array(ids, pa.string(), size=len(ids))
+    order = np.empty(len(ids), np.int64)
+    order[pc.sort_indices(words).to_numpy()] = np.arange(len(ids))
+    a, b = pairs >> 32, pairs & 0xFFFFFFFF
+    turned = order[a] > order[b]
+    return words, np.where(turned, b, a), np.where(turned, a, b)
+
+
+def text_pairs(df: DataFrame, text: str, among: DataFrame, n: int = 5) -> DataFrame:
+    """Different pairs (w1 before w2) of words of ``among`` (word) that stand in one window of n words.
+
+    Up to BROADCAST_ROWS words, they are picked before pairs are made.
+    """
+    listed = [r["word"] for r in among.select("word").distinct().limit(BROADCAST_ROWS + 1).collect()]
+    listed = frozenset(listed) if len(listed) <= BROADCAST_ROWS else None
+
+    def pair(batches):
+        for words, a, b in _met_pairs(batches, n, listed):
+            for k in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(x[k : k + 100_000])) for x in (a, b)], ["w1", "w2"])
+
+    pairs = df.select(F.lower(text).alias("text")).dropna().mapInArrow(pair, "w1 string, w2 string").distinct()
+    if listed is None:
+        for w in ("w1", "w2"):
+            pairs = lookup(pairs, among.select(F.col("word").alias(w)).distinct(), w, "left_semi")
+    return pairs
+
+
+def text_neighbor_counts(df: DataFrame, text: str, n: int = 5) -> DataFrame:
+    """``neighbor_counts(word_pairs(ngrams(df, text, n)))``: different words in one window of n words with each word.
+
+    Nearly every pair is a new one, so pairs move as packed words, not as rows: into a cell of a grid by the hashes of
+    both words, where they are made distinct and counted. A frequent word's pairs lie in many cells, a cell's
+    counts are added up.
+    """
+
+    def pack(batches):
+        for words, a, b in _met_pairs(batches, n):
+            side = np.array([zlib.crc32(w.encode()) % GRID for w in words.to_pylist()], np.int32)
+            cell = side[a] * GRID + side[b]
+            order = np.argsort(cell, kind="stable")
+            cell, two = cell[order], np.column_stack([a[order], b[order]])
+            cuts = np.flatnonzero(np.r_[True, np.diff(cell) != 0]) if len(cell) else []
+            for k, to in zip(cuts, [*cuts[1:], len(cell)]):
+                taken = words.take(pa.array(two[k:to].ravel()))
+                ends = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1]
+                yield pa.RecordBatch.from_arrays([pa.array([cell[k]], pa.int32()), pa.array([taken.buffers()[2].to_pybytes()[: ends[-1]]], pa.binary()), pa.array([np.diff(ends).tobytes()], pa.binary())], ["cell", "letters", "lengths"])
+
+    def distinct(parts: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+        coded = pa.chunked_array(parts, pa.large_string()).combine_chunks().dictionary_encode()
+        two = coded.indices.to_numpy().astype(np.int64)
+        pairs = _distinct(two[::2] << 32 | two[1::2])
+        return coded.dictionary, np.column_stack([pairs >> 32, pairs & 0xFFFFFFFF]).ravel()
+
+    def counted(parts: list[pa.Array]):
+        words, two = distinct(parts)
+        times = np.bincount(two, minlength=len(words))
+        for k in range(0, len(words), 100_000):
+            yield pa.RecordBatch.from_arrays([words[k : k + 100_000].cast(pa.string()), pa.array(times[k : k + 100_000])], ["word", "n"])
+
+    def count(batches):
+        now, parts, size, limit = None, [], 0, KEPT_PAIRS
+        for batch in batches:
+            for cell, letters, lengths in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell != now and parts:
+                    yield from counted(parts)
+                    parts, size, limit = [], 0, KEPT_PAIRS
+                now = cell
+                ends = np.r_[0, np.cumsum(np.frombuffer(lengths, np.int32), dtype=np.int64)]
+                parts.append(pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters)]))
+                size += len(ends) // 2
+                if size > limit:
+                    words, two = distinct(parts)
+                    parts, size = [words.take(pa.array(two))], len(two) // 2
+                    limit = KEPT_PAIRS + size
+        if parts:
+            yield from counted(parts)
+
+    packed = df.select(F.lower(text).alias("text")).dropna().mapInArrow(pack, "cell int, letters binary, lengths binary")
+    cells = packed.repartition("cell").sortWithinPartitions("cell")
+    return cells.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def ngram_word_count(grams: DataFrame) -> DataFrame:
     return grams.select(F.explode(tokens_ws(F.col("ngram"))).alias("word"), "cnt").groupBy("word").agg(F.sum("cnt").alias("n"))
 
@@ -36,41 +202,35 @@ def vocabulary_summary(grams: DataFrame, n: int = 10) -> DataFrame:
 
 
 def word_pairs(grams: DataFrame) -> DataFrame:
-    """Distinct ordered pairs (w1, w2) of different words of an n-gram."""
-    words = F.array_distinct(tokens_ws(F.col("ngram")))
-    one = grams.select(words.alias("w")).select("w", F.explode("w").alias("w1"))
-    return one.select("w1", F.explode("w").alias("w2")).where("w1 != w2").distinct()
-
-
-def neighbor_counts(grams: DataFrame) -> DataFrame:
-    """Different words beside each word: every pair is kept once, in one order, and counts for both."""
+    """Different pairs (w1 before w2) of words of an n-gram."""
     words = F.array_sort(F.array_distinct(tokens_ws(F.col("ngram"))))
     one = grams.select(words.alias("w")).select("w", F.posexplode("w").alias("k", "w1"))
-    pairs = one.select("w1", F.explode(F.slice("w", F.col("k") + 2, F.size("w"))).alias("w2")).distinct()
+    return one.select("w1", F.explode(F.slice("w", F.col("k") + 2, F.size("w"))).alias("w2")).distinct()
+
+
+def neighbor_counts(pairs: DataFrame) -> DataFrame:
+    """Different words beside each word: every pair (w1, w2) is there once, in one order, and counts for both."""
     return pairs.select(F.explode(F.array("w1", "w2")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def ranking_overlap(grams: DataFrame, n: int) -> DataFrame:
+def ranking_overlap(counts: DataFrame, neighbors: DataFrame, n: int) -> DataFrame:
     """How many of the n most frequent words are among the n with most neighbours, and the percentage."""
-    top = lambda df: df.orderBy(F.desc("n"), "word").limit(n)
-    return percent_overlap(top(ngram_word_count(grams)), top(neighbor_counts(grams)), "word")
+    top = lambda df, name: saved(df.orderBy(F.desc("n"), "word").limit(n), name)
+    return percent_overlap(top(counts, "most-frequent"), top(neighbors, "most-neighbors"), "word")
 
 
-def get_vocab(grams: DataFrame, n_total: int, n_basis: int, stopwords: DataFrame) -> DataFrame:
+def get_vocab(counts: DataFrame, n_total: int, n_basis: int, stopwords: DataFrame) -> DataFrame:
     """The n_total most frequent words left by the stop words, with rank; the last n_basis are the basis."""
-    counts = ngram_word_count(lookup(grams.select(F.explode(tokens_ws(F.col("ngram"))).alias("ngram"), "cnt"), stopwords.select(F.col("word").alias("ngram")), "ngram", "left_anti"))
-    top = counts.orderBy(F.desc("n"), "word").limit(n_total)
+    top = lookup(counts, stopwords, "word", "left_anti").orderBy(F.desc("n"), "word").limit(n_total)
     ranked = top.withColumn("rnk", F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1)
     return ranked.withColumn("basis", F.col("rnk") >= n_total - n_basis)
 
 
-def build_stripes(grams: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Long form (item, feature): vocabulary words with the basis words beside them."""
-    words = F.array_distinct(tokens_ws(F.col("ngram")))
-    items = lookup(grams.select(words.alias("w")).select("w", F.explode("w").alias("item")), vocab.select(F.col("word").alias("item")), "item", "left_semi")
-    # Only n-grams of a vocabulary word are paired, and only with basis words kept.
-    pairs = items.select("item", F.explode("w").alias("feature")).where("item != feature")
-    return lookup(pairs, vocab.where("basis").select(F.col("word").alias("feature")), "feature", "left_semi").select("item", "feature").distinct()
+def build_stripes(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Long form (item, feature): vocabulary words with the basis words beside them, from pairs in one order."""
+    both = pairs.select(F.explode(F.array(F.struct(F.col("w1").alias("item"), F.col("w2").alias("feature")), F.struct(F.col("w2").alias("item"), F.col("w1").alias("feature")))).alias("x")).select("x.*")
+    items = lookup(both, vocab.select(F.col("word").alias("item")), "item", "left_semi")
+    return lookup(items, vocab.where("basis").select(F.col("word").alias("feature")), "feature", "left_semi").select("item", "feature")
 
 
 def similarity(items: DataFrame) -> DataFrame:

@@ -243,19 +243,18 @@ GW = f"SELECT word, sum(cnt)::BIGINT AS n FROM (SELECT unnest(string_split(ngram
 PAIRS = f"SELECT DISTINCT w1, w2 FROM (SELECT w1, unnest(w) AS w2 FROM (SELECT w, unnest(w) AS w1 FROM (SELECT list_distinct(string_split(ngram, ' ')) AS w FROM ({GRAMS})))) WHERE w1 <> w2"
 query("t2_ngram_word_count", GW)(lambda s, d: T.ngram_word_count(grams(s, d)))
 query("t3_vocabulary_summary", f"WITH c AS ({GW}), v AS (SELECT count(*) AS vocabulary FROM c) SELECT word, n, side, vocabulary FROM (SELECT * FROM (SELECT word, n, 'top' AS side FROM c ORDER BY n DESC, word LIMIT 10) UNION ALL SELECT * FROM (SELECT word, n, 'bottom' AS side FROM c ORDER BY n, word LIMIT 10)), v")(lambda s, d: T.vocabulary_summary(grams(s, d)))
-query("t4_neighbor_counts", f"SELECT w1 AS word, count(*) AS n FROM ({PAIRS}) GROUP BY 1")(lambda s, d: T.neighbor_counts(grams(s, d)))
+query("t4_neighbor_counts", f"SELECT w1 AS word, count(*) AS n FROM ({PAIRS}) GROUP BY 1")(lambda s, d: T.text_neighbor_counts(t(s, d, "documents"), "text"))
 _TOP = "SELECT word FROM ({0}) ORDER BY n DESC, word LIMIT 1000"
-query("t5_ranking_overlap", f"WITH a AS ({_TOP.format(GW)}), b AS ({_TOP.format(f'SELECT w1 AS word, count(*) AS n FROM ({PAIRS}) GROUP BY 1')}) SELECT common, round(100.0 * common / (SELECT count(*) FROM a), 6) AS percent FROM (SELECT count(*) AS common FROM a WHERE word IN (SELECT word FROM b))")(lambda s, d: T.ranking_overlap(files.saved(grams(s, d), "ngram-counts"), 1000))
+query("t5_ranking_overlap", f"WITH a AS ({_TOP.format(GW)}), b AS ({_TOP.format(f'SELECT w1 AS word, count(*) AS n FROM ({PAIRS}) GROUP BY 1')}) SELECT common, round(100.0 * common / (SELECT count(*) FROM a), 6) AS percent FROM (SELECT count(*) AS common FROM a WHERE word IN (SELECT word FROM b))")(lambda s, d: T.ranking_overlap(T.text_word_count(t(s, d, "documents"), "text"), T.text_neighbor_counts(t(s, d, "documents"), "text"), 1000))
 VOCAB = f"SELECT word, n, (row_number() OVER (ORDER BY n DESC, word) - 1)::INTEGER AS rnk, row_number() OVER (ORDER BY n DESC, word) > 200 AS basis FROM (SELECT * FROM ({GW}) WHERE word NOT IN ('the', 'of', 'and') ORDER BY n DESC, word LIMIT 300)"
-vocab = lambda s, d: T.get_vocab(grams(s, d), 300, 100, rows(s, [("the",), ("of",), ("and",)], "word string"))
+vocab = lambda s, d: T.get_vocab(T.text_word_count(t(s, d, "documents"), "text"), 300, 100, rows(s, [("the",), ("of",), ("and",)], "word string"))
 query("t6_vocab", VOCAB)(vocab)
 STRIPES = f"SELECT w1 AS item, w2 AS feature FROM ({PAIRS}) WHERE w1 IN (SELECT word FROM ({VOCAB})) AND w2 IN (SELECT word FROM ({VOCAB}) WHERE basis)"
 
 
 def stripes(s, d) -> DataFrame:
-    g = files.saved(grams(s, d), "ngram-counts")  # read for the vocabulary and for the pairs
-    words = files.saved(T.get_vocab(g, 300, 100, rows(s, [("the",), ("of",), ("and",)], "word string")), "vocabulary")
-    return T.build_stripes(g, words)
+    words = files.saved(vocab(s, d), "vocabulary")
+    return files.saved(T.build_stripes(T.text_pairs(t(s, d, "documents"), "text", words), words), "stripes")  # what follows reads them several times
 
 
 query("t7_stripes", STRIPES)(stripes)
